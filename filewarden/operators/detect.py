@@ -67,6 +67,17 @@ def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", *[column.alias(name) for name, column in columns.items()])
 
 
+def _sealed(df: DataFrame, kept: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """Kept columns plus computed ones behind a generator.
+
+    A filter on a computed column (`size(threats) > 0`, `is_obfuscated`) would
+    otherwise be pushed through the projections, and every regex it depends on
+    would be inlined and run again. A generator output cannot be pushed through.
+    """
+    values = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*kept, F.explode(F.array(values)).alias("__sealed")).select(*kept, "__sealed.*")
+
+
 def _with_matches(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """First match of each rule ('' if none), its literal position and, for calls, its surroundings.
 
@@ -334,7 +345,7 @@ def local_threats(
     threats += _regex_threats(patterns, threshold)
     threats.append(_behaviour_threat(F.col("__behaviour"), threshold))
     kept = [c for c in files.columns if c != "content"]
-    return df.select(*kept, "file_hash", F.array_compact(F.array(*threats)).alias("threats"))
+    return _sealed(df, [*kept, "file_hash"], {"threats": F.array_compact(F.array(*threats))})
 
 
 # --- single layers ----------------------------------------------------------
@@ -373,8 +384,8 @@ def obfuscation_scores(files: DataFrame) -> DataFrame:
     df = _add(_with_text(files), {**_obfuscation_counts(), "words": word_count(F.col(_BYTES))})
     long_words = _long_word_score(F.length(F.col(_BYTES)), F.col("words"))
     score = F.least(_code_score() + long_words, F.lit(1.0))
-    df = df.select(*kept, "long_runs", "hex_escapes", "decoder_names", "words", score.alias("obfuscation_score"))
-    return df.select(
+    terms = {name: F.col(name) for name in ("long_runs", "hex_escapes", "decoder_names", "words")}
+    return _sealed(df, kept, {**terms, "obfuscation_score": score}).select(
         "*",
         obfuscation_band(F.col("obfuscation_score")).alias("obfuscation_band"),
         (F.col("obfuscation_score") > cat.OBFUSCATION_THRESHOLD).alias("is_obfuscated"),
@@ -384,7 +395,7 @@ def obfuscation_scores(files: DataFrame) -> DataFrame:
 def behaviour_scores(files: DataFrame) -> DataFrame:
     """Behaviour score of every file."""
     kept = [c for c in files.columns if c != "content"]
-    df = _with_text(files).select(*kept, _behaviour_score().alias("behaviour_score"))
+    df = _sealed(_with_text(files), kept, {"behaviour_score": _behaviour_score()})
     return df.select("*", (F.col("behaviour_score") > cat.BEHAVIOUR_THRESHOLD).alias("is_malicious"))
 
 
