@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewarden import schema
+from filewarden.operators.results import as_timestamp
 
 
 def config_rows(spark: SparkSession, values: dict[str, Any], at: datetime) -> DataFrame:
@@ -50,10 +51,9 @@ def get_value(config: DataFrame, key: str, default: Any = None) -> Any:
 
 def signature_update_row(spark: SparkSession, at: datetime) -> DataFrame:
     """Config row that records when the rule catalogue last changed (epoch seconds)."""
-    stamp = spark.range(1).select(
+    return spark.range(1).select(
         F.lit("last_signature_update").alias("config_key"),
-        F.unix_timestamp(F.lit(at).cast("timestamp")).cast("string").alias("config_value"),
-        F.lit(at).cast("timestamp").alias("created_at"),
-        F.lit(at).cast("timestamp").alias("updated_at"),
+        F.unix_timestamp(as_timestamp(at)).cast("string").alias("config_value"),
+        as_timestamp(at).alias("created_at"),
+        as_timestamp(at).alias("updated_at"),
     )
-    return stamp

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filewarden.functions.text import dirname
+from filewarden.operators.results import as_timestamp
 from filewarden.sources.files import content_hashes
 
 
-def snapshot(files: DataFrame, as_of) -> DataFrame:
+def snapshot(files: DataFrame, as_of: datetime) -> DataFrame:
     """A `baseline` table of the current contents."""
-    return content_hashes(files).withColumn("snapshot_at", F.lit(as_of).cast("timestamp"))
+    return content_hashes(files).withColumn("snapshot_at", as_timestamp(as_of))
 
 
 def latest_baseline(baseline: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ RESTORED_DAYS = 90
 
 
 def as_timestamp(as_of: datetime) -> Column:
-    return F.lit(as_of).cast("timestamp")
+    """A literal point in time; without an offset it is in the session time zone, like the tables."""
+    return F.lit(str(as_of)).cast("timestamp")
 
 
 def days_before(as_of: datetime, days: int) -> Column:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewarden.functions.severity import stored_confidence
 from filewarden.operators.detect import drop_below, explode_threats, local_threats, ranked
+from filewarden.operators.results import as_timestamp
 from filewarden.operators.verdicts import add_verdicts
 from filewarden.settings import ScanSettings
 from filewarden.sources.catalogue import Rule
@@ -38,12 +39,13 @@ def threats(analysed: DataFrame) -> DataFrame:
     return explode_threats(analysed)
 
 
-def scan_results(analysed: DataFrame, scan_id: str, detected_at: datetime) -> DataFrame:
+def scan_results(analysed: DataFrame, scan_id: str | Column, detected_at: datetime | Column) -> DataFrame:
     """Rows for the `scan_results` table; ids depend only on scan, path and rule."""
-    at = F.lit(detected_at).cast("timestamp")
+    at = as_timestamp(detected_at) if isinstance(detected_at, datetime) else detected_at.cast("timestamp")
+    scan = F.lit(scan_id) if isinstance(scan_id, str) else scan_id
     return explode_threats(analysed).select(
-        F.sha2(F.concat_ws("|", F.lit(scan_id), F.col("path"), F.col("rule_ord").cast("string")), 256).alias("id"),
-        F.lit(scan_id).alias("scan_id"),
+        F.sha2(F.concat_ws("|", scan, "path", F.col("rule_ord").cast("string")), 256).alias("id"),
+        scan.alias("scan_id"),
         F.col("path").alias("file_path"),
         F.col("file_hash"),
         F.col("type").alias("threat_type"),
