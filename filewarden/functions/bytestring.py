@@ -41,17 +41,3 @@ def search_text(content: Column) -> Column:
 
 def evidence(match: Column) -> Column:
     return F.substring(match, 1, EVIDENCE_BYTES)
-
-
-def line_number(byte_chars: Column, position: Column) -> Column:
-    """1-based line of a 1-based position; 0 when the position is 0 (absent)."""
-    before = F.substring(byte_chars, F.lit(1), position - 1)
-    newlines = position - 1 - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    return F.when(position == 0, F.lit(0)).otherwise(newlines + 1).cast("int")
-
-
-def context_window(byte_chars: Column, match: Column, position: Column) -> Column:
-    """Bytes around a match: up to 100 before it and 100 after it, clamped to the content."""
-    start = F.greatest(position - CONTEXT_BYTES, F.lit(1))
-    end = position + F.length(match) + CONTEXT_BYTES
-    return F.when(position == 0, F.lit("")).otherwise(F.substring(byte_chars, start, end - start))

@@ -16,7 +16,6 @@ Three things keep the pass cheap on large corpora:
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,16 +46,15 @@ def _with_text(files: DataFrame) -> DataFrame:
     )
 
 
-def _may_match(needles: Sequence[Sequence[str]]) -> Column:
-    search = F.col(_SEARCH)
-    return reduce(
-        lambda a, b: a & b,
-        [reduce(lambda a, b: a | b, [F.contains(search, F.lit(n)) for n in any_of]) for any_of in needles],
-    )
+def _text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _guarded(needles: Sequence[Sequence[str]], value: Column, default: Column) -> Column:
-    return F.when(_may_match(needles), value).otherwise(default) if needles else value
+def _may_match(needles: Sequence[Sequence[str]]) -> str:
+    """SQL condition: every group of needles has a member in the content."""
+    groups = (" OR ".join(f"contains({_SEARCH}, {_text(n)})" for n in any_of) for any_of in needles)
+    return " AND ".join(f"({group})" for group in groups) or "TRUE"
 
 
 def _work(rule: Rule, what: str) -> str:
@@ -84,34 +82,68 @@ def _with_matches(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     Position and surroundings belong to the first literal copy of the matched
     text, which may lie before the place where the regex matched.
     """
-    text = F.col(_BYTES)
-    df = _add(
-        df,
-        {_work(r, "m"): _guarded(r.needles, F.regexp_extract(text, r.pattern, 0), F.lit("")) for r in rules},
-    )
-    df = _add(
-        df,
-        {
-            _work(r, "p"): F.when(F.col(_work(r, "m")) != "", F.instr(text, F.col(_work(r, "m")))).otherwise(0)
-            for r in rules
-        },
-    )
-    calls = [r for r in rules if r.layer == "function"]
-    return _add(
-        df,
-        {_work(r, "c"): bs.context_window(text, F.col(_work(r, "m")), F.col(_work(r, "p"))) for r in calls},
-    )
+    match = {
+        _work(r, "m"): F.expr(f"IF({_may_match(r.needles)}, regexp_extract({_BYTES}, {_text(r.pattern)}, 0), '')")
+        for r in rules
+    }
+    position = {
+        _work(r, "p"): F.expr(f"IF({_work(r, 'm')} != '', instr({_BYTES}, {_work(r, 'm')}), 0)") for r in rules
+    }
+    context = {_work(r, "c"): F.expr(_context(r)) for r in rules if r.layer == "function"}
+    return _add(_add(_add(df, match), position), context)
+
+
+def _context(rule: Rule) -> str:
+    """Bytes around a call: up to 100 before and after its match, clamped to the content."""
+    match, position = _work(rule, "m"), _work(rule, "p")
+    start = f"greatest({position} - {bs.CONTEXT_BYTES}, 1)"
+    end = f"{position} + length({match}) + {bs.CONTEXT_BYTES}"
+    return f"IF({position} = 0, '', substring({_BYTES}, {start}, {end} - {start}))"
+
+
+def _line(position: str) -> str:
+    """1-based line of a 1-based position; 0 when the position is 0 (absent)."""
+    before = f"substring({_BYTES}, 1, {position} - 1)"
+    return f"IF({position} = 0, 0, {position} - length(replace({before}, '\\n', '')))"
+
 
+def _call_fired(rule: Rule) -> str:
+    return " OR ".join(f"{_work(rule, 'c')} RLIKE {_text('(?d)' + p)}" for p in cat.FUNCTION_CONTEXT[rule.name])
 
-def _any_pattern(text: Column, patterns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike("(?d)" + p) for p in patterns])
 
+def _call_confidence(rule: Rule) -> str:
+    terms = [f"{cat.FUNCTION_BASE_CONFIDENCE}D"] + [
+        f"IF({_work(rule, 'c')} RLIKE {_text('(?d)' + pattern)}, {weight}D, 0D)"
+        for pattern, weight in cat.FUNCTION_CONFIDENCE_WEIGHTS
+    ]
+    return f"least({' + '.join(terms)}, 1D)"
 
-def _call_confidence(context: Column) -> Column:
-    score = F.lit(cat.FUNCTION_BASE_CONFIDENCE)
-    for pattern, weight in cat.FUNCTION_CONFIDENCE_WEIGHTS:
-        score = score + F.when(context.rlike("(?d)" + pattern), F.lit(weight)).otherwise(F.lit(0.0))
-    return F.least(score, F.lit(1.0))
+
+def _regex_threat(rule: Rule, threshold: float | None) -> Column:
+    """Threat of one regex rule, NULL where it did not fire or stays below the threshold.
+
+    Rules are many and alike, so their expressions are SQL text: one parsed
+    expression per rule instead of some fifty column calls.
+    """
+    fired, shown = f"{_work(rule, 'm')} != ''", _work(rule, "m")
+    confidence = f"{rule.confidence}D"
+    if rule.layer == "function":
+        fired, shown, confidence = f"{fired} AND ({_call_fired(rule)})", _work(rule, "c"), _call_confidence(rule)
+    if threshold is not None:
+        fired = f"{fired} AND {confidence} >= {threshold}D"
+    fields = {
+        "rule_ord": str(rule.rule_ord),
+        "layer": _text(rule.layer),
+        "type": _text(rule.type),
+        "severity": _text(rule.severity),
+        "description": _text(rule.description),
+        "confidence": confidence,
+        "evidence": f"make_valid_utf8(CAST(encode(substring({shown}, 1, {bs.EVIDENCE_BYTES}), 'ISO-8859-1') AS STRING))",
+        "line_number": _line(_work(rule, "p")),
+        "source": "CAST(NULL AS STRING)",
+    }
+    values = ", ".join(f"'{f.name}', {fields[f.name]}" for f in THREAT.fields)
+    return F.expr(f"IF({fired}, named_struct({values}), NULL)")
 
 
 def threat_struct(
@@ -144,31 +176,6 @@ def _keep(fired: Column, confidence: Column, threshold: float | None, threat: Co
     return F.when(fired if threshold is None else fired & (confidence >= F.lit(threshold)), threat)
 
 
-def _regex_threats(rules: Sequence[Rule], threshold: float | None) -> list[Column]:
-    text = F.col(_BYTES)
-    threats = []
-    for rule in rules:
-        match, position = F.col(_work(rule, "m")), F.col(_work(rule, "p"))
-        fired, shown = match != "", match
-        confidence = F.lit(rule.confidence) if rule.confidence is not None else F.lit(0.0)
-        if rule.layer == "function":
-            shown = F.col(_work(rule, "c"))
-            fired = fired & _any_pattern(shown, cat.FUNCTION_CONTEXT[rule.name])
-            confidence = _call_confidence(shown)
-        threat = threat_struct(
-            rule.rule_ord,
-            rule.layer,
-            rule.type,
-            F.lit(rule.severity),
-            F.lit(rule.description),
-            confidence,
-            bs.display(bs.evidence(shown)),
-            bs.line_number(text, position),
-        )
-        threats.append(_keep(fired, confidence, threshold, threat))
-    return threats
-
-
 def _reachable(rules: Iterable[Rule], threshold: float | None) -> list[Rule]:
     """Rules that can still reach the threshold; the others need no expression at all."""
     return [r for r in rules if threshold is None or r.confidence is None or r.confidence >= threshold]
@@ -177,16 +184,14 @@ def _reachable(rules: Iterable[Rule], threshold: float | None) -> list[Rule]:
 # --- scores -----------------------------------------------------------------
 
 
-def _count_if_present(needle: Column, pattern: str) -> Column:
-    return F.when(needle, F.regexp_count(F.col(_BYTES), F.lit(pattern))).otherwise(F.lit(0))
-
-
 def _obfuscation_counts() -> dict[str, Column]:
-    decoder_present = _may_match((cat.DECODER_NAMES,))
+    def counted(needles: Sequence[Sequence[str]], pattern: str) -> Column:
+        return F.expr(f"IF({_may_match(needles)}, regexp_count({_BYTES}, {_text(pattern)}), 0)")
+
     return {
-        "long_runs": F.regexp_count(F.col(_BYTES), F.lit(cat.LONG_RUN)),
-        "hex_escapes": _count_if_present(F.contains(F.col(_SEARCH), F.lit("\\x")), cat.HEX_ESCAPE),
-        "decoder_names": _count_if_present(decoder_present, "|".join(cat.DECODER_NAMES)),
+        "long_runs": counted((), cat.LONG_RUN),
+        "hex_escapes": counted((("\\x",),), cat.HEX_ESCAPE),
+        "decoder_names": counted((cat.DECODER_NAMES,), "|".join(cat.DECODER_NAMES)),
     }
 
 
@@ -217,11 +222,11 @@ def _obfuscation_score_for_alert() -> Column:
 
 
 def _behaviour_score() -> Column:
-    score = F.lit(0.0)
-    for pattern, weight, needles in cat.BEHAVIOURS:
-        hit = _may_match(needles) & F.col(_BYTES).rlike(pattern)
-        score = score + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
-    return F.least(score, F.lit(1.0))
+    terms = [
+        f"IF({_may_match(needles)} AND {_BYTES} RLIKE {_text(pattern)}, {weight}D, 0D)"
+        for pattern, weight, needles in cat.BEHAVIOURS
+    ]
+    return F.expr(f"least({' + '.join(['0D', *terms])}, 1D)")
 
 
 def _obfuscation_threat(score: Column, threshold: float | None) -> Column:
@@ -338,11 +343,11 @@ def local_threats(
     df = _add(df, {"__obfuscation": _obfuscation_score_for_alert()})
     df = _with_matches(df, [*leading, *patterns])
 
-    threats = _regex_threats(leading, threshold)
+    threats = [_regex_threat(rule, threshold) for rule in leading]
     threats.append(_obfuscation_threat(F.col("__obfuscation"), threshold))
     if with_entropy:
         threats.append(_entropy_threat(F.col("__entropy"), threshold))
-    threats += _regex_threats(patterns, threshold)
+    threats += [_regex_threat(rule, threshold) for rule in patterns]
     threats.append(_behaviour_threat(F.col("__behaviour"), threshold))
     kept = [c for c in files.columns if c != "content"]
     return _sealed(df, [*kept, "file_hash"], {"threats": F.array_compact(F.array(*threats))})
@@ -354,7 +359,7 @@ def local_threats(
 def _rule_hits(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     df = _with_matches(_with_text(files), rules)
     kept = [c for c in files.columns if c != "content"]
-    hits = F.array_compact(F.array(*_regex_threats(rules, None)))
+    hits = F.array_compact(F.array(*[_regex_threat(rule, None) for rule in rules]))
     return df.select(*kept, F.inline(hits))
 
 

@@ -300,7 +300,7 @@ def collect_catalogue(rules: DataFrame) -> list[Rule]:
             row["pattern"],
             row["severity"],
             row["description"],
-            row["confidence"],
+            SIGNATURE_CONFIDENCE if row["confidence"] is None else row["confidence"],
         )
         for row in rules.select("rule_ord", "name", "pattern", "severity", "description", "confidence")
         .orderBy("rule_ord")
