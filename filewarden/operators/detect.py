@@ -32,18 +32,49 @@ from filewarden.sources.catalogue import Rule
 _BYTES = "__bytes"  # content, one character per byte
 _SEARCH = "__search"  # lower-cased content for substring tests
 _WORK_PREFIX = "__"
+_SHARED_GATES = ("_", "$")  # characters that many needles share
 
 
 # --- building blocks --------------------------------------------------------
 
 
-def _with_text(files: DataFrame) -> DataFrame:
-    """Files with readable content plus the two working forms of the content."""
-    return files.filter(F.col("content").isNotNull()).select(
+def _with_text(files: DataFrame, needles: Iterable[str]) -> DataFrame:
+    """Files with readable content, its one-character-per-byte form and one flag per needle.
+
+    A needle that contains another one is only searched where the shorter one occurs.
+    """
+    df = files.filter(F.col("content").isNotNull()).select(
         "*",
         bs.latin1(F.col("content")).alias(_BYTES),
         bs.search_text(F.col("content")).alias(_SEARCH),
     )
+    for layer in _needle_layers(needles):
+        flags = {}
+        for needle, inner in layer.items():
+            found = f"contains({_SEARCH}, {_text(needle)})"
+            flags[_flag(needle)] = F.expr(found if inner is None else f"{_flag(inner)} AND {found}")
+        df = _add(df, flags)
+    return df
+
+
+def _flag(needle: str) -> str:
+    return f"{_WORK_PREFIX}has_{needle.encode().hex()}"
+
+
+def _needle_layers(needles: Iterable[str]) -> list[dict[str, str | None]]:
+    """Needles with the longest other needle they contain, in an order that has that one first."""
+    wanted = set(needles)
+    wanted |= {gate for gate in _SHARED_GATES if sum(gate in n for n in wanted) > 1}
+    depth: dict[str, int] = {}
+    inner: dict[str, str | None] = {}
+    for needle in sorted(wanted, key=lambda n: (len(n), n)):
+        inner[needle] = max((n for n in depth if n in needle), key=len, default=None)
+        depth[needle] = 0 if inner[needle] is None else depth[inner[needle]] + 1
+    return [{n: inner[n] for n in depth if depth[n] == level} for level in sorted(set(depth.values()))]
+
+
+def _needles(groups: Iterable[Sequence[Sequence[str]]]) -> set[str]:
+    return {needle for group in groups for any_of in group for needle in any_of}
 
 
 def _text(value: str) -> str:
@@ -53,7 +84,7 @@ def _text(value: str) -> str:
 
 def _may_match(needles: Sequence[Sequence[str]]) -> str:
     """SQL condition: every group of needles has a member in the content."""
-    groups = (" OR ".join(f"contains({_SEARCH}, {_text(n)})" for n in any_of) for any_of in needles)
+    groups = (" OR ".join(_flag(n) for n in any_of) for any_of in needles)
     return " AND ".join(f"({group})" for group in groups) or "TRUE"
 
 
@@ -82,10 +113,7 @@ def _with_matches(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     Position and surroundings belong to the first literal copy of the matched
     text, which may lie before the place where the regex matched.
     """
-    match = {
-        _work(r, "m"): F.expr(f"IF({_may_match(r.needles)}, regexp_extract({_BYTES}, {_text(r.pattern)}, 0), '')")
-        for r in rules
-    }
+    match = {_work(r, "m"): F.expr(_first_match(r)) for r in rules}
     position = {
         _work(r, "p"): F.expr(f"IF({_work(r, 'm')} != '', instr({_BYTES}, {_work(r, 'm')}), 0)") for r in rules
     }
@@ -93,6 +121,13 @@ def _with_matches(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return _add(_add(_add(df, match), position), context)
 
 
+def _first_match(rule: Rule) -> str:
+    condition = _may_match(rule.needles)
+    if rule.exists:
+        condition += f" AND {_BYTES} RLIKE {_text(rule.exists)}"
+    return f"IF({condition}, regexp_extract({_BYTES}, {_text(rule.pattern)}, 0), '')"
+
+
 def _context(rule: Rule) -> str:
     """Bytes around a call: up to 100 before and after its match, clamped to the content."""
     match, position = _work(rule, "m"), _work(rule, "p")
@@ -184,14 +219,20 @@ def _reachable(rules: Iterable[Rule], threshold: float | None) -> list[Rule]:
 # --- scores -----------------------------------------------------------------
 
 
+_HEX_NEEDLES = (("\\x",),)
+_OBFUSCATION_NEEDLES = _needles([_HEX_NEEDLES, cat.DECODER_NEEDLES])
+_BEHAVIOUR_NEEDLES = _needles(needles for needles, _ in cat.BEHAVIOUR_TESTS)
+
+
 def _obfuscation_counts() -> dict[str, Column]:
     def counted(needles: Sequence[Sequence[str]], pattern: str) -> Column:
         return F.expr(f"IF({_may_match(needles)}, regexp_count({_BYTES}, {_text(pattern)}), 0)")
 
+    runs = f"IF({_BYTES} RLIKE {_text(cat.LONG_RUN_BLOCK)}, regexp_count({_BYTES}, {_text(cat.LONG_RUN)}), 0)"
     return {
-        "long_runs": counted((), cat.LONG_RUN),
-        "hex_escapes": counted((("\\x",),), cat.HEX_ESCAPE),
-        "decoder_names": counted((cat.DECODER_NAMES,), "|".join(cat.DECODER_NAMES)),
+        "long_runs": F.expr(runs),
+        "hex_escapes": counted(_HEX_NEEDLES, cat.HEX_ESCAPE),
+        "decoder_names": counted(cat.DECODER_NEEDLES, "|".join(cat.DECODER_NAMES)),
     }
 
 
@@ -223,8 +264,8 @@ def _obfuscation_score_for_alert() -> Column:
 
 def _behaviour_score() -> Column:
     terms = [
-        f"IF({_may_match(needles)} AND {_BYTES} RLIKE {_text(pattern)}, {weight}D, 0D)"
-        for pattern, weight, needles in cat.BEHAVIOURS
+        f"IF({_may_match(needles)} AND {_BYTES} RLIKE {_text(test)}, {weight}D, 0D)"
+        for (_, weight), (needles, test) in zip(cat.BEHAVIOURS, cat.BEHAVIOUR_TESTS)
     ]
     return F.expr(f"least({' + '.join(['0D', *terms])}, 1D)")
 
@@ -332,7 +373,8 @@ def local_threats(
     patterns = _reachable(cat.PATTERNS, threshold)
     with_entropy = cat.MAX_ENTROPY_CONFIDENCE >= threshold
 
-    df = _with_text(files)
+    rules = [*leading, *patterns]
+    df = _with_text(files, _needles(r.needles for r in rules) | _OBFUSCATION_NEEDLES | _BEHAVIOUR_NEEDLES)
     work = {f"__{name}": column for name, column in _obfuscation_counts().items()}
     work["__behaviour"] = _behaviour_score()
     work["file_hash"] = F.sha2("content", 256)
@@ -341,7 +383,7 @@ def local_threats(
     df = _add(df, work)
     df = _add(df, {"__code_score": _code_score("__")})
     df = _add(df, {"__obfuscation": _obfuscation_score_for_alert()})
-    df = _with_matches(df, [*leading, *patterns])
+    df = _with_matches(df, rules)
 
     threats = [_regex_threat(rule, threshold) for rule in leading]
     threats.append(_obfuscation_threat(F.col("__obfuscation"), threshold))
@@ -357,7 +399,7 @@ def local_threats(
 
 
 def _rule_hits(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    df = _with_matches(_with_text(files), rules)
+    df = _with_matches(_with_text(files, _needles(r.needles for r in rules)), rules)
     kept = [c for c in files.columns if c != "content"]
     hits = F.array_compact(F.array(*[_regex_threat(rule, None) for rule in rules]))
     return df.select(*kept, F.inline(hits))
@@ -386,7 +428,7 @@ def pattern_hits(files: DataFrame) -> DataFrame:
 def obfuscation_scores(files: DataFrame) -> DataFrame:
     """Obfuscation score of every file with its terms and band."""
     kept = [c for c in files.columns if c != "content"]
-    df = _add(_with_text(files), {**_obfuscation_counts(), "words": word_count(F.col(_BYTES))})
+    df = _add(_with_text(files, _OBFUSCATION_NEEDLES), {**_obfuscation_counts(), "words": word_count(F.col(_BYTES))})
     long_words = _long_word_score(F.length(F.col(_BYTES)), F.col("words"))
     score = F.least(_code_score() + long_words, F.lit(1.0))
     terms = {name: F.col(name) for name in ("long_runs", "hex_escapes", "decoder_names", "words")}
@@ -400,7 +442,7 @@ def obfuscation_scores(files: DataFrame) -> DataFrame:
 def behaviour_scores(files: DataFrame) -> DataFrame:
     """Behaviour score of every file."""
     kept = [c for c in files.columns if c != "content"]
-    df = _sealed(_with_text(files), kept, {"behaviour_score": _behaviour_score()})
+    df = _sealed(_with_text(files, _BEHAVIOUR_NEEDLES), kept, {"behaviour_score": _behaviour_score()})
     return df.select("*", (F.col("behaviour_score") > cat.BEHAVIOUR_THRESHOLD).alias("is_malicious"))
 
 

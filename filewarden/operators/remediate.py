@@ -144,14 +144,22 @@ def restore_rows(requests: DataFrame, quarantine: DataFrame) -> DataFrame:
     return newest.join(content, "id", "left").select("path", "id", "content", outcome.alias("outcome"))
 
 
-def restore_contents(files: DataFrame, restored: DataFrame) -> DataFrame:
-    """The corpus with restored contents put back."""
-    back = restored.filter(F.col("outcome") == OK).select("path", F.col("content").alias("__back"), F.lit(True).alias("__hit"))
-    content = F.when(F.col("__hit"), F.col("__back")).otherwise(F.col("content"))
-    joined = files.join(back, "path", "left").withColumn("content", content)
-    return joined.select(
-        *[F.octet_length("content").cast("bigint").alias("size") if c == "size" else F.col(c) for c in files.columns]
-    )
+def restore_contents(files: DataFrame, restored: DataFrame, at: datetime) -> DataFrame:
+    """The corpus with restored contents put back.
+
+    Restored rows replace the rows of their paths: the corpus is only filtered by
+    path (in place when the paths are few), so no content is joined or shuffled.
+    """
+    back = restored.filter(F.col("outcome") == OK)
+    paths = broadcast_if_small(back.select("path"))
+    values = {
+        "path": F.col("path"),
+        "content": F.col("content"),
+        "size": F.octet_length("content").cast("bigint"),
+        "mtime": as_timestamp(at),
+    }
+    rows = back.select(*[values.get(c, F.lit(None)).cast(files.schema[c].dataType).alias(c) for c in files.columns])
+    return files.join(paths, "path", "left_anti").select(files.columns).unionByName(rows)
 
 
 def mark_restored(quarantine: DataFrame, restored: DataFrame, at: datetime) -> DataFrame:

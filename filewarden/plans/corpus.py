@@ -6,12 +6,16 @@ document number). All text is kept; the line starts 100 blanks after it.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewarden.operators import scan
+from filewarden.session import checkpoint_dir
 from filewarden.settings import ScanSettings
-from filewarden.sources.files import files_from_text
+from filewarden.sources.files import files_from_text, spread
 
 # Appended code lines, folders and extensions of the corpus.
 SNIPPETS = (
@@ -46,13 +50,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
+    shared = checkpoint_dir(spark)
+    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="filewarden-")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the work folder and read back."""
+    path = f"{work_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`files` rows plus `file_no`: every document and every page, whole."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     number = F.col("doc_id")
     folder = F.col("lang")
     for remainder, name in FOLDERS.items():
@@ -62,15 +79,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = files_from_text(documents, doc_path, text)
     host = F.regexp_extract("url", "://([^/]+)", 1)
     page_path = F.concat(F.lit("/web/"), host, F.lit("/"), "page_id", F.lit(".html"))
-    pages = files_from_text(table(spark, sf_dir, "pages"), page_path, F.col("html"))
+    pages = files_from_text(spread(table(spark, sf_dir, "pages")), page_path, F.col("html"))
     return docs.unionByName(pages).withColumn("file_no", F.regexp_extract("path", r"/([0-9]+)\.[^/]*$", 1).cast("bigint"))
 
 
 def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as they are."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     docs = files_from_text(documents, F.concat(F.lit("/doc/"), "doc_id"), F.col("text"))
-    pages = files_from_text(table(spark, sf_dir, "pages"), F.concat(F.lit("/page/"), "page_id"), F.col("html"))
+    pages = files_from_text(spread(table(spark, sf_dir, "pages")), F.concat(F.lit("/page/"), "page_id"), F.col("html"))
     return docs.unionByName(pages)
 
 

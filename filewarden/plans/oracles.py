@@ -111,7 +111,7 @@ obf AS (
   FROM obf1)"""
 
 _BEHAVIOUR = " + ".join(
-    f"CASE WHEN regexp_matches(content, {_s(_re2(p))}) THEN {w}::DOUBLE ELSE 0::DOUBLE END" for p, w, _ in cat.BEHAVIOURS
+    f"CASE WHEN regexp_matches(content, {_s(_re2(p))}) THEN {w}::DOUBLE ELSE 0::DOUBLE END" for p, w in cat.BEHAVIOURS
 )
 BEHAVIOUR = f"beh AS (SELECT path, content, file_no, least({_BEHAVIOUR}, 1::DOUBLE) AS score FROM files)"
 

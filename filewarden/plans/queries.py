@@ -31,6 +31,7 @@ from filewarden.plans.corpus import (
     pick,
     plain_files,
     results_table,
+    stored,
     table,
 )
 from filewarden.settings import ScanSettings
@@ -561,8 +562,11 @@ def admission_audit(spark, sf):
 
 
 def _flagged(spark, sf):
-    """Critical threats as quarantine requests, plus one unknown id per request."""
-    found = results_table(spark, sf)
+    """Critical threats as quarantine requests, plus one unknown id per request.
+
+    Requests refer to a stored results table, so the scan is written once.
+    """
+    found = stored(results_table(spark, sf))
     ids = found.filter("threat_severity = 'critical'").select("id")
     return found, ids.unionByName(ids.select(F.concat("id", F.lit("x")).alias("id")))
 
@@ -647,7 +651,7 @@ def restore_marks(spark, sf):
 def restore_overlay(spark, sf):
     files = corpus(spark, sf)
     restored = remediate.restore_rows(files.filter("file_no % 2 = 0").select("path"), _quarantine_table(spark, sf))
-    after = remediate.restore_contents(files, restored)
+    after = remediate.restore_contents(files, restored, ACTION_TIME)
     return after.select("path", "size", F.sha2("content", 256).alias("content_hash"))
 
 

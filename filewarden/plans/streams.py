@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -11,18 +10,11 @@ from pyspark.sql import functions as F
 
 from filewarden.operators.scan import threats
 from filewarden.plans import corpus as cp
-from filewarden.session import checkpoint_dir
 from filewarden.streaming import admission as admission_streaming
 from filewarden.streaming import audit as audit_streaming
 from filewarden.streaming import scan as scan_streaming
 
 
-def _work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    shared = checkpoint_dir(spark)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="filewarden-")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = cp.table(spark, sf_dir, "events")
     return spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -30,7 +22,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_scan(spark, sf):
     """The corpus as arriving files: written once as Parquet, read back as a stream."""
-    work = _work_folder(spark)
+    work = cp.work_folder(spark)
     cp.corpus(spark, sf).select("path", "content", "size", "mtime").write.parquet(f"{work}/arrivals")
     analysed = scan_streaming.scan_stream(scan_streaming.read_arrivals(spark, f"{work}/arrivals"))
     query = (
@@ -46,7 +38,7 @@ def stream_scan(spark, sf):
 
 
 def _streamed_hours(spark, sf):
-    work = _work_folder(spark)
+    work = cp.work_folder(spark)
     log = _events(spark, sf).select(
         F.col("ts").cast("timestamp").alias("created_at"),
         "event_type",
@@ -88,7 +80,7 @@ def stream_admission(spark, sf):
     """`events` as a stream of calls in day-sized batches."""
     from filewarden.plans.queries import ADMISSION_LIMIT, ADMISSION_WINDOW
 
-    work = _work_folder(spark)
+    work = cp.work_folder(spark)
     calls = cp.calls_table(spark, sf)
     days = [datetime(2024, 1, d) for d in (11, 21)]
     for start, end in zip([None, *days], [*days, None]):

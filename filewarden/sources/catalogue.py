@@ -37,6 +37,12 @@ class Rule:
 
     `needles` is a cheap necessary condition on the lower-cased content: each
     inner tuple must have at least one member present. Empty means unknown.
+    Needles are fragments that start with an uncommon byte, because a substring
+    search stops at every occurrence of the first one.
+
+    `exists`, if given, matches exactly the same contents as `pattern` in linear
+    time. Patterns with several `.*` may need cubic time on long lines; they run
+    only where there is a match to find.
     """
 
     rule_ord: int
@@ -48,6 +54,7 @@ class Rule:
     confidence: float | None
     needles: tuple[tuple[str, ...], ...] = ()
     name: str = ""
+    exists: str = ""
 
 
 # ---------------------------------------------------------------------------
@@ -88,14 +95,26 @@ SIGNATURE_CONFIDENCE = 0.9
 # Necessary substrings of the default signatures, keyed by pattern: a catalogue
 # entry with another pattern is always evaluated.
 SIGNATURE_NEEDLES = {
-    r"/eval\s*\(\s*base64_decode\s*\(/": (("eval",), ("base64_decode",)),
-    r"/include\s*\(\s*\$_[GET|POST|REQUEST]/": (("include",), ("$_",)),
-    r"/shell_exec\s*\(\s*\$_[GET|POST|REQUEST]/": (("shell_exec",), ("$_",)),
-    r"/c99|r57|wso|b374k|FilesMan|WSO/i": (("c99", "r57", "wso", "b374k", "filesman"),),
-    r"""/base64_decode\s*\(\s*['"][A-Za-z0-9+\/=]{100,}['"]/""": (("base64_decode",),),
-    r"/coinhive|cryptonight|monero|stratum\+tcp/i": (("coinhive", "cryptonight", "monero", "stratum+tcp"),),
-    r"/union\s+select.*from.*information_schema/i": (("information_schema",), ("union",)),
-    r"/wp_users.*password.*md5|wp_options.*siteurl.*update/i": (("wp_users", "wp_options"),),
+    r"/eval\s*\(\s*base64_decode\s*\(/": (("64_decode",), ("val",)),
+    r"/include\s*\(\s*\$_[GET|POST|REQUEST]/": (("$_",), ("clude",)),
+    r"/shell_exec\s*\(\s*\$_[GET|POST|REQUEST]/": (("_exec",), ("$_",)),
+    r"/c99|r57|wso|b374k|FilesMan|WSO/i": (("99", "57", "wso", "374k", "filesman"),),
+    r"""/base64_decode\s*\(\s*['"][A-Za-z0-9+\/=]{100,}['"]/""": (("64_decode",),),
+    r"/coinhive|cryptonight|monero|stratum\+tcp/i": (("coinhive", "yptonight", "monero", "+tcp"),),
+    r"/union\s+select.*from.*information_schema/i": (("_schema",), ("union",)),
+    r"/wp_users.*password.*md5|wp_options.*siteurl.*update/i": (("_users", "_options"), ("wp_",)),
+}
+
+# `.*A.*B` spelled per line with atomic parts: the first A of a line, the first B after it, and so on.
+# White space may cross a line end, hence the second form of `union select`.
+SIGNATURE_EXISTS = {
+    r"/union\s+select.*from.*information_schema/i": (
+        r"(?dim)^(?>.*?union[^\S\n]+select)(?>.*?from).*?information_schema"
+        r"|union[^\S\n]*\n\s*select(?>.*?from).*?information_schema"
+    ),
+    r"/wp_users.*password.*md5|wp_options.*siteurl.*update/i": (
+        r"(?dim)^(?>.*?wp_users)(?>.*?password).*?md5|^(?>.*?wp_options)(?>.*?siteurl).*?update"
+    ),
 }
 
 # Function names watched by the heuristic layer and their severity.
@@ -128,6 +147,16 @@ FUNCTION_CONTEXT = {
     "base64_decode": (r"""base64_decode\s*\(\s*["'][A-Za-z0-9+/=]{50,}""",),
 }
 
+# Necessary fragments of the calls that can raise a threat.
+FUNCTION_NEEDLES = {
+    "eval": (("val",), ("eval",)),
+    "exec": (("xec",),),
+    "shell_exec": (("_exec",),),
+    "system": (("ystem",),),
+    "file_get_contents": (("_get_contents",),),
+    "base64_decode": (("64_decode",),),
+}
+
 # Call confidence, a base plus weights for what the surroundings contain.
 FUNCTION_BASE_CONFIDENCE = 0.5
 FUNCTION_CONFIDENCE_WEIGHTS = (
@@ -146,7 +175,7 @@ HEURISTICS = (
         "medium",
         "Direct usage of user input without sanitization",
         0.6,
-        (("$_",), ("get", "post", "request", "cookie")),
+        (("$_",), ("[",)),
     ),
     Rule(
         HEURISTIC_ORD + 1,
@@ -156,7 +185,7 @@ HEURISTICS = (
         "high",
         "Dynamic file inclusion with variable",
         0.8,
-        (("include", "require"), ("$",)),
+        (("$",), ("quire", "clude")),
     ),
 )
 PATTERNS = (
@@ -168,7 +197,7 @@ PATTERNS = (
         "medium",
         "String replacement pattern commonly used in malware",
         0.7,
-        (("str_replace",), ("$",)),
+        (("_replace",), ("$",)),
     ),
     Rule(
         PATTERN_ORD + 1,
@@ -178,7 +207,7 @@ PATTERNS = (
         "low",
         "Variable concatenation pattern",
         0.4,
-        (("$",), ("=",)),
+        (("$",), ("=",), (".",)),
     ),
     Rule(
         PATTERN_ORD + 2,
@@ -188,25 +217,40 @@ PATTERNS = (
         "high",
         "Character building loop commonly used in obfuscation",
         0.8,
-        (("for",), ("chr",), ("$",)),
+        (("$",), ("chr",), ("for",)),
     ),
 )
 
-# Behaviour patterns in summation order (pattern, weight, needles).
+# Behaviour patterns in summation order (pattern, weight).
 BEHAVIOURS = (
-    (r"(?d)wp_users.*password", 0.4, (("wp_users",), ("password",))),
-    (r"(?d)admin.*user.*add", 0.3, (("admin",), ("user",), ("add",))),
-    (r"""(?d)file_get_contents\s*\(\s*["']https?://""", 0.2, (("file_get_contents",), ("http",))),
-    (r"(?di)curl.*exec.*post", 0.3, (("curl",), ("exec",), ("post",))),
-    (r"(?d)mail\s*\(.*@.*\)", 0.1, (("mail",), ("@",))),
-    (r"""(?d)\$_SERVER\s*\[\s*["']HTTP_""", 0.2, (("$_server",), ("http_",))),
+    (r"(?d)wp_users.*password", 0.4),
+    (r"(?d)admin.*user.*add", 0.3),
+    (r"""(?d)file_get_contents\s*\(\s*["']https?://""", 0.2),
+    (r"(?di)curl.*exec.*post", 0.3),
+    (r"(?d)mail\s*\(.*@.*\)", 0.1),
+    (r"""(?d)\$_SERVER\s*\[\s*["']HTTP_""", 0.2),
+)
+# How each behaviour is tested: needles, and the same condition in linear time (only existence counts).
+BEHAVIOUR_TESTS = (
+    ((("_users",), ("password",)), r"(?dm)^(?>.*?wp_users).*?password"),
+    ((("dmin",), ("user",), ("add",)), r"(?dm)^(?>.*?admin)(?>.*?user).*?add"),
+    ((("_get_contents",), ("://",)), BEHAVIOURS[2][0]),
+    ((("xec",), ("curl",), ("post",)), r"(?dim)^(?>.*?curl)(?>.*?exec).*?post"),
+    (
+        (("@",), ("mail",), (")",)),
+        r"(?dm)^(?>.*?mail[^\S\n]*\()(?>.*?@).*?\)|mail[^\S\n]*\n\s*\((?>.*?@).*?\)",
+    ),
+    ((("$_server",), ("http_",)), BEHAVIOURS[5][0]),
 )
 BEHAVIOUR_THRESHOLD = 0.6
 
 # Obfuscation score terms and limits.
 LONG_RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{50,}+"  # possessive and anchored: no retry inside a run
+# Any run of 50 covers one of the 25-byte blocks counted from the start: a cheap test before counting.
+LONG_RUN_BLOCK = r"(?s)\A(?:.{25})*?[A-Za-z0-9+/=]{25}"
 HEX_ESCAPE = r"\\x[0-9A-Fa-f]{2}"
 DECODER_NAMES = ("str_rot13", "base64_decode", "gzinflate", "gzuncompress")
+DECODER_NEEDLES = (("_rot13", "64_decode", "zinflate", "zuncompress"),)
 LONG_RUN_WEIGHT = 0.1
 HEX_ESCAPE_WEIGHT = 0.05
 DECODER_WEIGHT = 0.2
@@ -253,6 +297,7 @@ def signature_rule(position: int, name: str, pattern: str, severity: str, descri
         confidence,
         SIGNATURE_NEEDLES.get(pattern, ()),
         name,
+        SIGNATURE_EXISTS.get(pattern, ""),
     )
 
 
@@ -274,7 +319,7 @@ def function_rules() -> list[Rule]:
             severity,
             f"Suspicious usage of function: {name}",
             None,
-            ((name,),),
+            FUNCTION_NEEDLES[name],
             name,
         )
         for i, (name, severity) in enumerate(FUNCTION_SEVERITY.items())

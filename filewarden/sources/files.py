@@ -113,3 +113,14 @@ def _as_files(table: DataFrame, path: Column, content: Column, mtime: Column | N
 def content_hashes(files: DataFrame) -> DataFrame:
     """(path, sha256) of every readable file."""
     return files.filter(F.col("content").isNotNull()).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a table that has fewer splits than the cluster has cores.
+
+    Scanning is bound by CPU, so a small table in one file should use all cores.
+    Fewer splits than cores also means less than one split of data per core, which
+    bounds the shuffle; larger tables keep their splits and are not shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -185,11 +185,37 @@ def test_needles_never_hide_a_match(spark, make_files):
     files = make_files(contents)
     guarded = detect.signature_hits(files)
     bare = detect.signature_hits(
-        files, [cat.Rule(**{**r.__dict__, "needles": ()}) for r in cat.default_signatures()]
+        files, [cat.Rule(**{**r.__dict__, "needles": (), "exists": ""}) for r in cat.default_signatures()]
     )
     assert sorted(guarded.collect()) == sorted(bare.collect())
 
 
+def test_linear_tests_equal_their_patterns(spark):
+    """Every linear-time form agrees with its pattern, on crafted and on random texts."""
+    import random
+
+    words = ["wp_users", "password", "md5", "admin", "user", "add", "CURL", "curl", "exec", "post", "mail", "(", ")"]
+    words += ["@", "\n", " ", "\r", "union", "select", "from", "information_schema", "wp_options", "siteurl", "update"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(words, k=rng.randint(2, 9))) for _ in range(4000)]
+    texts += ["mail(x mail\n(@)", "mail\n\n (a@b)", "mail(\n@)", "union\nselect from information_schema", "union \n\t select a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    pairs = [(p, test) for (p, _), (_, test) in zip(cat.BEHAVIOURS, cat.BEHAVIOUR_TESTS)]
+    pairs += [(r.pattern, r.exists) for r in cat.default_signatures() if r.exists]
+    checks = [F.count_if(F.col("t").rlike(p) != F.col("t").rlike(x)).alias(f"d{i}") for i, (p, x) in enumerate(pairs)]
+    hits = [F.count_if(F.col("t").rlike(p)).alias(f"h{i}") for i, (p, _) in enumerate(pairs)]
+    row = df.agg(*checks, *hits).first()
+    assert all(row[f"d{i}"] == 0 for i in range(len(pairs)))
+    assert sum(row[f"h{i}"] > 0 for i in range(len(pairs))) >= len(pairs) - 2
+
+
+def test_long_run_block_is_necessary(spark):
+    rows = [("x " * a + "Z" * n + " y",) for a in range(0, 30, 3) for n in range(45, 80)]
+    df = spark.createDataFrame(rows, "t STRING")
+    bad = df.filter(F.col("t").rlike(cat.LONG_RUN) & ~F.col("t").rlike(cat.LONG_RUN_BLOCK)).count()
+    assert bad == 0 and df.filter(F.col("t").rlike(cat.LONG_RUN)).count() == 300
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [("", 0), ("-", 0), ("'-", 0), ("--", 0), ("a", 1), ("don't stop-it", 2), ("- a", 1), ("a -", 1), ("1 b2c d", 3)],
