@@ -76,11 +76,13 @@ def quarantine_rows(
     """Flagged paths with their content as `quarantine` rows plus `outcome`.
 
     The flagged side is broadcast only after it was measured to be small; then the
-    corpus is filtered in place and content is not shuffled.
+    corpus is filtered in place and only flagged content is shuffled.
     """
     now = as_timestamp(at)
-    wanted = broadcast_if_small(flagged)
-    hit = files.select("path", "content").withColumn("__exists", F.lit(True)).join(wanted, "path", "right")
+    found = files.select("path", "content", F.lit(True).alias("__exists")).join(
+        broadcast_if_small(flagged.select("path")), "path"
+    )
+    hit = flagged.join(found, "path", "left")
     outcome = (
         F.when(F.col("__exists").isNull(), F.lit(FILE_NOT_FOUND))
         .when(F.col("content").isNull(), F.lit(FILE_NOT_READABLE))
@@ -130,7 +132,8 @@ def quarantine_size(quarantine: DataFrame) -> DataFrame:
 def restore_rows(requests: DataFrame, quarantine: DataFrame) -> DataFrame:
     """For `requests(path)`: the newest open quarantine row and an outcome.
 
-    The newest id per path is picked from narrow columns; content is fetched by id.
+    The newest id per path is picked from narrow columns; content is fetched by id,
+    and only that of the picked rows is shuffled.
     """
     asked = requests.select("path").distinct()
     opened = open_quarantine(quarantine)
@@ -139,7 +142,8 @@ def restore_rows(requests: DataFrame, quarantine: DataFrame) -> DataFrame:
         .agg(F.max_by("id", F.struct("quarantined_at", "id")).alias("id"))
         .join(asked, "path", "right")
     )
-    content = opened.select("id", F.col("original_content").alias("content"))
+    wanted = broadcast_if_small(newest.filter(F.col("id").isNotNull()).select("id"))
+    content = opened.select("id", F.col("original_content").alias("content")).join(wanted, "id", "left_semi")
     outcome = F.when(F.col("id").isNull(), F.lit(NOT_QUARANTINED)).otherwise(F.lit(OK))
     return newest.join(content, "id", "left").select("path", "id", "content", outcome.alias("outcome"))
 
