@@ -40,8 +40,8 @@ def calls_per_second(calls: DataFrame) -> DataFrame:
     return calls.groupBy("api", F.unix_timestamp("ts").alias("second")).agg(F.count("*").alias("calls"))
 
 
-def trailing_calls(calls: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
-    """(api, second, calls, trailing): calls within the `window` seconds ending with each second.
+def _with_trailing(seconds: DataFrame, value: str, window: int) -> DataFrame:
+    """Add `trailing`: the sum of `value` over the `window` seconds ending with each (api, second).
 
     The running window is cut into chunks of time: a second also travels to the
     next chunk if it lies within `window` of it, and is dropped there afterwards.
@@ -50,21 +50,24 @@ def trailing_calls(calls: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
     chunk_seconds = max(CHUNK_SECONDS, window)
     chunk = F.floor(F.col("second") / chunk_seconds)
     reaches_next = F.col("second") % chunk_seconds >= chunk_seconds - window + 1
-    seconds = calls_per_second(calls).select(
-        "api",
-        "second",
-        "calls",
+    spread = seconds.select(
+        "*",
         chunk.alias("home"),
         F.explode(F.when(reaches_next, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("chunk"),
     )
     frame = W.partitionBy("api", "chunk").orderBy("second").rangeBetween(-(window - 1), 0)
     return (
-        seconds.withColumn("trailing", F.sum("calls").over(frame))
+        spread.withColumn("trailing", F.sum(value).over(frame))
         .filter(F.col("home") == F.col("chunk"))
-        .select("api", "second", "calls", "trailing")
+        .select(*seconds.columns, "trailing")
     )
 
 
+def trailing_calls(calls: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
+    """(api, second, calls, trailing): calls within the `window` seconds ending with each second."""
+    return _with_trailing(calls_per_second(calls), "calls", window)
+
+
 def with_trailing_calls(calls: DataFrame, window: int = WINDOW_SECONDS) -> DataFrame:
     """Every call with the number of calls of its api in the window ending with its second."""
     per_second = trailing_calls(calls, window).select(
@@ -98,17 +101,45 @@ def remaining_calls(
     )
 
 
+def _with_burst(seconds: DataFrame, window: int) -> DataFrame:
+    """Add `burst`, the first second of the unbroken run of activity a second belongs to.
+
+    A run ends where nothing happened for a whole window; no earlier call can then
+    matter, so runs are independent. The last run start is carried into a chunk of
+    time from the chunks before it: the wide step sees seconds of one chunk, the
+    narrow one a single row per api and chunk.
+    """
+    start = F.when(F.col("trailing") == F.col("activity"), F.col("second"))
+    active = (
+        _with_trailing(seconds.withColumn("activity", F.col("calls") + F.col("carried")), "activity", window)
+        .withColumn("start", start)
+        .withColumn("chunk", F.floor(F.col("second") / CHUNK_SECONDS))
+    )
+    before = W.partitionBy("api").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        active.groupBy("api", "chunk")
+        .agg(F.max("start").alias("last_start"))
+        .withColumn("earlier_start", F.max("last_start").over(before))
+        .select("api", "chunk", "earlier_start")
+    )
+    so_far = W.partitionBy("api", "chunk").orderBy("second").rowsBetween(W.unboundedPreceding, 0)
+    within = active.withColumn("start", F.max("start").over(so_far))
+    return within.join(carried, ["api", "chunk"]).select(
+        *seconds.columns, F.coalesce("start", "earlier_start").alias("burst")
+    )
+
+
 def _fold_seconds(window: int):
-    """Greedy admission over rows sorted by (api, second); carries at most one window of state."""
+    """Greedy admission over rows sorted by (api, burst, second); carries at most one window of state."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        api, live, used = None, deque(), 0
+        run, live, used = None, deque(), 0
         for batch in batches:
             accepted = []
-            columns = (batch.column(c).to_pylist() for c in ("api", "second", "calls", "carried", "api_limit"))
-            for name, second, calls, carried, limit in zip(*columns):
-                if name != api:
-                    api, live, used = name, deque(), 0
+            columns = (batch.column(c).to_pylist() for c in ("api", "burst", "second", "calls", "carried", "api_limit"))
+            for api, burst, second, calls, carried, limit in zip(*columns):
+                if (api, burst) != run:
+                    run, live, used = (api, burst), deque(), 0
                 while live and second - live[0][0] >= window:
                     used -= live.popleft()[1]
                 n = min(calls, max(limit - used - carried, 0))
@@ -134,9 +165,10 @@ def accepted_per_second(
     """(api, second, calls, accepted): how many calls of each second are let through.
 
     A call is accepted while fewer than the limit of *accepted* calls lie in the
-    window before it. That is sequential per api, but only over seconds: rows are
-    sorted within their partition and folded as a stream, with one window of state
-    in memory. `carried(api, second, accepted)` holds earlier accepted calls.
+    window before it. That is sequential, but only over the seconds of one
+    unbroken run of activity: runs are spread over the cluster, and each is folded
+    as a sorted stream with one window of state in memory. `carried(api, second,
+    accepted)` holds earlier accepted calls.
     """
     zero = F.lit(0).cast("bigint")
     seconds = calls_per_second(calls).withColumn("carried", zero)
@@ -148,9 +180,10 @@ def accepted_per_second(
             .agg(F.sum("calls").alias("calls"), F.sum("carried").alias("carried"))
         )
     ordered = (
-        seconds.withColumn("api_limit", api_limit(F.col("api"), limits, default).cast("bigint"))
-        .repartition("api")
-        .sortWithinPartitions("api", "second")
+        _with_burst(seconds, window)
+        .withColumn("api_limit", api_limit(F.col("api"), limits, default).cast("bigint"))
+        .repartition("api", "burst")
+        .sortWithinPartitions("api", "burst", "second")
     )
     folded = ordered.mapInArrow(_fold_seconds(window), "api STRING, second BIGINT, calls BIGINT, accepted BIGINT")
     return folded.filter("calls > 0")

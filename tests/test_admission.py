@@ -53,6 +53,14 @@ def test_hot_key_equals_sequential_model(spark):
     assert got == model(rows, lambda api: 5 if api == "hot" else 3, 60)
 
 
+def test_bursts_across_chunks_and_gaps(spark):
+    """Runs that start before a chunk border, cross several chunks, or stop for exactly one window."""
+    rows = [("x", s) for s in range(3000, 11500, 7)] + [("x", 11500 + 59), ("x", 11500 + 119), ("x", 20000)]
+    rows += [("y", s) for s in (0, 59, 118, 3599, 3600, 7199, 7259)]
+    got = decide(spark, rows, limits={}, default=2)
+    assert got == model(rows, lambda api: 2, 60)
+
+
 def test_carried_calls_continue_a_window(spark):
     rng = random.Random(5)
     rows = sorted([("hot" if rng.random() < 0.7 else "b", rng.randint(0, 600)) for _ in range(800)], key=lambda r: r[1])
