@@ -125,7 +125,8 @@ def _first_match(rule: Rule) -> str:
     condition = _may_match(rule.needles)
     if rule.exists:
         condition += f" AND {_BYTES} RLIKE {_text(rule.exists)}"
-    return f"IF({condition}, regexp_extract({_BYTES}, {_text(rule.pattern)}, 0), '')"
+    pattern, group = (rule.linear, 1) if rule.linear else (rule.pattern, 0)
+    return f"IF({condition}, regexp_extract({_BYTES}, {_text(pattern)}, {group}), '')"
 
 
 def _context(rule: Rule) -> str:

@@ -40,9 +40,9 @@ class Rule:
     Needles are fragments that start with an uncommon byte, because a substring
     search stops at every occurrence of the first one.
 
-    `exists`, if given, matches exactly the same contents as `pattern` in linear
-    time. Patterns with several `.*` may need cubic time on long lines; they run
-    only where there is a match to find.
+    Patterns with `.*` may need quadratic or cubic time on long lines. `linear`,
+    if given, finds the same first match in linear time as its group 1; `exists`
+    matches exactly the same contents as `pattern` and is tested before it.
     """
 
     rule_ord: int
@@ -55,6 +55,18 @@ class Rule:
     needles: tuple[tuple[str, ...], ...] = ()
     name: str = ""
     exists: str = ""
+    linear: str = ""
+
+
+def line_anchored(head: str, inline_head: str, rest: str, flags: str = "dm") -> str:
+    """First match of `head` + `rest` (as group 1), trying `rest` once per line.
+
+    `rest` stays on the line where the head ends, so if it fails after the first head
+    of a line it fails after all of them. `inline_head` is the head without line
+    ends; a head that spans lines is the last one of its line and gets its own try.
+    """
+    return rf"(?{flags})(?:^(?>.*?(?={inline_head}))|(?!{inline_head})(?={head}))({head}{rest})"
+
 
 
 # ---------------------------------------------------------------------------
@@ -106,17 +118,22 @@ SIGNATURE_NEEDLES = {
 }
 
 # `.*A.*B` spelled per line with atomic parts: the first A of a line, the first B after it, and so on.
-# White space may cross a line end, hence the second form of `union select`.
 SIGNATURE_EXISTS = {
-    r"/union\s+select.*from.*information_schema/i": (
-        r"(?dim)^(?>.*?union[^\S\n]+select)(?>.*?from).*?information_schema"
-        r"|union[^\S\n]*\n\s*select(?>.*?from).*?information_schema"
-    ),
     r"/wp_users.*password.*md5|wp_options.*siteurl.*update/i": (
         r"(?dim)^(?>.*?wp_users)(?>.*?password).*?md5|^(?>.*?wp_options)(?>.*?siteurl).*?update"
     ),
 }
 
+# The greedy match ends at the last `information_schema` of the line, given a `from` before one.
+SIGNATURE_LINEAR = {
+    r"/union\s+select.*from.*information_schema/i": line_anchored(
+        r"union\s+select",
+        r"union[^\S\n]+select",
+        r"(?=(?>.*?from).*?information_schema).*information_schema",
+        "dim",
+    ),
+}
+
 # Function names watched by the heuristic layer and their severity.
 FUNCTION_SEVERITY = {
     "eval": "high",
@@ -176,6 +193,9 @@ HEURISTICS = (
         "Direct usage of user input without sanitization",
         0.6,
         (("$_",), ("[",)),
+        linear=line_anchored(
+            r"\$_(?:GET|POST|REQUEST|COOKIE)\s*\[", r"\$_(?:GET|POST|REQUEST|COOKIE)[^\S\n]*\[", r".*?\]"
+        ),
     ),
     Rule(
         HEURISTIC_ORD + 1,
@@ -218,6 +238,11 @@ PATTERNS = (
         "Character building loop commonly used in obfuscation",
         0.8,
         (("$",), ("chr",), ("for",)),
+        linear=line_anchored(
+            r"for\s*\(\s*\$[a-zA-Z_][a-zA-Z0-9_]*\s*=\s*0",
+            r"for[^\S\n]*\([^\S\n]*\$[a-zA-Z_][a-zA-Z0-9_]*[^\S\n]*=[^\S\n]*0",
+            r".*?chr\s*\(",
+        ),
     ),
 )
 
@@ -298,6 +323,7 @@ def signature_rule(position: int, name: str, pattern: str, severity: str, descri
         SIGNATURE_NEEDLES.get(pattern, ()),
         name,
         SIGNATURE_EXISTS.get(pattern, ""),
+        SIGNATURE_LINEAR.get(pattern, ""),
     )
 
 

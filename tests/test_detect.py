@@ -185,7 +185,7 @@ def test_needles_never_hide_a_match(spark, make_files):
     files = make_files(contents)
     guarded = detect.signature_hits(files)
     bare = detect.signature_hits(
-        files, [cat.Rule(**{**r.__dict__, "needles": (), "exists": ""}) for r in cat.default_signatures()]
+        files, [cat.Rule(**{**r.__dict__, "needles": (), "exists": "", "linear": ""}) for r in cat.default_signatures()]
     )
     assert sorted(guarded.collect()) == sorted(bare.collect())
 
@@ -209,6 +209,41 @@ def test_linear_tests_equal_their_patterns(spark):
     assert sum(row[f"h{i}"] > 0 for i in range(len(pairs))) >= len(pairs) - 2
 
 
+def test_linear_first_matches_equal_their_patterns(spark):
+    import random
+
+    words = ["$_GET", "$_POST", "[", "]", "for", "(", "$i", "=", "0", "chr", "chr(", "union", "select", "from"]
+    words += ["information_schema", "\n", " ", "\r", "for($i=0", "$_GET[", "UNION SELECT"]
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(words, k=rng.randint(2, 12))) for _ in range(6000)]
+    heads = ["$_GET\n[ ]", "$_GET[ $_GET\n[ ]", "for(\n$i=0 for($j=0\n chr(", "for($i=0 for(\n$j=0 chr\n(", "union\nselect from from information_schema from"]
+    df = spark.createDataFrame([(t,) for t in texts + heads], "t STRING")
+    rules = [r for r in [*cat.default_signatures(), *cat.HEURISTICS, *cat.PATTERNS] if r.linear]
+    assert len(rules) == 3
+    pairs = [(F.regexp_extract("t", r.pattern, 0), F.regexp_extract("t", r.linear, 1)) for r in rules]
+    row = df.agg(
+        *[F.count_if(a != b).alias(f"d{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.count_if(a != "").alias(f"h{i}") for i, (a, _) in enumerate(pairs)],
+    ).first()
+    assert [row[f"d{i}"] for i in range(3)] == [0, 0, 0] and all(row[f"h{i}"] > 5 for i in range(3))
+
+
+def test_long_lines_without_a_match_stay_cheap(make_files):
+    """Megabyte lines of unfinished starts: quadratic patterns would not return."""
+    import time
+
+    contents = {
+        "input": "$_GET[" * 300_000,
+        "loop": "for($i=0 " * 200_000 + "\nchr",
+        "sql": "union select from " * 100_000 + "\ninformation_schema",
+        "mail": "mail(@" * 300_000 + "\n)",
+        "admin": "admin user " * 150_000 + "\nadd",
+    }
+    start = time.time()
+    assert scan.threats(scan.analyse(make_files(contents))).count() == 0
+    assert time.time() - start < 60
+
+
 def test_long_run_block_is_necessary(spark):
     rows = [("x " * a + "Z" * n + " y",) for a in range(0, 30, 3) for n in range(45, 80)]
     df = spark.createDataFrame(rows, "t STRING")
