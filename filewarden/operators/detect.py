@@ -207,11 +207,6 @@ def threat_struct(
     return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in THREAT.fields])
 
 
-def _keep(fired: Column, confidence: Column, threshold: float | None, threat: Column) -> Column:
-    """The threat where it fired and reaches the threshold (None keeps everything that fired)."""
-    return F.when(fired if threshold is None else fired & (confidence >= F.lit(threshold)), threat)
-
-
 def _reachable(rules: Iterable[Rule], threshold: float | None) -> list[Rule]:
     """Rules that can still reach the threshold; the others need no expression at all."""
     return [r for r in rules if threshold is None or r.confidence is None or r.confidence >= threshold]
@@ -271,52 +266,44 @@ def _behaviour_score() -> Column:
     return F.expr(f"least({' + '.join(['0D', *terms])}, 1D)")
 
 
-def _obfuscation_threat(score: Column, threshold: float | None) -> Column:
+def entropy_confidence(entropy: Column) -> Column:
+    return F.least((entropy - cat.ENTROPY_THRESHOLD) / 2, F.lit(1.0))
+
+
+def _score_threat(
+    rule_ord: int, kind: tuple[str, ...], fired: Column, confidence: Column, shown: Column, threshold: float | None
+) -> Column:
+    """Whole-file threat of a score, NULL where it did not fire or stays below the threshold."""
+    type_, layer, severity, description, prefix = kind
     threat = threat_struct(
-        cat.OBFUSCATION_ORD,
-        "heuristic",
-        "obfuscated_code",
-        F.lit("medium"),
-        F.lit("Heavily obfuscated code detected"),
-        score,
-        F.concat(F.lit("High obfuscation score: "), number_text(F.round(score, 2))),
+        rule_ord,
+        layer,
+        type_,
+        F.lit(severity),
+        F.lit(description),
+        confidence,
+        F.concat(F.lit(prefix), shown),
         F.lit(0),
     )
-    return _keep(score > cat.OBFUSCATION_THRESHOLD, score, threshold, threat)
+    return F.when(fired if threshold is None else fired & (confidence >= F.lit(threshold)), threat)
 
 
-def entropy_confidence(entropy: Column) -> Column:
-    return F.least((entropy - cat.ENTROPY_THRESHOLD) / 2, F.lit(1.0))
+def _obfuscation_threat(score: Column, threshold: float | None) -> Column:
+    shown = number_text(F.round(score, 2))
+    fired = score > cat.OBFUSCATION_THRESHOLD
+    return _score_threat(cat.OBFUSCATION_ORD, cat.OBFUSCATED, fired, score, shown, threshold)
 
 
 def _entropy_threat(entropy: Column, threshold: float | None) -> Column:
-    confidence = entropy_confidence(entropy)
     shown = F.regexp_replace(F.format_string("%.13f", entropy), r"\.?0+$", "")
-    threat = threat_struct(
-        cat.ENTROPY_ORD,
-        "statistical",
-        "high_entropy",
-        F.lit("medium"),
-        F.lit("High entropy content suggesting encryption or obfuscation"),
-        confidence,
-        F.concat(F.lit("Entropy score: "), shown),
-        F.lit(0),
-    )
-    return _keep(entropy > cat.ENTROPY_THRESHOLD, confidence, threshold, threat)
+    fired = entropy > cat.ENTROPY_THRESHOLD
+    return _score_threat(cat.ENTROPY_ORD, cat.HIGH_ENTROPY, fired, entropy_confidence(entropy), shown, threshold)
 
 
 def _behaviour_threat(score: Column, threshold: float | None) -> Column:
-    threat = threat_struct(
-        cat.BEHAVIOUR_ORD,
-        "statistical",
-        "malicious_behavior",
-        F.lit("high"),
-        F.lit("Code exhibits malicious behavioral patterns"),
-        score,
-        F.concat(F.lit("Behavioral analysis score: "), number_text(F.round(score, 2))),
-        F.lit(0),
-    )
-    return _keep(score > cat.BEHAVIOUR_THRESHOLD, score, threshold, threat)
+    shown = number_text(F.round(score, 2))
+    fired = score > cat.BEHAVIOUR_THRESHOLD
+    return _score_threat(cat.BEHAVIOUR_ORD, cat.MALICIOUS, fired, score, shown, threshold)
 
 
 # --- ranking ----------------------------------------------------------------

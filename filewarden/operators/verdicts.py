@@ -11,7 +11,12 @@ from filewarden.operators.detect import threat_struct
 from filewarden.schema import MODEL_RESPONSE
 from filewarden.sources import catalogue as cat
 
-# Limits and defaults of the verdict layers.
+# Limits, defaults and texts of the verdict layers.
+REPUTATION_TYPE, REPUTATION_SOURCE = "virustotal_detection", "VirusTotal"
+REPUTATION_TEXT = "VirusTotal detected malware: %d/%d engines flagged this file"
+REPUTATION_EVIDENCE = "File hash: "
+MODEL_TYPE, MODEL_SOURCE = "openai_detection", "OpenAI"
+MODEL_TEXT, MODEL_EVIDENCE = "OpenAI detected potential malware", "AI analysis"
 REQUEST_BYTES = 4000
 SUBMIT_BELOW_BYTES = 650000
 DEFAULT_MODEL_CONFIDENCE = 70
@@ -36,8 +41,8 @@ def one_per_hash(table: DataFrame, value: str) -> DataFrame:
 def _lookup(analysed: DataFrame, table: DataFrame, value: str, as_name: str, gate: bool) -> DataFrame:
     """Attach a verdict value by hash; with `gate`, only files with a local threat ask for it.
 
-    A file that does not ask gets a random NULL-like key, never a shared one, so the
-    unasked rows spread evenly instead of meeting in one partition.
+    A file that does not ask gets a key of its own that matches nothing, so these
+    rows spread evenly instead of meeting in one partition.
     """
     side = one_per_hash(table, value).select(F.col("sha256").alias("__sha256"), F.col(value).alias(as_name))
     asks = F.size("threats") > 0 if gate else F.lit(True)
@@ -64,13 +69,13 @@ def reputation_threat(stats: Column, file_hash: Column) -> Column:
     threat = threat_struct(
         cat.REPUTATION_ORD,
         "reputation",
-        "virustotal_detection",
+        REPUTATION_TYPE,
         severity,
-        F.format_string("VirusTotal detected malware: %d/%d engines flagged this file", malicious, total),
+        F.format_string(REPUTATION_TEXT, malicious, total),
         confidence,
-        F.concat(F.lit("File hash: "), file_hash),
+        F.concat(F.lit(REPUTATION_EVIDENCE), file_hash),
         F.lit(0),
-        F.lit("VirusTotal"),
+        F.lit(REPUTATION_SOURCE),
     )
     return F.when(malicious > 0, threat)
 
@@ -87,13 +92,13 @@ def model_threat(response: Column) -> Column:
     threat = threat_struct(
         cat.MODEL_ORD,
         "model",
-        "openai_detection",
+        MODEL_TYPE,
         model_severity(analysis["risk_level"]),
-        F.coalesce(analysis["description"], F.lit("OpenAI detected potential malware")),
+        F.coalesce(analysis["description"], F.lit(MODEL_TEXT)),
         F.coalesce(analysis["confidence"], F.lit(float(DEFAULT_MODEL_CONFIDENCE))) / 100,
-        F.coalesce(analysis["evidence"], F.lit("AI analysis")),
+        F.coalesce(analysis["evidence"], F.lit(MODEL_EVIDENCE)),
         F.lit(0),
-        F.lit("OpenAI"),
+        F.lit(MODEL_SOURCE),
     )
     return F.when(F.coalesce(analysis["is_malicious"], F.lit(False)), threat)
 

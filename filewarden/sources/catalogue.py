@@ -287,6 +287,29 @@ OBFUSCATION_THRESHOLD = 0.7
 ENTROPY_THRESHOLD = 7.5
 MAX_ENTROPY_CONFIDENCE = 0.25
 
+# Threats raised by scores (type, layer, severity, description, evidence prefix).
+OBFUSCATED = (
+    "obfuscated_code",
+    "heuristic",
+    "medium",
+    "Heavily obfuscated code detected",
+    "High obfuscation score: ",
+)
+HIGH_ENTROPY = (
+    "high_entropy",
+    "statistical",
+    "medium",
+    "High entropy content suggesting encryption or obfuscation",
+    "Entropy score: ",
+)
+MALICIOUS = (
+    "malicious_behavior",
+    "statistical",
+    "high",
+    "Code exhibits malicious behavioral patterns",
+    "Behavioral analysis score: ",
+)
+
 _FLAG_MAP = {"i": "i", "s": "s", "m": "m", "x": "x"}
 _CLOSING = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
