@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,8 @@ from filewarden.streaming import scan as scan_streaming
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = cp.table(spark, sf_dir, "events")
-    return spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A glob is accepted whether the table is one file or a folder of files.
+    return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def stream_scan(spark, sf):
@@ -48,18 +48,16 @@ def _streamed_hours(spark, sf):
         .otherwise("info")
         .alias("severity"),
     )
-    name = f"hours_{uuid.uuid4().hex}"
     query = (
         audit_streaming.hourly_counts(log, "1 hour")
-        .writeStream.format("memory")
-        .queryName(name)
+        .writeStream.foreachBatch(lambda counts, _: counts.write.mode("overwrite").parquet(f"{work}/hours"))
         .outputMode("complete")
         .option("checkpointLocation", f"{work}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{work}/hours")
 
 
 def stream_audit_hours(spark, sf):

@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from filewarden.operators.scan import analyse, scan_results
 from filewarden.settings import ScanSettings
 from filewarden.sources.catalogue import Rule
-from filewarden.sources.sinks import append_scan_results
 
 
 def read_arrivals(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -45,16 +44,17 @@ def skip_seen(analysed: DataFrame, event_time: str = "mtime", horizon: str = "7
     return analysed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["path", "file_hash"])
 
 
-def write_scan_results(analysed: DataFrame, results_path: str, checkpoint: str, scan_prefix: str = "stream") -> StreamingQuery:
-    """Append threat rows batch by batch and stop when everything that had arrived is scanned.
+def write_scan_results(analysed: DataFrame, results_path: str, checkpoint: str, run: str = "stream") -> StreamingQuery:
+    """Write threat rows batch by batch and stop when everything that had arrived is scanned.
 
-    The batch number is part of the scan id. A batch that is replayed after a
-    failure writes rows with the same ids, which readers drop by id.
+    Each batch owns a folder below `run`, so a batch replayed after a failure
+    replaces its own rows. A new checkpoint needs a new `run` name.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = scan_results(batch, f"{scan_prefix}_{batch_id}", F.coalesce("mtime", F.lit(0).cast("timestamp")))
-        append_scan_results(rows, results_path)
+        at = F.coalesce("mtime", F.current_timestamp())
+        rows = scan_results(batch, f"{run}_{batch_id}", at)
+        rows.write.mode("overwrite").parquet(f"{results_path}/run={run}/batch={batch_id}")
 
     return (
         analysed.writeStream.foreachBatch(write)
@@ -65,8 +65,8 @@ def write_scan_results(analysed: DataFrame, results_path: str, checkpoint: str,
 
 
 def read_results(spark: SparkSession, results_path: str) -> DataFrame:
-    """Stored threat rows, each id once."""
-    return spark.read.parquet(results_path).dropDuplicates(["id"])
+    """Threat rows of all runs."""
+    return spark.read.parquet(results_path).drop("run", "batch")
 
 
 def stream_progress(query: StreamingQuery) -> list[dict]:

@@ -2,7 +2,6 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
 
 from filewarden.plans.jobs import Store, register_views, run_quarantine, run_restore, run_scan, run_scheduled_scan
 from filewarden.settings import ScanSettings
