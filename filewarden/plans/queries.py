@@ -355,7 +355,7 @@ def type_severity_rollup(spark, sf):
 
 
 def status_update(spark, sf):
-    table_ = results_table(spark, sf)
+    table_ = stored(results_table(spark, sf))
     number = F.conv(F.substring("id", 1, 2), 16, 10).cast("int")
     changes = table_.select(
         "id",
