@@ -6,14 +6,10 @@ document number). All text is kept; the line starts 100 blanks after it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewarden.operators import scan
-from filewarden.session import checkpoint_dir
 from filewarden.settings import ScanSettings
 from filewarden.sources.files import files_from_text, spread
 
@@ -50,19 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    shared = checkpoint_dir(spark)
-    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="filewarden-")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The table written to the work folder and read back."""
-    path = f"{work_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 

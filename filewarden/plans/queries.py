@@ -31,9 +31,9 @@ from filewarden.plans.corpus import (
     pick,
     plain_files,
     results_table,
-    stored,
     table,
 )
+from filewarden.session import stored
 from filewarden.settings import ScanSettings
 from filewarden.sources import catalogue
 from filewarden.sources.files import content_hashes, files_from_text, select_files

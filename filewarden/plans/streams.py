@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filewarden.operators.scan import threats
 from filewarden.plans import corpus as cp
+from filewarden.session import shared_folder
 from filewarden.streaming import admission as admission_streaming
 from filewarden.streaming import audit as audit_streaming
 from filewarden.streaming import scan as scan_streaming
@@ -22,7 +23,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_scan(spark, sf):
     """The corpus as arriving files: written once as Parquet, read back as a stream."""
-    work = cp.work_folder(spark)
+    work = shared_folder(spark)
     cp.corpus(spark, sf).select("path", "content", "size", "mtime").write.parquet(f"{work}/arrivals")
     analysed = scan_streaming.scan_stream(scan_streaming.read_arrivals(spark, f"{work}/arrivals"))
     query = (
@@ -38,7 +39,7 @@ def stream_scan(spark, sf):
 
 
 def _streamed_hours(spark, sf):
-    work = cp.work_folder(spark)
+    work = shared_folder(spark)
     log = _events(spark, sf).select(
         F.col("ts").cast("timestamp").alias("created_at"),
         "event_type",
@@ -78,7 +79,7 @@ def stream_admission(spark, sf):
     """`events` as a stream of calls in day-sized batches."""
     from filewarden.plans.queries import ADMISSION_LIMIT, ADMISSION_WINDOW
 
-    work = cp.work_folder(spark)
+    work = shared_folder(spark)
     calls = cp.calls_table(spark, sf)
     days = [datetime(2024, 1, d) for d in (11, 21)]
     for start, end in zip([None, *days], [*days, None]):

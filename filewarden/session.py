@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,27 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, in the folder that the cluster names in `spark.checkpoint.dir`.
+
+    Only a session in local mode, where every task runs on this machine, may leave it unset; a cluster without
+    it is an error, because its executors cannot see each other's local files.
+    """
+    shared = checkpoint_dir(spark)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"/tmp/filewarden-{spark.sparkContext.applicationId}"
+    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back; cuts the lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast when `df` is measured to be small; else leave the join to Spark.
 
