@@ -20,9 +20,22 @@ def op1_quality_rules(spark, sf):
     return judged.select("doc_id", *[f"quality.{name}" for name in names])
 
 
+def op4_source_mix(spark, sf):
+    from filewarden.llm.mixing import with_copies
+
+    mixed = with_copies(_table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op9_license_scan(spark, sf):
+    from filewarden.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def llm_queries():
     return {name: value for name, value in globals().items() if name.startswith("op")}
 
 
 def llm_oracles():
-    return {"op1_quality_rules": sql.OP1}
+    return {"op1_quality_rules": sql.OP1, "op4_source_mix": sql.OP4, "op9_license_scan": sql.OP9}

@@ -39,3 +39,73 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   bad::BIGINT AS n_failed_lines, lost::BIGINT AS n_lost_words
 FROM j
 """
+
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
+), c AS (
+  SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap,
+    sum(source_size) OVER () AS everything FROM s
+), o AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM c
+), f AS (
+  SELECT arg_min(everything - capped, capped)::DOUBLE / arg_min(open_weight, capped) AS level FROM o
+  WHERE cap >= (everything - capped)::DOUBLE / open_weight * weight
+), t AS (
+  SELECT source, source_size, coalesce(least(cap::DOUBLE, level * weight), 0) AS target,
+    ('0x' || substr(md5('mix:' || coalesce(source, chr(0))), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
+  FROM o, f
+), p AS (
+  SELECT d.*, source_size, target, u,
+    row_number() OVER (PARTITION BY d.source ORDER BY
+      greatest(length(bin(size)) - 6, 0) * 64 + (size >> greatest(length(bin(size)) - 6, 0)), ((coalesce(doc_id, -1) % 1024) + 1024) % 1024, doc_id, size) AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE size * least(3, floor(u + target * place / source_size) - floor(u + target * (place - 1) / source_size)) END::BIGINT AS taken
+FROM p
+"""
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w, row_number() OVER () AS rid
+  FROM documents
+), p AS (
+  SELECT rid, i - 1 AS i, CASE WHEN w[i:i + 3] = ['gnu', 'general', 'public', 'license'] THEN 'gpl'
+      WHEN w[i:i + 1] = ['apache', 'license'] THEN 'apache' WHEN w[i:i + 1] = ['cc', 'by'] THEN 'cc-by'
+      WHEN w[i:i + 1] = ['mit', 'license'] THEN 'mit' END AS label
+  FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), b AS (
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
+  FROM p WHERE label IS NOT NULL GROUP BY rid
+), t(label, body) AS (VALUES
+  ('all-rights-reserved', 'all rights reserved'),
+  ('apache-notice', 'licensed under the apache license version 2 0'),
+  ('bsd-notice', 'redistribution and use in source and binary forms with or without modification are permitted'),
+  ('cc-by-nc', 'licensed under cc by nc'),
+  ('gpl-notice', 'this work is licensed under the gnu general public license version'),
+  ('mit-notice', 'released under the mit license'),
+  ('mit-text', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
+  ('mpl-notice', 'this source code form is subject to the terms of the mozilla public license'),
+  ('public-domain', 'this work is dedicated to the public domain')
+), tw AS (
+  SELECT label, list_distinct(string_split(body, ' ')) AS t FROM t
+), k AS (
+  SELECT doc_id, w[s:s + 63] AS block FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 32, 1) + 1, 32)) AS s FROM d)
+), m AS (
+  SELECT doc_id, label, len(list_intersect(t, block))::DOUBLE / len(t) AS score FROM k, tw
+  WHERE len(list_intersect(t, block)) * 100 >= len(t) * 90
+), f AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(f.labels, []))), ',') AS labels,
+  CASE WHEN b.rid IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(f.score, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
+"""
