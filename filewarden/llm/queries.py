@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewarden.llm import sql
+from filewarden.session import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,13 @@ def op1_quality_rules(spark, sf):
     return judged.select("doc_id", *[f"quality.{name}" for name in names])
 
 
+def op3_warc_revisits(spark, sf):
+    from filewarden.llm.warc import archive
+
+    records = archive(_table(spark, sf, "pages").select("page_id", "url", "html"), shared_folder(spark))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op4_source_mix(spark, sf):
     from filewarden.llm.mixing import with_copies
 
@@ -27,6 +35,32 @@ def op4_source_mix(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_chat_format(spark, sf):
+    from filewarden.llm.chat import format_turns, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    columns = "conv_id bigint, turn bigint, role string, text string"
+    extra = spark.range(1).select(
+        F.inline(F.array(*[F.struct(F.lit(-1), F.lit(i), F.lit(role), F.lit(said)) for i, role in enumerate(("user", "assistant"))]))
+    )
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_turns(turns.union(extra.toDF(*[c.split()[0] for c in columns.split(", ")]))))
+
+
+def op7_bpe(spark, sf):
+    import public_tokenizers
+    from filewarden.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = decode(encode(_table(spark, sf, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_license_scan(spark, sf):
     from filewarden.llm.licenses import scan_licenses
 
@@ -38,4 +72,4 @@ def llm_queries():
 
 
 def llm_oracles():
-    return {"op1_quality_rules": sql.OP1, "op4_source_mix": sql.OP4, "op9_license_scan": sql.OP9}
+    return {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op9_license_scan": sql.OP9}

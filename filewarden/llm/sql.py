@@ -109,3 +109,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
   CASE WHEN b.rid IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(f.score, 0.0)::DOUBLE END AS score
 FROM d LEFT JOIN b USING (rid) LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
 """
+
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+OP6 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, sha256(role || chr(10) || text) AS place,
+    regexp_replace(role, '(\\*)(<s>|</s>|\[INST\]|\[/INST\])', '\1\1\\\2', 'g') AS erole,
+    regexp_replace(text, '(\\*)(<s>|</s>|\[INST\]|\[/INST\])', '\1\1\\\2', 'g') AS etext
+  FROM t
+), s AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, place) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, place) FILTER (role = 'assistant'), '') AS loss,
+    sum(length(erole) + length(etext) + length('<s> [INST]  [/INST]</s>') + 1) AS chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+  sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
+FROM s
+"""
