@@ -21,6 +21,12 @@ def op1_quality_rules(spark, sf):
     return judged.select("doc_id", *[f"quality.{name}" for name in names])
 
 
+def op2_embedding_dups(spark, sf):
+    from filewarden.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op3_warc_revisits(spark, sf):
     from filewarden.llm.warc import archive
 
