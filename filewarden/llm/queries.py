@@ -67,6 +67,13 @@ def op7_bpe(spark, sf):
     )
 
 
+def op8_line_dedup(spark, sf):
+    from filewarden.llm.lines import dedup_lines
+
+    kept = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_license_scan(spark, sf):
     from filewarden.llm.licenses import scan_licenses
 
@@ -78,4 +85,4 @@ def llm_queries():
 
 
 def llm_oracles():
-    return {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op9_license_scan": sql.OP9}
+    return {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op8_line_dedup": sql.OP8, "op9_license_scan": sql.OP9}

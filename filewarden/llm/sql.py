@@ -142,3 +142,49 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length
   sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars
 FROM s
 """
+
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents
+), k AS (
+  SELECT DISTINCT doc_id, text FROM d
+), k2 AS (
+  SELECT *, row_number() OVER () AS key FROM k
+), l0 AS (
+  SELECT key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM k2
+), l1 AS (
+  SELECT key, i, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l0
+), l2 AS (
+  SELECT *, lag(w) OVER (PARTITION BY key ORDER BY i) AS prev, lead(w) OVER (PARTITION BY key ORDER BY i) AS next FROM l1
+), l3 AS (
+  SELECT key, i, w, len(w) AS n, w[1:3] AS lead, (prev, next) AS around FROM l2 WHERE len(w) >= 3
+), hot AS (
+  SELECT n, lead FROM l3 GROUP BY n, lead HAVING count(*) >= 10
+), f AS (
+  SELECT l3.* FROM l3 JOIN hot USING (n, lead)
+), u AS (
+  SELECT w, n, lead, count(DISTINCT key) AS docs FROM f GROUP BY w, n, lead
+), e AS (
+  SELECT w, n, lead, docs, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM u
+), c AS (
+  SELECT n, lead, place, word FROM e GROUP BY n, lead, place, word HAVING sum(docs) >= 10
+), t AS (
+  SELECT e.w, e.n, e.lead, list(CASE WHEN c.word IS NOT NULL AND c.word <> '<*>' THEN e.word ELSE '<*>' END ORDER BY e.place) AS template,
+    count(*) FILTER (c.word IS NOT NULL AND c.word <> '<*>') AS fixed
+  FROM e LEFT JOIN c ON e.n = c.n AND e.lead = c.lead AND e.place = c.place AND e.word = c.word GROUP BY e.w, e.n, e.lead
+), s AS (
+  SELECT f.key, f.i, f.around, t.template FROM f JOIN t ON f.w = t.w WHERE t.fixed * 100 >= t.n * 70
+), r AS (
+  SELECT template FROM s GROUP BY template
+  HAVING count(DISTINCT key) >= 10 AND count(DISTINCT around) * 100 >= count(DISTINCT key) * 50
+), g AS (
+  SELECT key, i FROM s JOIN r USING (template)
+), o AS (
+  SELECT l0.key, count(*) AS n_lines, count(g.i) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY l0.i) FILTER (g.i IS NULL), '') AS kept
+  FROM l0 LEFT JOIN g ON l0.key = g.key AND l0.i = g.i GROUP BY l0.key
+)
+SELECT d.doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(kept) AS kept_sha256
+FROM d JOIN k2 ON d.doc_id IS NOT DISTINCT FROM k2.doc_id AND d.text = k2.text JOIN o ON o.key = k2.key
+"""
