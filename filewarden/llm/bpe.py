@@ -42,7 +42,7 @@ LATIN_END = "\u024f"
 # The parts of a tokenizer file that this transducer stands for.
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 
 def byte_symbols() -> list[str]:
@@ -101,7 +101,7 @@ class Transducer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.latin = piece_finder(ord(LATIN_END))
-        self.runs = regex.compile(f"[^{regex.escape(SPACE)}]+")
+        self.runs = regex.compile(f"[^{SPACE}]+")
         self.symbols = [vocab[s] for s in byte_symbols()]
         self.ends = [vocab[s + WORD_END] for s in byte_symbols()]
         self.texts = {i: s.encode() for s, i in (vocab | self.special).items()}

@@ -80,9 +80,16 @@ def op9_license_scan(spark, sf):
     return scan_licenses(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op10_substring_dedup(spark, sf):
+    from filewarden.llm.substrings import drop_repeated
+
+    kept = drop_repeated(_table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def llm_queries():
     return {name: value for name, value in globals().items() if name.startswith("op")}
 
 
 def llm_oracles():
-    return {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op8_line_dedup": sql.OP8, "op9_license_scan": sql.OP9}
+    return {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op8_line_dedup": sql.OP8, "op9_license_scan": sql.OP9, "op10_substring_dedup": sql.OP10}

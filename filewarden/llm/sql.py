@@ -188,3 +188,21 @@ WITH d AS (
 SELECT d.doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(kept) AS kept_sha256
 FROM d JOIN k2 ON d.doc_id IS NOT DISTINCT FROM k2.doc_id AND d.text = k2.text JOIN o ON o.key = k2.key
 """
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT rid, i, hash(w[i:i + 34]) AS h, w[i:i + 34] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), t AS (
+  SELECT rid, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1) QUALIFY count(*) OVER (PARTITION BY g) > 1
+), c AS (
+  SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM t)
+), k AS (
+  SELECT e.rid, count(c.p) AS removed, coalesce(string_agg(word, ' ' ORDER BY e.p) FILTER (c.p IS NULL), '') AS kept
+  FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) e LEFT JOIN c ON e.rid = c.rid AND e.p = c.p GROUP BY e.rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
