@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from filewarden.llm import sql
 from filewarden.session import shared_folder
 
@@ -41,6 +42,12 @@ def op4_source_mix(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_ngram_jaccard(spark, sf):
+    from filewarden.llm.ngrams import near_copies
+
+    return near_copies(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_chat_format(spark, sf):
     from filewarden.llm.chat import format_turns, read_back
 
@@ -88,8 +95,10 @@ def op10_substring_dedup(spark, sf):
 
 
 def llm_queries():
-    return {name: value for name, value in globals().items() if name.startswith("op")}
+    found = {name: value for name, value in globals().items() if name.startswith("op")}
+    return {**found, "pipeline": corpus_pipeline.run}
 
 
 def llm_oracles():
-    return {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op8_line_dedup": sql.OP8, "op9_license_scan": sql.OP9, "op10_substring_dedup": sql.OP10}
+    known = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return known | {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op8_line_dedup": sql.OP8, "op9_license_scan": sql.OP9, "op10_substring_dedup": sql.OP10}
