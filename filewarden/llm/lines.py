@@ -104,11 +104,11 @@ def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
     gone = dropped_lines(docs.select(key.alias("key"), "text"), **settings)
     whole = docs.select(key.alias("__key"), *[F.col(f"`{c}`") for c in names])
-    joined = whole.join(gone.withColumnRenamed("key", "__key"), "__key", "left")
-    kept = lambda ls: F.filter(ls, lambda line, i: ~F.array_contains("dropped", i))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept(lines(F.col("text"))), "\n"))
+    joined = whole.join(gone.select(F.col("key").alias("__key"), F.col("dropped").alias("__dropped")), "__key", "left")
+    kept = lambda ls: F.filter(ls, lambda line, i: ~F.array_contains("__dropped", i))
+    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept(lines(F.col("text"))), "\n"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
         F.size(lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
