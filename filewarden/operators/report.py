@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filewarden.functions.severity import site_status as status_of
-from filewarden.operators.results import RESULTS_LIMIT, as_timestamp, days_before, newest_results
+from filewarden.operators.results import as_timestamp, days_before
 
 RECENT_SCAN_DAYS = 7
 
@@ -59,10 +59,9 @@ def scan_summaries(results: DataFrame) -> DataFrame:
     return totals.join(types, "scan_id")
 
 
-def scan_summary(results: DataFrame, scan_id: str, limit: int | None = None) -> DataFrame:
-    """Summary of one scan; `limit=100` counts only the newest rows, as a results page shows them."""
-    rows = results.filter(F.col("scan_id") == scan_id) if limit is None else newest_results(results, scan_id, limit)
-    return scan_summaries(rows)
+def scan_summary(results: DataFrame, scan_id: str) -> DataFrame:
+    """Summary of one scan, over all its rows."""
+    return scan_summaries(results.filter(F.col("scan_id") == scan_id))
 
 
 def affected_files(results: DataFrame) -> DataFrame:
@@ -80,7 +79,7 @@ def daily_trend(results: DataFrame) -> DataFrame:
     return results.groupBy(F.to_date("detected_at").alias("day"), "threat_severity").agg(F.count("*").alias("threats"))
 
 
-def most_affected(results: DataFrame, limit: int = RESULTS_LIMIT) -> DataFrame:
+def most_affected(results: DataFrame, limit: int) -> DataFrame:
     """Files with the most threats (top-k)."""
     return (
         results.groupBy("file_path")

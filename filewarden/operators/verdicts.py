@@ -18,7 +18,7 @@ REPUTATION_EVIDENCE = "File hash: "
 MODEL_TYPE, MODEL_SOURCE = "openai_detection", "OpenAI"
 MODEL_TEXT, MODEL_EVIDENCE = "OpenAI detected potential malware", "AI analysis"
 REQUEST_BYTES = 4000
-SUBMIT_BELOW_BYTES = 650000
+REQUEST_OVERLAP = 200
 DEFAULT_MODEL_CONFIDENCE = 70
 CRITICAL_ABOVE_ENGINES = 5
 HIGH_ABOVE_ENGINES = 2
@@ -126,9 +126,22 @@ def add_verdicts(
     return out.select(*[threats.alias("threats") if c == "threats" else F.col(c) for c in analysed.columns])
 
 
-def inference_requests(files: DataFrame) -> DataFrame:
-    """Request table for a batch inference job: hash, file type and prompt over the first 4000 bytes."""
-    sample = bs.display(F.substring(bs.latin1(F.col("content")), 1, REQUEST_BYTES))
+def inference_requests(files: DataFrame, chunk_bytes: int = REQUEST_BYTES, overlap: int = REQUEST_OVERLAP) -> DataFrame:
+    """Request table for a batch inference job: one request per chunk, so that every byte of a file is in one.
+
+    Chunks of `chunk_bytes` start `chunk_bytes - overlap` apart; code across a border is whole in one of two chunks if
+    it is no longer than the overlap. :func:`fold_verdicts` turns the answers into one per content.
+    """
+    step = chunk_bytes - overlap
+    chunks = F.greatest(F.ceil((F.octet_length("content") - overlap) / step), F.lit(1)).cast("int")
+    files = files.filter(F.col("content").isNotNull()).select(
+        "path",
+        "content",
+        F.sha2("content", 256).alias("sha256"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: i * step + 1)).alias("chunk", "start"),
+    )
+    part = F.expr(f"substring(content, start, {chunk_bytes})")
+    sample = bs.display(bs.latin1(part))
     file_type = extension(F.col("path"))
     prompt = F.concat(
         F.lit("Assess the following "),
@@ -144,19 +157,37 @@ def inference_requests(files: DataFrame) -> DataFrame:
             "file inclusion, SQL injection, backdoors, mining code and phishing."
         ),
     )
-    return files.filter(F.col("content").isNotNull()).select(
+    return files.select(
         "path",
-        F.sha2("content", 256).alias("sha256"),
+        "sha256",
+        "chunk",
         file_type.alias("file_type"),
-        F.least(F.octet_length("content"), F.lit(REQUEST_BYTES)).alias("sample_bytes"),
+        F.octet_length(part).alias("sample_bytes"),
+        F.md5(part).alias("sample_md5"),
         prompt.alias("prompt"),
     )
 
 
-def submission_queue(files: DataFrame, reputation: DataFrame) -> DataFrame:
-    """Files to submit for analysis: below the size limit and with an unknown content hash."""
-    small = files.filter(F.octet_length("content") < SUBMIT_BELOW_BYTES).select(
+def fold_verdicts(responses: DataFrame) -> DataFrame:
+    """(sha256, response): the gravest of the responses (sha256, chunk, response) to the chunks of a content.
+
+    Malicious before not, then severity, then confidence, then the first chunk; responses that are no JSON come last.
+    """
+    analysis = F.from_json("response", MODEL_RESPONSE)["analysis"]
+    weight = F.struct(
+        F.coalesce(analysis["is_malicious"], F.lit(False)),
+        -F.array_position(F.array(*[F.lit(s) for s in ("critical", "high", "medium", "low")]), model_severity(analysis["risk_level"])),
+        F.coalesce(analysis["confidence"].cast("double"), F.lit(float(DEFAULT_MODEL_CONFIDENCE))),
+        -F.col("chunk"),
+    )
+    return responses.groupBy("sha256").agg(F.max_by("response", weight).alias("response"))
+
+
+def submission_queue(files: DataFrame, reputation: DataFrame, below: int | None = None) -> DataFrame:
+    """Files with an unknown content hash, to submit for analysis; only those below a size if `below` is given."""
+    small = files.select(
         "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("bytes")
     )
+    small = small if below is None else small.filter(F.col("bytes") < below)
     known = reputation.filter(F.col("stats").isNotNull()).select("sha256")
     return small.join(known, "sha256", "left_anti").select("path", "sha256", "bytes")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from filewarden.operators import scan
 from filewarden.settings import ScanSettings
-from filewarden.sources.files import files_from_text, spread
+from filewarden.sources.files import files_from_text
 
 # Appended code lines, folders and extensions of the corpus.
 SNIPPETS = (
@@ -46,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table_: DataFrame) -> DataFrame:
+    """The small supplied tables come in one file each: deal them to all cores. Not for large tables."""
+    return table_.repartition(table_.sparkSession.sparkContext.defaultParallelism)
+
+
 def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 

@@ -41,22 +41,26 @@ PLAIN = """plain AS (
   UNION ALL SELECT '/page/' || page_id, html FROM pages)"""
 
 _EXTENSION = r"lower(regexp_extract(path, '\.([^./]*)$', 1))"
-_SELECTED = (
-    f"{_EXTENSION} IN ('php','js','html','htm','css') AND octet_length(encode(content)) <= 10485760 AND "
-    + " AND ".join(
-        f"strpos(regexp_replace(path, '/[^/]*$', ''), {_s(x)}) = 0"
-        for x in (
-            "wp-content/cache",
-            "wp-content/backup",
-            "wp-content/uploads",
-            "wp-admin/includes",
-            "wp-includes",
-            ".git",
-            "node_modules",
-            "vendor",
-        )
+_FOLDER_OK = " AND ".join(
+    f"strpos(regexp_replace(path, '/[^/]*$', ''), {_s(x)}) = 0"
+    for x in (
+        "wp-content/cache",
+        "wp-content/backup",
+        "wp-content/uploads",
+        "wp-admin/includes",
+        "wp-includes",
+        ".git",
+        "node_modules",
+        "vendor",
     )
 )
+_SELECTED = f"{_EXTENSION} IN ('php','js','html','htm','css') AND {_FOLDER_OK}"
+
+_CHUNKS = rf"""{FILES}, chunks0 AS (
+  SELECT path, sha256(content) AS sha256, regexp_extract(path, '\.([^./]*)$', 1) AS file_type, encode(content) AS bytes FROM files),
+chunks AS (
+  SELECT path, sha256, file_type, chunk, bytes[chunk * 3800 + 1:chunk * 3800 + 4000] AS part
+  FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((octet_length(bytes) - 200) / 3800) AS BIGINT), 1))) AS chunk FROM chunks0))"""
 
 _LINE = (
     "CASE WHEN p = 0 THEN 0 ELSE length(substring(content, 1, p - 1)) "
@@ -199,11 +203,13 @@ model_threats AS (
 _FULL_LOCAL = LOCAL.replace(FILES, _LABELLED)
 _WITH_SOURCE = "SELECT *, NULL AS source FROM local_threats WHERE confidence >= 0.5::DOUBLE"
 
-SNAPSHOTS = """base AS (
-  SELECT '/doc/' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 17 <> 0),
+SNAPSHOTS = f"""{PLAIN}, numbered AS (
+  SELECT path, content, CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) AS n FROM plain WHERE content IS NOT NULL),
+base AS (
+  SELECT CASE WHEN n % 17 = 0 THEN '/old' || path ELSE path END AS path, sha256(content) AS sha256 FROM numbered),
 cur AS (
-  SELECT '/doc/' || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS sha256
-  FROM documents WHERE doc_id % 13 <> 0)"""
+  SELECT CASE WHEN n % 13 = 0 THEN '/new' || path ELSE path END AS path,
+    sha256(CASE WHEN n % 7 = 0 THEN content || '!' ELSE content END) AS sha256 FROM numbered)"""
 
 AUDIT = """audit AS (
   SELECT CAST(event_id AS VARCHAR) AS id, event_type, 'event ' || event_id AS description,
@@ -300,9 +306,9 @@ def _alert(subject: str, lines: list[str]) -> str:
 
 def _config(modulus: int, day: str) -> str:
     return (
-        f"SELECT 'key_' || c_custkey AS config_key, '{{\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment "
-        f"|| '\",\"day\":\"{day}\"}}' AS config_value, TIMESTAMP '{day} 00:00:00' AS updated_at "
-        f"FROM customer WHERE c_custkey % {modulus} = 0"
+        f"SELECT CASE WHEN c_custkey % {modulus} = 0 THEN 'key_' ELSE 'day{modulus}_' END || c_custkey AS config_key, "
+        f"'{{\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment "
+        f"|| '\",\"day\":\"{day}\"}}' AS config_value, TIMESTAMP '{day} 00:00:00' AS updated_at FROM customer"
     )
 
 
@@ -378,10 +384,19 @@ SELECT path, rank, type, severity, description, confidence, evidence, source FRO
 both_ AS (SELECT * FROM kept UNION ALL SELECT * FROM (SELECT * FROM model_threats UNION ALL SELECT * FROM rep_threats)
   WHERE path IN (SELECT path FROM kept)), {_ranked("both_")}
 SELECT {_THREAT_COLUMNS.format(source="source")} FROM ranked""",
-        "request_table": f"""WITH {FILES} SELECT path, sha256(content) AS sha256, regexp_extract(path, '\\.([^./]*)$', 1) AS file_type,
-  least(octet_length(encode(content)), 4000) AS sample_bytes FROM files""",
+        "request_chunks": f"""WITH {_CHUNKS} SELECT path, sha256, file_type, chunk, octet_length(part) AS sample_bytes, md5(part) AS sample_md5 FROM chunks""",
+        "request_table": f"""WITH {_CHUNKS} SELECT path, sha256, file_type, count(*) AS chunks, CAST(sum(octet_length(part)) AS BIGINT) AS sent_bytes
+FROM chunks GROUP BY ALL""",
+        "folded_verdicts": f"""WITH {_CHUNKS}, n AS (SELECT DISTINCT sha256, chunk, CAST('0x' || left(md5(part), 4) AS BIGINT) AS v FROM chunks)
+SELECT sha256, arg_max('{{"analysis":{{"is_malicious":' || CASE WHEN v % 3 = 0 THEN 'true' ELSE 'false' END || ',"risk_level":"'
+  || ['low', 'medium', 'high', 'critical'][1 + v % 4] || '","confidence":' || (v % 100) || '}}}}',
+  CASE WHEN v % 3 = 0 THEN 1 ELSE 0 END * 1000000000 + (v % 4) * 100000000 + (v % 100) * 1000000 - chunk) AS response FROM n GROUP BY sha256""",
+        "skipped": f"""WITH {FILES}, s AS (SELECT path, octet_length(encode(content)) AS size, CASE
+  WHEN NOT ({_FOLDER_OK}) THEN 'excluded_folder' WHEN {_EXTENSION} NOT IN ('php','js','html','htm','css') THEN 'extension'
+  WHEN octet_length(encode(content)) > 3000 THEN 'too_large' WHEN length(path) - length(replace(path, '/', '')) > 4 THEN 'too_deep' END AS reason FROM files)
+SELECT path, size, reason FROM s WHERE reason IS NOT NULL""",
         "submit_queue": f"""WITH {_LABELLED} SELECT path, sha256(content) AS sha256, octet_length(encode(content)) AS bytes FROM files
-WHERE octet_length(encode(content)) < 650000 AND sha256(content) NOT IN (SELECT sha256 FROM labelled)""",
+WHERE sha256(content) NOT IN (SELECT sha256 FROM labelled)""",
         "integrity_verify": f"""WITH {SNAPSHOTS} SELECT base.path, base.sha256 AS expected_sha256, cur.sha256 AS current_sha256,
   COALESCE(cur.sha256 = base.sha256, FALSE) AS intact FROM base LEFT JOIN cur ON cur.path = base.path""",
         "integrity_diff": f"""WITH {SNAPSHOTS} SELECT COALESCE(base.path, cur.path) AS path, base.sha256 AS old_sha256, cur.sha256 AS new_sha256,
@@ -403,8 +418,6 @@ WHERE scan_id = 'scan_3' AND threat_severity = 'high' AND status = 'active'""",
         "site_status": f"""WITH {RESULTS}, {_STATS} SELECT CASE WHEN critical_threats > 0 THEN 'critical'
 WHEN high_threats > 0 THEN 'warning' ELSE 'safe' END AS site_status FROM stats""",
         "scan_summary": f"""WITH {RESULTS}, {_summary("results")}
-SELECT summary.*, threat_types FROM summary JOIN types ON types.scan_id = summary.scan_id""",
-        "scan_summary_newest_100": f"""WITH {RESULTS}, newest AS ({_NEWEST.format(where="WHERE scan_id = 'scan_2'", n=100)}), {_summary("newest")}
 SELECT summary.*, threat_types FROM summary JOIN types ON types.scan_id = summary.scan_id""",
         "affected_files": f"WITH {RESULTS} SELECT DISTINCT scan_id, file_path FROM results",
         "type_counts": f"WITH {RESULTS} SELECT scan_id, threat_type, count(*) AS n FROM results GROUP BY ALL",

@@ -36,7 +36,7 @@ from filewarden.plans.corpus import (
 from filewarden.session import stored
 from filewarden.settings import ScanSettings
 from filewarden.sources import catalogue
-from filewarden.sources.files import content_hashes, files_from_text, select_files
+from filewarden.sources.files import content_hashes, files_from_text, select_files, skipped_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,12 @@ def _threats(df: DataFrame) -> DataFrame:
 # --- selection and hashes ---------------------------------------------------
 
 
+def skipped(spark, sf):
+    """What a scan with a size and a depth limit leaves out, with the reason."""
+    settings = ScanSettings(max_file_size=3000, max_depth=3)
+    return skipped_files(corpus(spark, sf), settings).select("path", "size", "reason")
+
+
 def corpus_select(spark, sf):
     return select_files(corpus(spark, sf)).select("path", "size")
 
@@ -247,12 +253,37 @@ def full_scan_gated(spark, sf):
     return _threats(scan.threats(found))
 
 
-def request_table(spark, sf):
+def request_chunks(spark, sf):
     return verdicts.inference_requests(corpus(spark, sf)).select(
-        "path", "sha256", "file_type", F.col("sample_bytes").cast("bigint").alias("sample_bytes")
+        "path",
+        "sha256",
+        "file_type",
+        F.col("chunk").cast("bigint").alias("chunk"),
+        F.col("sample_bytes").cast("bigint").alias("sample_bytes"),
+        "sample_md5",
+    )
+
+
+def request_table(spark, sf):
+    """Requests per file, with the bytes that they send."""
+    return request_chunks(spark, sf).groupBy("path", "sha256", "file_type").agg(
+        F.count("*").alias("chunks"), F.sum("sample_bytes").alias("sent_bytes")
     )
 
 
+def folded_verdicts(spark, sf):
+    """Answers to every chunk, by the digest of its bytes, folded to one per content."""
+    asked = verdicts.inference_requests(corpus(spark, sf)).select("sha256", "chunk", "sample_md5").distinct()
+    number = F.conv(F.substring("sample_md5", 1, 4), 16, 10).cast("int")
+    answer = F.format_string(
+        '{"analysis":{"is_malicious":%s,"risk_level":"%s","confidence":%d}}',
+        F.when(number % 3 == 0, "true").otherwise("false"),
+        pick(("low", "medium", "high", "critical"), number),
+        number % 100,
+    )
+    return verdicts.fold_verdicts(asked.withColumn("response", answer))
+
+
 def submit_queue(spark, sf):
     return verdicts.submission_queue(corpus(spark, sf), reputation_table(spark, sf)).select(
         "path", "sha256", F.col("bytes").cast("bigint").alias("bytes")
@@ -263,12 +294,13 @@ def submit_queue(spark, sf):
 
 
 def _snapshots(spark, sf):
-    """Document hashes before and after: every 13th goes, every 7th changes, every 17th is new."""
-    documents = table(spark, sf, "documents")
-    number, path = F.col("doc_id"), F.concat(F.lit("/doc/"), "doc_id")
-    before = files_from_text(documents.filter(number % 17 != 0), path, F.col("text"))
-    edited = F.when(number % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    after = files_from_text(documents.filter(number % 13 != 0), path, edited)
+    """Hashes of all documents and pages before and after: every 13th moves away, every 17th comes, every 7th changes."""
+    files = plain_files(spark, sf)
+    number = F.regexp_extract("path", "([0-9]+)$", 1).cast("bigint")
+    moved = lambda by, folder: F.when(number % by == 0, F.concat(F.lit(folder), "path")).otherwise(F.col("path"))
+    edited = F.when(number % 7 == 0, F.concat("content", F.lit(b"!"))).otherwise(F.col("content"))
+    before = files.select(moved(17, "/old").alias("path"), "content", "size", "mtime")
+    after = files.select(moved(13, "/new").alias("path"), edited.alias("content"), "size", "mtime")
     return integrity.snapshot(before, AS_OF), content_hashes(after)
 
 
@@ -327,11 +359,6 @@ def scan_summary(spark, sf):
     return rows.withColumn("threat_types", F.to_json("threat_types"))
 
 
-def scan_summary_newest_100(spark, sf):
-    rows = report.scan_summary(results_table(spark, sf), "scan_2", limit=100)
-    return rows.withColumn("threat_types", F.to_json("threat_types"))
-
-
 def affected_files(spark, sf):
     return report.affected_files(results_table(spark, sf))
 
@@ -393,10 +420,11 @@ def scan_outcome(spark, sf):
 
 
 def _config_table(spark, sf, modulus: int, day: str):
-    """Customer rows as configuration entries."""
+    """All customers as configuration entries; every `modulus`-th has a key of its own day."""
     at = F.to_timestamp(F.lit(day))
-    return table(spark, sf, "customer").filter(F.col("c_custkey") % modulus == 0).select(
-        F.concat(F.lit("key_"), "c_custkey").alias("config_key"),
+    prefix = F.when(F.col("c_custkey") % modulus == 0, "key_").otherwise(f"day{modulus}_")
+    return table(spark, sf, "customer").select(
+        F.concat(prefix, "c_custkey").alias("config_key"),
         F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit(day).alias("day"))).alias(
             "config_value"
         ),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Defaults and limits that decide which files and threats appear.
+# Defaults and limits that decide which files and threats appear. The size and depth limits are
+# parameters to ask for; a scan has none unless they are given.
 DEFAULT_EXTENSIONS = ("php", "js", "html", "htm", "css")
 DEFAULT_MAX_FILE_SIZE = 10485760
 DEFAULT_EXCLUDED_DIRS = (
@@ -27,9 +28,9 @@ MAX_CONFIDENCE_THRESHOLD = 1.0
 class ScanSettings:
     scan_paths: tuple[str, ...] = ()
     file_extensions: tuple[str, ...] = DEFAULT_EXTENSIONS
-    max_file_size: int = DEFAULT_MAX_FILE_SIZE
+    max_file_size: int | None = None
     excluded_dirs: tuple[str, ...] = DEFAULT_EXCLUDED_DIRS
-    max_depth: int = MAX_DEPTH
+    max_depth: int | None = None
     confidence_threshold: float = DEFAULT_CONFIDENCE_THRESHOLD
     gate_verdicts: bool = True
     email_notifications: bool = False
@@ -38,10 +39,13 @@ class ScanSettings:
     admin_email: str = ""
     dashboard_url: str = ""
 
+    def __post_init__(self) -> None:
+        if not MIN_CONFIDENCE_THRESHOLD <= self.confidence_threshold <= MAX_CONFIDENCE_THRESHOLD:
+            raise ValueError(f"confidence threshold {self.confidence_threshold} is not between 0.1 and 1")
+
     @property
     def threshold(self) -> float:
-        """The confidence threshold, clamped to its allowed range."""
-        return max(MIN_CONFIDENCE_THRESHOLD, min(MAX_CONFIDENCE_THRESHOLD, self.confidence_threshold))
+        return self.confidence_threshold
 
     @property
     def alerts_enabled(self) -> bool:

@@ -37,21 +37,35 @@ def path_depth(path: Column) -> Column:
 
 def selected(path: Column, size: Column, settings: ScanSettings) -> Column:
     """Path and size predicate of a scan (everything except the depth limit)."""
-    return (
-        not_excluded(uri_path(path), settings.excluded_dirs)
-        & allowed_extension(path, settings.file_extensions)
-        & (size <= settings.max_file_size)
-    )
+    wanted = not_excluded(uri_path(path), settings.excluded_dirs) & allowed_extension(path, settings.file_extensions)
+    return wanted if settings.max_file_size is None else wanted & (size <= settings.max_file_size)
 
 
 def select_files(files: DataFrame, settings: ScanSettings = ScanSettings(), root: str = "/") -> DataFrame:
     """Rows of a `files` table that a scan from `root` would read."""
-    deepest = _root_path(root).count("/") + settings.max_depth + 1
-    wanted = selected(F.col("path"), F.col("size"), settings) & (path_depth(F.col("path")) <= deepest)
-    return files.filter(wanted)
+    wanted = selected(F.col("path"), F.col("size"), settings)
+    return files.filter(wanted & (path_depth(F.col("path")) <= _deepest(root, settings.max_depth)))
+
+
+def skipped_files(files: DataFrame, settings: ScanSettings = ScanSettings(), root: str = "/") -> DataFrame:
+    """(path, size, reason) of the rows that a scan from `root` leaves out: the complement of :func:`select_files`."""
+    path = F.col("path")
+    reason = (
+        F.when(F.col("content").isNull(), "unreadable")
+        .when(~not_excluded(uri_path(path), settings.excluded_dirs), "excluded_folder")
+        .when(~allowed_extension(path, settings.file_extensions), "extension")
+        .when(F.lit(settings.max_file_size is not None) & (F.col("size") > F.lit(settings.max_file_size)), "too_large")
+        .when(path_depth(path) > _deepest(root, settings.max_depth), "too_deep")
+    )
+    return files.select("path", "size", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def _deepest(root: str, max_depth: int | None) -> int:
+    """Most slashes of a path below a root; practically none without a limit."""
+    return 2**31 - 1 if max_depth is None else _root_path(root).count("/") + max_depth + 1
 
 
-def _depth_windows(roots: Iterable[str], max_depth: int) -> list[tuple[str, int, int]]:
+def _depth_windows(roots: Iterable[str], max_depth: int | None) -> list[tuple[str, int, int]]:
     """(root, more slashes than, at most slashes) per root, disjoint for nested roots.
 
     A root inside another root only has to add what lies too deep for the outer one.
@@ -59,7 +73,7 @@ def _depth_windows(roots: Iterable[str], max_depth: int) -> list[tuple[str, int,
     windows: list[tuple[str, int, int]] = []
     for root in sorted(dict.fromkeys(r.rstrip("/") or "/" for r in roots), key=lambda r: _root_path(r).count("/")):
         path = _root_path(root)
-        deepest = path.count("/") + max_depth + 1
+        deepest = _deepest(root, max_depth)
         covered = [high for other, _, high in windows if (path + "/").startswith(_root_path(other) + "/")]
         windows.append((root, max(covered, default=-1), deepest))
     return windows
@@ -113,14 +127,3 @@ def _as_files(table: DataFrame, path: Column, content: Column, mtime: Column | N
 def content_hashes(files: DataFrame) -> DataFrame:
     """(path, sha256) of every readable file."""
     return files.filter(F.col("content").isNotNull()).select("path", F.sha2("content", 256).alias("sha256"))
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Spread a table that has fewer splits than the cluster has cores.
-
-    Scanning is bound by CPU, so a small table in one file should use all cores.
-    Fewer splits than cores also means less than one split of data per core, which
-    bounds the shuffle; larger tables keep their splits and are not shuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
