@@ -404,6 +404,13 @@ WHERE sha256(content) NOT IN (SELECT sha256 FROM labelled)""",
   ELSE 'unchanged' END AS change FROM base FULL JOIN cur ON cur.path = base.path""",
         "delta_scan": f"""WITH {SNAPSHOTS} SELECT path, sha256 FROM cur WHERE NOT EXISTS
   (SELECT 1 FROM base WHERE base.path = cur.path AND base.sha256 = cur.sha256)""",
+        "stream_skip_seen": f"WITH {RESULTS} SELECT file_path, file_hash, threat_type, threat_severity FROM results",
+        "stream_audit_rolling": """WITH w AS (
+  SELECT 'day' AS span, date_trunc('hour', ts) + to_hours(k) AS e, event_type, ts FROM events, range(1, 25) r(k)
+  UNION ALL SELECT 'week', date_trunc('day', ts) + to_days(CAST(k AS INTEGER)), event_type, ts FROM events, range(1, 8) r(k)
+)
+SELECT span, strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, CASE WHEN event_type = 'error' THEN 'error' ELSE 'other' END AS severity,
+  count(*) AS n FROM w WHERE e <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""",
         "scan_results": f"WITH {RESULTS} SELECT {_RESULT_COLUMNS} FROM results",
         "triage_queue": f"""WITH {RESULTS} SELECT id, CASE threat_severity
   WHEN 'critical' THEN CASE WHEN confidence_score > 0.8 THEN 1 ELSE 2 END WHEN 'high' THEN CASE WHEN confidence_score > 0.8 THEN 3 ELSE 4 END

@@ -67,6 +67,45 @@ def stream_audit_hours(spark, sf):
     )
 
 
+def stream_audit_rolling(spark, sf):
+    """Trailing 24 hours at every hour and 7 days at every midnight, in append mode: windows that are closed."""
+    work = shared_folder(spark)
+    log = _events(spark, sf).select(
+        F.col("ts").cast("timestamp").alias("created_at"),
+        "event_type",
+        F.when(F.col("event_type") == "error", "error").otherwise("other").alias("severity"),
+    )
+    for name, hours, slide in (("day", audit_streaming.DAY_HOURS, "1 hour"), ("week", audit_streaming.WEEK_HOURS, "24 hours")):
+        query = (
+            audit_streaming.streamed_rolling_counts(log, hours, slide)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{work}/checkpoint_{name}")
+            .trigger(availableNow=True)
+            .start(f"{work}/{name}")
+        )
+        query.awaitTermination()
+    read = lambda name: spark.read.parquet(f"{work}/{name}").select(
+        F.lit(name).alias("span"), F.date_format("window.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "event_type", "severity", "n"
+    )
+    return read("day").unionByName(read("week"))
+
+
+def stream_skip_seen(spark, sf):
+    """Every document arrives twice, in two batches, with modification times that go backwards; each is reported once."""
+    work = shared_folder(spark)
+    files = cp.corpus(spark, sf).select("path", "content", "size", F.timestamp_seconds(-F.col("file_no")).alias("mtime"))
+    for part in ("first", "second"):
+        files.write.mode("append").parquet(f"{work}/arrivals")
+        analysed = scan_streaming.scan_stream(scan_streaming.read_arrivals(spark, f"{work}/arrivals"))
+        scan_streaming.write_scan_results(
+            scan_streaming.skip_seen(analysed), f"{work}/results", f"{work}/checkpoint_{part}", part, f"{work}/seen"
+        ).awaitTermination()
+    return scan_streaming.read_results(spark, f"{work}/results").select(
+        "file_path", "file_hash", "threat_type", "threat_severity"
+    )
+
+
 def rolling_audit_day(spark, sf):
     hourly = audit_streaming.hourly_counts(cp.audit_table(spark, sf))
     rolling = audit_streaming.rolling_counts(hourly, audit_streaming.DAY_HOURS)
@@ -76,7 +115,7 @@ def rolling_audit_day(spark, sf):
 
 
 def stream_admission(spark, sf):
-    """`events` as a stream of calls in day-sized batches."""
+    """`events` as a stream of calls that arrives in three parts, each decided before the next."""
     from filewarden.plans.queries import ADMISSION_LIMIT, ADMISSION_WINDOW
 
     work = shared_folder(spark)
@@ -85,17 +124,16 @@ def stream_admission(spark, sf):
     for start, end in zip([None, *days], [*days, None]):
         part = calls if start is None else calls.filter(F.col("ts") >= F.lit(str(start)).cast("timestamp"))
         part = part if end is None else part.filter(F.col("ts") < F.lit(str(end)).cast("timestamp"))
-        part.coalesce(1).write.mode("append").parquet(f"{work}/calls")
-    arriving = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/calls")
-    admission_streaming.admission_stream(
-        arriving,
-        f"{work}/state",
-        f"{work}/checkpoint",
-        lambda decided, batch_id: decided.write.mode("overwrite").parquet(f"{work}/decided/batch={batch_id}"),
-        limits={"error": 3},
-        default=ADMISSION_LIMIT,
-        window=ADMISSION_WINDOW,
-    ).awaitTermination()
+        part.write.mode("append").parquet(f"{work}/calls")
+        admission_streaming.admission_stream(
+            spark.readStream.schema(calls.schema).parquet(f"{work}/calls"),
+            f"{work}/state",
+            f"{work}/checkpoint",
+            lambda decided, batch_id: decided.write.mode("overwrite").parquet(f"{work}/decided/batch={batch_id}"),
+            limits={"error": 3},
+            default=ADMISSION_LIMIT,
+            window=ADMISSION_WINDOW,
+        ).awaitTermination()
     return spark.read.parquet(f"{work}/decided").select("call_id", "api", "accepted")
 
 
@@ -103,6 +141,8 @@ def stream_queries():
     return {
         "stream_scan": stream_scan,
         "stream_audit_hours": stream_audit_hours,
+        "stream_audit_rolling": stream_audit_rolling,
+        "stream_skip_seen": stream_skip_seen,
         "rolling_audit_day": rolling_audit_day,
         "stream_admission": stream_admission,
     }

@@ -125,7 +125,22 @@ SIGNATURE_EXISTS = {
 }
 
 # The greedy match ends at the last `information_schema` of the line, given a `from` before one.
+def line_alternatives(first: tuple[str, str, str], second: tuple[str, str, str]) -> str:
+    """First match of `a.*b.*c` of either of two triples of plain texts (as group 1), in linear time per line.
+
+    A line matches a triple if its first `a`, the first `b` behind and the first `c` behind that exist; the match then
+    starts at the first `a` and ends at the last `c`. A line that matches both starts with whichever comes first.
+    """
+    has = [rf"(?=(?>.*?{a})(?>.*?{b}).*?{c})" for a, b, c in (first, second)]
+    to = lambda *heads: rf"(?>.*?(?={'|'.join(heads)}))"
+    starts = f"{has[0]}{has[1]}{to(first[0], second[0])}|{has[0]}{to(first[0])}|{has[1]}{to(second[0])}"
+    return rf"(?dim)^(?>{starts})({first[0]}.*{first[2]}|{second[0]}.*{second[2]})"
+
+
 SIGNATURE_LINEAR = {
+    r"/wp_users.*password.*md5|wp_options.*siteurl.*update/i": line_alternatives(
+        ("wp_users", "password", "md5"), ("wp_options", "siteurl", "update")
+    ),
     r"/union\s+select.*from.*information_schema/i": line_anchored(
         r"union\s+select",
         r"union[^\S\n]+select",
@@ -403,7 +418,13 @@ def collect_catalogue(rules: DataFrame) -> list[Rule]:
 
 
 def merge_catalogue(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updates replace rules of the same name in place; new names follow in update order."""
+    """Updates replace rules of the same name in place; new names follow in update order.
+
+    Of several updates with one name the last one counts, so a name stays one rule.
+    """
+    values = [name for name in updates.columns if name != "name"]
+    newest = F.max_by(F.struct(*values), "rule_ord").alias("rule")
+    updates = updates.groupBy("name").agg(newest).select("name", "rule.*").select(*updates.columns)
     fields = [name for name in schema.RULES.fieldNames() if name not in ("rule_ord", "name")]
     last = current.agg(F.coalesce(F.max("rule_ord"), F.lit(SIGNATURE_ORD - 1))).scalar()
     first_update = updates.agg(F.min("rule_ord")).scalar()

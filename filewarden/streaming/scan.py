@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,26 +36,45 @@ def scan_stream(
     return analyse(arrivals, signatures, settings)
 
 
-def skip_seen(analysed: DataFrame, event_time: str = "mtime", horizon: str = "7 days") -> DataFrame:
-    """Keep the first arrival of each (path, hash) within the watermark horizon.
+def skip_seen(analysed: DataFrame, horizon: str = "7 days") -> DataFrame:
+    """Keep the first arrival of each (path, hash) within the horizon.
 
-    Runs on analysed rows: content has been dropped, so state and shuffle hold
-    only narrow rows.
+    Event time is the time of arrival, the same for a whole micro-batch: no file is late, whatever its modification
+    time says. Runs on analysed rows: content has been dropped, so state and shuffle hold only narrow rows, and the
+    watermark bounds the state. What was seen longer ago is left to the stored table of :func:`write_scan_results`.
     """
-    return analysed.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["path", "file_hash"])
+    arrived = analysed.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", horizon)
+    return arrived.dropDuplicatesWithinWatermark(["path", "file_hash"]).drop("__arrived")
 
 
-def write_scan_results(analysed: DataFrame, results_path: str, checkpoint: str, run: str = "stream") -> StreamingQuery:
+SEEN = "path STRING, file_hash STRING"
+
+
+def write_scan_results(
+    analysed: DataFrame, results_path: str, checkpoint: str, run: str = "stream", seen_path: str | None = None
+) -> StreamingQuery:
     """Write threat rows batch by batch and stop when everything that had arrived is scanned.
 
-    Each batch owns a folder below `run`, so a batch replayed after a failure
-    replaces its own rows. A new checkpoint needs a new `run` name.
+    Each batch owns a folder below `run`, so a batch replayed after a failure replaces its own rows. A new checkpoint
+    needs a new `run` name. Rows are dated with the time at which their batch began. With `seen_path`, files whose
+    (path, hash) an earlier batch stored there are skipped by an anti join, and a batch adds its own.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        at = F.coalesce("mtime", F.current_timestamp())
-        rows = scan_results(batch, f"{run}_{batch_id}", at)
-        rows.write.mode("overwrite").parquet(f"{results_path}/run={run}/batch={batch_id}")
+        spark, own = batch.sparkSession, f"run={run}/batch={batch_id}"
+        began = F.lit(datetime.now(UTC)).cast("timestamp")
+        if seen_path is not None:
+            batch = batch.persist()
+            batch.limit(0).select("path", "file_hash").write.mode("append").parquet(seen_path)
+            stored = spark.read.schema(f"{SEEN}, run STRING, batch BIGINT").parquet(seen_path)
+            earlier = stored.filter((F.col("run") != run) | (F.col("batch") != batch_id)).select("path", "file_hash")
+            fresh = batch.join(earlier, ["path", "file_hash"], "left_anti").select(*batch.columns)
+        else:
+            fresh = batch
+        scan_results(fresh, f"{run}_{batch_id}", began).write.mode("overwrite").parquet(f"{results_path}/{own}")
+        if seen_path is not None:
+            batch.select("path", "file_hash").write.mode("overwrite").parquet(f"{seen_path}/{own}")
+            batch.unpersist()
 
     return (
         analysed.writeStream.foreachBatch(write)
