@@ -30,9 +30,8 @@ _FOLDER = "CASE doc_id % 11 " + " ".join(f"WHEN {k} THEN {_s(v)}" for k, v in cp
 
 FILES = f"""files AS (
   SELECT '/site/' || source || '/' || ({_FOLDER}) || '/' || doc_id || '.' || {_pick(cp.EXTENSIONS, "doc_id")} AS path,
-         text || chr(10) || repeat(' ', {cp.GAP}) || {_pick(cp.SNIPPETS, "doc_id")} AS content,
-         doc_id AS file_no
-  FROM documents
+         CASE WHEN doc_id % 3 = 0 THEN line || chr(10) || text ELSE text || chr(10) || line END AS content, doc_id AS file_no
+  FROM (SELECT *, {_pick(cp.AROUND, "doc_id // 20")} || {_pick(cp.SNIPPETS, "doc_id")} || {_pick(cp.AROUND, "doc_id // 20 + 2")} AS line FROM documents)
   UNION ALL
   SELECT '/web/' || regexp_extract(url, '://([^/]+)', 1) || '/' || page_id || '.html', html, page_id FROM pages)"""
 

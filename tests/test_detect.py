@@ -13,57 +13,53 @@ from filewarden.sources import catalogue as cat
 A = "A"
 ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
-# path -> (content, entropy, obfuscation score, expected rows in rank order)
+# name -> (content, obfuscation score, expected rows in rank order), worked out from the rules by hand
 S = "suspicious_function"
 SNIPPETS = {
-    "27": (
-        '<?php eval(base64_decode("ZXZhbCgkX1BPU1RbImNtZCJdKTs=")); ?>',
-        5.172,
+    "decoded_call": (
+        "$run = eval( base64_decode ($blob) );",
         0.2,
         [(S, "high", 1.0, 1), ("eval_obfuscation", "high", 0.9, 1)],
     ),
-    "38": (
-        '<?php include($_GET["file"]); ?>',
-        4.562,
+    "page_by_name": (
+        "<?php\ninclude ( $_POST[page] );",
         0.0,
-        [
-            ("file_inclusion", "critical", 0.9, 1),
-            ("dynamic_include", "high", 0.8, 1),
-            ("user_input", "medium", 0.6, 1),
-        ],
+        [("file_inclusion", "critical", 0.9, 2), ("dynamic_include", "high", 0.8, 2), ("user_input", "medium", 0.6, 2)],
     ),
-    "57": (
-        '<?php shell_exec($_POST["cmd"]); ?>',
-        4.536,
+    "shell_by_name": (
+        "echo shell_exec( $_REQUEST[q] );",
         0.0,
         [("shell_exec", "critical", 0.9, 1), (S, "high", 1.0, 1), ("user_input", "medium", 0.6, 1)],
     ),
-    "76": ('<?php $c99 = "backdoor"; ?>', 4.014, 0.0, [("backdoor_pattern", "critical", 0.9, 1)]),
-    "95": (
-        f'<?php $data = base64_decode("{A * 150}"); ?>',
-        1.517,
+    "known_shell": ("// r57 was here", 0.0, [("backdoor_pattern", "critical", 0.9, 1)]),
+    "long_literal": (
+        f"$k = base64_decode('{A * 130}');",
         0.6000000000000001,
         [("base64_suspicious", "medium", 0.9, 1), (S, "low", 0.7, 1)],
     ),
-    "114": ('<?php $miner = "coinhive"; ?>', 4.004, 0.0, [("crypto_mining", "high", 0.9, 1)]),
-    "133": ("<?php eval($code); exec($command); ?>", 4.196, 0.0, [(S, "high", 0.9, 1)]),
-    "152": ('<?php echo $_GET["data"]; ?>', 4.280, 0.0, [("user_input", "medium", 0.6, 1)]),
-    "171": ("<?php include($file); ?>", 4.085, 0.0, [("dynamic_include", "high", 0.8, 1)]),
-    "190": (
-        "<?php " + f'$a = base64_decode("{A * 100}"); ' * 10 + "?>",
-        1.529,
+    "miner_pool": ("pool: stratum+tcp one; coin: MONERO", 0.0, [("crypto_mining", "high", 0.9, 1)]),
+    "plain_call": ("if ($a) { eval ( $a ); }", 0.0, [(S, "high", 0.9, 1)]),
+    "read_input": ("print(\n$_GET ['n']);", 0.0, [("user_input", "medium", 0.6, 2)]),
+    "include_variable": ("require 'x';\n\ninclude ( $part );", 0.0, [("dynamic_include", "high", 0.8, 3)]),
+    "many_literals": (
+        "".join(f'$v{i} = base64_decode("{A * 110}");\n' for i in range(6)),
         1.0,
         [("obfuscated_code", "medium", 1.0, 0), ("base64_suspicious", "medium", 0.9, 1), (S, "low", 0.7, 1)],
     ),
-    "209": (f'<?php $data = "{ALNUM * 100}"; ?>', 5.969, 0.4, []),
-    "277": (
-        '<?php eval(base64_decode($_POST["backdoor"])); ?>',
-        4.793,
-        0.2,
-        [(S, "high", 1.0, 1), ("eval_obfuscation", "high", 0.9, 1), ("user_input", "medium", 0.6, 1)],
+    "long_run": (f"key={ALNUM * 40}", 0.4, []),
+    "remote_read": (
+        "$page = file_get_contents('https://host.example/feed');",
+        0.0,
+        [(S, "medium", 0.5, 1)],
     ),
 }
 
+
+def entropy_of(data: bytes) -> float:
+    counts = Counter(data).values()
+    return -sum(n / len(data) * math.log2(n / len(data)) for n in counts)
+
+
 EDGES = {
     "empty": ("", []),
     "server": ('include($_SERVER["x"])', [("file_inclusion", "critical", 0.9, 1), ("dynamic_include", "high", 0.8, 1)]),
@@ -110,7 +106,7 @@ def rows(spark_rows):
 def test_snippets(make_files):
     files = make_files({p: c for p, (c, *_) in SNIPPETS.items()})
     got = rows(scan.threats(scan.analyse(files)).collect())
-    for path, (_, _, _, expected) in SNIPPETS.items():
+    for path, (_, _, expected) in SNIPPETS.items():
         assert got.get(path, []) == expected, path
 
 
@@ -119,8 +115,8 @@ def test_snippet_scores(make_files):
     entropy = {r["path"]: r["entropy"] for r in detect.entropy_scores(files).collect()}
     by_histogram = {r["path"]: r["entropy"] for r in detect.histogram_entropy(files).collect()}
     obfuscation = {r["path"]: r["obfuscation_score"] for r in detect.obfuscation_scores(files).collect()}
-    for path, (_, h, obf, _) in SNIPPETS.items():
-        assert entropy[path] == pytest.approx(h, abs=6e-4)
+    for path, (content, obf, _) in SNIPPETS.items():
+        assert entropy[path] == pytest.approx(entropy_of(content.encode()), abs=1e-9)
         assert by_histogram[path] == pytest.approx(entropy[path], abs=1e-9)
         assert obfuscation[path] == obf
 
@@ -133,9 +129,7 @@ def test_edge_cases(make_files):
 
 
 def test_multi_line_sample(make_files):
-    text = (
-        '<?php\neval($_POST["cmd"]);\n$d = base64_decode("' + A * 100 + '");\necho $_GET["data"];\n?>'
-    )
+    text = "// start\n eval( $_POST[1] );\n$d = base64_decode('" + A * 100 + "');\nprint $_GET[2];\n"
     got = rows(scan.threats(scan.analyse(make_files({"x": text}))).collect())["x"]
     assert got == [
         (S, "high", 1.0, 2),
@@ -158,14 +152,19 @@ def test_evidence_with_cut_utf8_stays_readable(make_files):
     assert "eval($x)" in evidence and evidence.startswith("é")
 
 
-def test_threshold_is_clamped_and_monotone(make_files):
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 1.5])
+def test_threshold_outside_its_range_is_an_error(threshold):
+    with pytest.raises(ValueError):
+        ScanSettings(confidence_threshold=threshold)
+
+
+def test_threshold_is_monotone(make_files):
     contents = {p: c for p, (c, *_) in SNIPPETS.items()} | {p: c for p, (c, _) in EDGES.items()}
     files = make_files(contents | {"concat": "$a = $b . $c;", "noise": bytes(range(256)) * 4})
     found = {}
-    for t in (0.0, 0.1, 0.25, 0.4, 0.5, 0.8, 1.0, 7.0):
+    for t in (0.1, 0.25, 0.4, 0.5, 0.8, 1.0):
         result = scan.threats(scan.analyse(files, settings=ScanSettings(confidence_threshold=t)))
         found[t] = {(r["path"], r["rule_ord"]) for r in result.collect()}
-    assert found[0.0] == found[0.1] and found[1.0] == found[7.0]
     assert found[0.1] >= found[0.25] >= found[0.4] >= found[0.5] >= found[0.8] >= found[1.0]
     assert ("noise", cat.ENTROPY_ORD) in found[0.25] and ("noise", cat.ENTROPY_ORD) not in found[0.4]
     assert ("concat", cat.PATTERN_ORD + 1) in found[0.4] and ("concat", cat.PATTERN_ORD + 1) not in found[0.5]
@@ -214,18 +213,20 @@ def test_linear_first_matches_equal_their_patterns(spark):
 
     words = ["$_GET", "$_POST", "[", "]", "for", "(", "$i", "=", "0", "chr", "chr(", "union", "select", "from"]
     words += ["information_schema", "\n", " ", "\r", "for($i=0", "$_GET[", "UNION SELECT"]
+    tables = ["wp_users", "password", "MD5", "md5", "wp_options", "siteurl", "update", "\n", " ", "\r", "x"]
     rng = random.Random(11)
     texts = ["".join(rng.choices(words, k=rng.randint(2, 12))) for _ in range(6000)]
+    texts += ["".join(rng.choices(tables, k=rng.randint(3, 14))) for _ in range(6000)]
     heads = ["$_GET\n[ ]", "$_GET[ $_GET\n[ ]", "for(\n$i=0 for($j=0\n chr(", "for($i=0 for(\n$j=0 chr\n(", "union\nselect from from information_schema from"]
     df = spark.createDataFrame([(t,) for t in texts + heads], "t STRING")
     rules = [r for r in [*cat.default_signatures(), *cat.HEURISTICS, *cat.PATTERNS] if r.linear]
-    assert len(rules) == 3
+    assert len(rules) == 4
     pairs = [(F.regexp_extract("t", r.pattern, 0), F.regexp_extract("t", r.linear, 1)) for r in rules]
     row = df.agg(
         *[F.count_if(a != b).alias(f"d{i}") for i, (a, b) in enumerate(pairs)],
         *[F.count_if(a != "").alias(f"h{i}") for i, (a, _) in enumerate(pairs)],
     ).first()
-    assert [row[f"d{i}"] for i in range(3)] == [0, 0, 0] and all(row[f"h{i}"] > 5 for i in range(3))
+    assert [row[f"d{i}"] for i in range(4)] == [0] * 4 and all(row[f"h{i}"] > 5 for i in range(4))
 
 
 def test_long_lines_without_a_match_stay_cheap(make_files):
@@ -241,6 +242,9 @@ def test_long_lines_without_a_match_stay_cheap(make_files):
     }
     start = time.time()
     assert scan.threats(scan.analyse(make_files(contents))).count() == 0
+    late = "wp_users " * 40_000 + "password " * 40_000 + "\nwp_users password md5"
+    found = scan.threats(scan.analyse(make_files({"late": late}))).filter("type = 'wordpress_exploit'").first()
+    assert found["evidence"] == "wp_users password md5"
     assert time.time() - start < 60
 
 
@@ -293,7 +297,7 @@ def test_unreadable_content_is_skipped(spark):
 def test_results_rows_are_stable(make_files):
     from datetime import datetime
 
-    files = make_files({"/a.php": SNIPPETS["38"][0]})
+    files = make_files({"/a.php": SNIPPETS["page_by_name"][0]})
     first = scan.scan_results(scan.analyse(files), "s1", datetime(2024, 1, 2)).collect()
     again = scan.scan_results(scan.analyse(files), "s1", datetime(2024, 1, 2)).collect()
     assert first == again and len({r["id"] for r in first}) == 3

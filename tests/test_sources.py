@@ -8,7 +8,7 @@ from filewarden.operators import detect
 from filewarden.settings import ScanSettings, split_setting
 from filewarden.sources import catalogue as cat
 from filewarden.sources import sinks
-from filewarden.sources.files import _depth_windows, read_tree, select_files
+from filewarden.sources.files import _depth_windows, read_tree, select_files, skipped_files
 
 
 def write(root, files):
@@ -55,7 +55,9 @@ def test_tree_selection(spark, tmp_path):
             "sp ace/é.php": "x",
         },
     )
-    files = read_tree(spark, ScanSettings(scan_paths=(str(tmp_path),), max_file_size=1000))
+    files = read_tree(spark, ScanSettings(scan_paths=(str(tmp_path),), max_file_size=1000, max_depth=10))
+    everything = read_tree(spark, ScanSettings(scan_paths=(str(tmp_path),)))
+    assert {"big.php", f"{deep11}/no.php"} <= set(names(everything, tmp_path))
     wanted = ["a.php", "b.JS", "limit.php", "sub/vendor.php", f"{deep10}/ok.php", "sp ace/é.php"]
     assert names(files, tmp_path) == sorted(wanted)
     assert opened_files(files) == len(wanted)
@@ -130,3 +132,22 @@ def test_export_and_versions(spark, tmp_path):
     sinks.write_version(df, str(tmp_path / "v1"))
     with pytest.raises(Exception):
         sinks.write_version(df, str(tmp_path / "v1"))
+
+
+def test_skipped_files_complement_the_selection(spark, make_files):
+    paths = ["/a/x.php", "/a/x.exe", "/a/.git/x.php", "/a/b/c/d/x.php", "/a/big.php", "/a/gone.php"]
+    files = make_files({p: "y" * (50 if "big" in p else 5) for p in paths})
+    files = files.withColumn("content", F.when(F.col("path") != "/a/gone.php", F.col("content")))
+    limits = ScanSettings(max_file_size=20, max_depth=2)
+    reasons = {r["path"]: r["reason"] for r in skipped_files(files, limits).collect()}
+    assert reasons == {"/a/x.exe": "extension", "/a/.git/x.php": "excluded_folder", "/a/b/c/d/x.php": "too_deep",
+                       "/a/big.php": "too_large", "/a/gone.php": "unreadable"}
+    assert {r["path"] for r in select_files(files).collect()} >= {"/a/b/c/d/x.php", "/a/big.php"}
+
+
+def test_repeated_update_names_stay_one_rule(spark):
+    fields = "rule_ord INT, layer STRING, name STRING, pattern STRING, severity STRING, description STRING, confidence DOUBLE"
+    current = spark.createDataFrame([(1, "s", "a", "/x/", "high", "d", 0.9)], fields)
+    updates = spark.createDataFrame([(i, "s", n, f"/{i}/", "low", "d", 0.9) for i, n in enumerate(["a", "b", "a", "b"])], fields)
+    merged = {r["name"]: r["pattern"] for r in cat.merge_catalogue(current, updates).collect()}
+    assert merged == {"a": "/2/", "b": "/3/"} and cat.merge_catalogue(current, updates).count() == 2

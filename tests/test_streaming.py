@@ -48,6 +48,21 @@ def test_seen_content_is_skipped(spark, make_files, tmp_path):
     assert spark.table("unique_files").groupBy("path").count().orderBy("path").collect() == [("/a.php", 2), ("/b.php", 1), ("/c.php", 1)]
 
 
+def test_backdated_file_in_a_late_batch_is_reported(spark, make_files, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    days = [152, 153, 154, -1500]
+    for i, day in enumerate(days):
+        arrivals(make_files, src, {f"/{i}.php": "coinhive"}, minutes=day * 24 * 60)
+        analysed = stream_scan.skip_seen(stream_scan.scan_stream(stream_scan.read_arrivals(spark, src, 1)))
+        stream_scan.write_scan_results(analysed, out, str(tmp_path / "ck"), seen_path=str(tmp_path / "seen")).awaitTermination()
+    found = stream_scan.read_results(spark, out).collect()
+    assert sorted(r["file_path"] for r in found) == [f"/{i}.php" for i in range(4)]
+    assert all(datetime.now() - r["detected_at"] < timedelta(days=1) for r in found)
+    again = stream_scan.skip_seen(stream_scan.scan_stream(stream_scan.read_arrivals(spark, src)))
+    stream_scan.write_scan_results(again, out, str(tmp_path / "ck2"), "later", str(tmp_path / "seen")).awaitTermination()
+    assert stream_scan.read_results(spark, out).count() == 4
+
+
 def test_rolling_counts_stream_equals_batch(spark, tmp_path):
     rows = [(START + timedelta(minutes=37 * i), "e" if i % 3 else "f", "info") for i in range(200)]
     log = spark.createDataFrame(rows, "created_at TIMESTAMP, event_type STRING, severity STRING")

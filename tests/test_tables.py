@@ -51,7 +51,9 @@ def test_reputation(spark, make_files):
         ("b", "critical", 0.857, "VirusTotal"), ("d", "high", 0.75, "VirusTotal"), ("e", "medium", 1.0, "VirusTotal")}
     assert scan.threats(scan.analyse(files, reputation=table)).count() == 0
     queue = verdicts.submission_queue(make_files({"a": "a", "new": "new", "big": "x" * 650000}), table)
-    assert [r["path"] for r in queue.collect()] == ["new"]
+    assert sorted(r["path"] for r in queue.collect()) == ["big", "new"]
+    limited = verdicts.submission_queue(make_files({"new": "new", "big": "x" * 650000}), table, below=650_000)
+    assert [r["path"] for r in limited.collect()] == ["new"]
 
 
 def test_model_verdicts(spark, make_files):
@@ -70,9 +72,26 @@ def test_model_verdicts(spark, make_files):
         ("high", "high", 0.95), ("unknown", "low", 0.7), ("absent", "medium", 0.7)}
 
 
-def test_requests_cut_at_4000_bytes(make_files):
-    row = verdicts.inference_requests(make_files({"/a.php": "é" * 3000})).first()
-    assert row["sample_bytes"] == 4000 and row["prompt"].count("é") == 2000 and " php file" in row["prompt"]
+def test_requests_send_every_byte(make_files):
+    content = bytes(range(256)) * 40
+    sizes = {"/empty.php": 0, "/one.php": 1, "/full.php": 4000, "/over.php": 4001, "/long.php": 10_000}
+    files = make_files({p: content[:n] for p, n in sizes.items()})
+    sent = {}
+    for r in verdicts.inference_requests(files).orderBy("path", "chunk").collect():
+        sent.setdefault(r["path"], []).append((r["chunk"], r["sample_bytes"]))
+        assert " php file" in r["prompt"]
+    assert sent == {
+        "/empty.php": [(0, 0)], "/one.php": [(0, 1)], "/full.php": [(0, 4000)], "/over.php": [(0, 4000), (1, 201)],
+        "/long.php": [(0, 4000), (1, 4000), (2, 2400)]}
+
+
+def test_chunk_verdicts_fold_to_the_gravest(spark):
+    answer = lambda bad, level, sure: f'{{"analysis":{{"is_malicious":{bad},"risk_level":"{level}","confidence":{sure}}}}}'
+    said = [("a", 0, answer("false", "critical", 99)), ("a", 1, answer("true", "low", 5)), ("a", 2, answer("true", "high", 5)),
+            ("a", 3, "no json"), ("b", 0, "no json"), ("b", 1, None)]
+    folded = verdicts.fold_verdicts(spark.createDataFrame(said, "sha256 STRING, chunk INT, response STRING"))
+    got = {r["sha256"]: r["response"] for r in folded.collect()}
+    assert got["a"] == said[2][2] and got["b"] == "no json"
 
 
 def test_integrity(spark):
