@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from filewarden.operators import scan
 from filewarden.settings import ScanSettings
-from filewarden.sources.files import files_from_text
+from filewarden.sources.files import files_from_binary, files_from_text
 
 # Own samples: one code line per document, chosen by its number; together they fire every rule that a text can fire.
 SNIPPETS = (
@@ -46,6 +46,7 @@ AROUND = (
 )
 FOLDERS = {0: "wp-content/cache", 1: ".github", 2: "myvendor"}
 EXTENSIONS = ("php", "js", "html", "htm", "css", "txt", "PHP")
+DIGESTS = (1, 2, 4, 8, 32)
 STATUSES = ("active", "active", "active", "quarantined", "ignored", "cleaned", "active")
 
 
@@ -88,6 +89,15 @@ def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages)
 
 
+def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A binary file per document: 1, 2, 4, 8 or 32 digests of its text, so near random and mostly no UTF-8."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    many = F.element_at(F.array(*[F.lit(n) for n in DIGESTS]), (F.col("doc_id") % len(DIGESTS) + 1).cast("int"))
+    digest = lambda i: F.sha2(F.concat(i.cast("string"), F.lit(":"), "text"), 256)
+    content = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), many), digest), ""))
+    return files_from_binary(documents, F.concat(F.lit("/bin/"), "doc_id", F.lit(".php")), content)
+
+
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`scan_results` of the whole corpus, spread over five scans, thirty days and all statuses."""
     analysed = scan.analyse(corpus(spark, sf_dir), settings=ScanSettings())

@@ -329,6 +329,20 @@ merged AS (
 _EVENT = "event_type, description, severity, metadata, {at}"
 
 
+_BAND = (
+    "CASE WHEN entropy < 4 THEN 'structured' WHEN entropy < 6 THEN 'normal' WHEN entropy < 7 THEN 'monitor' "
+    "WHEN entropy <= 7.5 THEN 'warning' ELSE 'alert' END"
+)
+_ALERT = "round((entropy - 7.5) / 2, 4)"
+_BINARY = """bin AS (
+  SELECT '/bin/' || doc_id || '.php' AS path, array_to_string(list_transform(range(1, [1, 2, 4, 8, 32][1 + doc_id % 5] + 1),
+    lambda i: sha256(i || ':' || coalesce(text, ''))), '') AS hex FROM documents),
+hist AS (SELECT path, b, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(hex, '..')) AS b FROM bin) GROUP BY path, b),
+ent AS (
+  SELECT path, any_value(file_hash) AS file_hash, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0 AS entropy
+  FROM hist JOIN (SELECT path, sha256(unhex(hex)) AS file_hash FROM bin) USING (path) GROUP BY path)"""
+
+
 def oracle_queries() -> dict[str, str]:
     threat_columns = _THREAT_COLUMNS.format(source="CAST(NULL AS VARCHAR)")
     hit_columns = "path, type, severity, description, confidence, evidence, line_number"
@@ -366,6 +380,8 @@ SELECT path, score AS behaviour_score, score > 0.6::DOUBLE AS is_malicious FROM
         "byte_entropy": entropy
         + """SELECT path, entropy, CASE WHEN entropy < 4 THEN 'structured' WHEN entropy < 6 THEN 'normal'
 WHEN entropy < 7 THEN 'monitor' WHEN entropy <= 7.5 THEN 'warning' ELSE 'alert' END AS entropy_band FROM filled""",
+        "binary_entropy": f"WITH {_BINARY} SELECT path, entropy, {_BAND} AS entropy_band, CASE WHEN entropy > 7.5 THEN {_ALERT} END AS alert_confidence FROM ent",
+        "binary_threats": f"WITH {_BINARY} SELECT path, file_hash, 'medium' AS severity, {_ALERT} AS confidence, 0 AS line_number FROM ent WHERE {_ALERT} >= 0.1 AND entropy > 7.5",
         "histogram_entropy": entropy + "SELECT path, entropy FROM filled",
         "byte_histogram": entropy
         + "SELECT path, CAST(('0x' || b) AS BIGINT) AS byte_value, n FROM hist",

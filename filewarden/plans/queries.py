@@ -26,6 +26,7 @@ from filewarden.operators import (
 )
 from filewarden.plans.corpus import (
     audit_table,
+    binary_files,
     calls_table,
     corpus,
     pick,
@@ -155,6 +156,19 @@ def byte_entropy(spark, sf):
     return scores.select("path", F.round("entropy", 6).alias("entropy"), "entropy_band")
 
 
+def binary_entropy(spark, sf):
+    scores = detect.entropy_scores(binary_files(spark, sf))
+    return scores.select(
+        "path", F.round("entropy", 6).alias("entropy"), "entropy_band", F.round("alert_confidence", 4).alias("alert_confidence")
+    )
+
+
+def binary_threats(spark, sf):
+    """Alerts of the entropy layer in a scan at a threshold that they can reach."""
+    found = scan.threats(scan.analyse(binary_files(spark, sf), settings=LOW_THRESHOLD)).filter("type = 'high_entropy'")
+    return found.select("path", "file_hash", "severity", F.round("confidence", 4).alias("confidence"), "line_number")
+
+
 def histogram_entropy(spark, sf):
     scores = detect.histogram_entropy(plain_files(spark, sf))
     return scores.select("path", F.round("entropy", 6).alias("entropy"))
