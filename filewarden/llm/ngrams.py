@@ -37,7 +37,7 @@ from filewarden.session import stored
 
 N = 3
 PERCENT = 90
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 SLICE_BYTES = 16 << 20
 TILE = 2000
 RANGES = 16

@@ -32,7 +32,7 @@ WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 CHUNK_BYTES = 8 << 20
-CACHE = 1_000_000
+CACHE = 250_000
 BASE = 0xD6E8FEB86659FD93
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
