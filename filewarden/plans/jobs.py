@@ -52,23 +52,28 @@ class Store:
     def create(self, spark: SparkSession) -> None:
         """Empty change tables, so that readers find a schema before the first change."""
         for path, schema in ((self.status_updates, _UPDATES), (self.restores, _RESTORES)):
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/run=none")
 
     def read_results(self, spark: SparkSession) -> DataFrame:
         """Threats with their current status."""
-        stored = spark.read.parquet(self.results).drop("scan_date")
-        return results.update_status(stored, spark.read.schema(_UPDATES).parquet(self.status_updates))
-
-    def read_quarantine(self, spark: SparkSession) -> DataFrame:
-        """Quarantine rows with their time of restoration."""
-        stored = spark.read.parquet(self.quarantine).drop("quarantine_date", "restored_at")
-        back = (
-            spark.read.schema(_RESTORES).parquet(self.restores).groupBy("id").agg(F.max("restored_at").alias("restored_at"))
-        )
+        stored = spark.read.parquet(self.results).drop("run", "scan_date")
+        return results.update_status(stored, _changes(spark, _UPDATES, self.status_updates).drop("run"))
+
+    def read_quarantine(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
+        """Quarantine rows with their time of restoration; `without_run` ignores what that run restored."""
+        stored = spark.read.parquet(self.quarantine).drop("run", "quarantine_date", "restored_at")
+        done = _changes(spark, _RESTORES, self.restores)
+        done = done if without_run is None else done.filter(F.col("run") != without_run)
+        back = done.groupBy("id").agg(F.max("restored_at").alias("restored_at"))
         return stored.join(back, "id", "left")
 
     def read_audit(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.audit).drop("event_date")
+        return spark.read.parquet(self.audit).drop("run", "event_date")
+
+
+def _changes(spark: SparkSession, fields: str, path: str) -> DataFrame:
+    """Rows of a change table, with the run that wrote them."""
+    return spark.read.schema(f"{fields}, run STRING").parquet(path)
 
 
 def register_views(spark: SparkSession, store: Store) -> None:
@@ -77,6 +82,16 @@ def register_views(spark: SparkSession, store: Store) -> None:
     store.read_audit(spark).createOrReplaceTempView("audit_log")
 
 
+def _of_run(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The stored rows of one run, without the columns of its folders."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("run") == run).drop("run", "scan_date", "quarantine_date")
+
+
+def _named(run: str | None, at: datetime) -> str:
+    return run or f"at-{at:%Y%m%dT%H%M%S%f}"
+
+
 def _one_row(spark: SparkSession, **values) -> DataFrame:
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
 
@@ -98,14 +113,14 @@ def run_scan(
     is read once.
     """
     now = results.as_timestamp(at)
-    sinks.append_audit(audit.scan_started(_one_row(spark, scan_id=scan_id, scan_type="full"), now), store.audit)
+    sinks.append_audit(audit.scan_started(_one_row(spark, scan_id=scan_id, scan_type="full"), now), store.audit, f"{scan_id}-started")
     seen = Observation(f"scan {scan_id}")
     analysed = analyse(files, signatures, settings, reputation, model_verdicts).observe(
         seen,
         F.count("*").alias("scanned_files"),
         F.coalesce(F.sum(F.size("threats")), F.lit(0)).alias("threats_found"),
     )
-    sinks.append_scan_results(scan_results(analysed, scan_id, at), store.results)
+    sinks.append_scan_results(scan_results(analysed, scan_id, at), store.results, scan_id)
     outcome = _one_row(
         spark,
         scan_id=scan_id,
@@ -114,11 +129,9 @@ def run_scan(
         scanned_files=seen.get["scanned_files"],
         threats_found=seen.get["threats_found"],
     )
-    written = spark.read.parquet(store.results).filter(
-        (F.col("scan_date") == F.to_date(now)) & (F.col("scan_id") == scan_id)
-    )
-    sinks.append_audit(audit.threat_detected(written), store.audit)
-    sinks.append_audit(audit.scan_completed(outcome, now), store.audit)
+    written = _of_run(spark, store.results, scan_id)
+    sinks.append_audit(audit.threat_detected(written), store.audit, f"{scan_id}-threats")
+    sinks.append_audit(audit.scan_completed(outcome, now), store.audit, f"{scan_id}-completed")
     return outcome
 
 
@@ -161,25 +174,23 @@ def run_quarantine(
     store: Store,
     settings: ScanSettings = ScanSettings(),
     quarantine_dir: str = "quarantine/",
+    run: str | None = None,
 ) -> remediate.Remediation:
-    """Quarantine the files of the requested threat ids.
+    """Quarantine the files of the requested threat ids. `run` names the run; the same one again replaces its rows.
 
     Originals are stored first; status changes and audit rows come from what was
     stored, so a run that dies in between never reports more than it saved.
     """
     resolved = remediate.resolve_requests(requests, store.read_results(spark))
+    run = _named(run, at)
     rows = remediate.quarantine_rows(remediate.flagged_paths(resolved), files, at, quarantine_dir)
     good = rows.filter(F.col("outcome") == remediate.OK).drop("outcome")
-    sinks.append_quarantine(good, store.quarantine)
-    saved = (
-        spark.read.parquet(store.quarantine)
-        .filter((F.col("quarantine_date") == F.to_date(results.as_timestamp(at))) & (F.col("quarantined_at") == results.as_timestamp(at)))
-        .drop("quarantine_date")
-    )
+    sinks.append_quarantine(good, store.quarantine, run)
+    saved = _of_run(spark, store.quarantine, run)
     done = saved.select("file_path", F.lit(remediate.OK).alias("outcome"))
     updates = remediate.status_updates(resolved, done, at)
-    updates.write.mode("append").parquet(store.status_updates)
-    sinks.append_audit(audit.file_quarantined(saved), store.audit)
+    updates.write.mode("overwrite").parquet(f"{store.status_updates}/run={run}")
+    sinks.append_audit(audit.file_quarantined(saved), store.audit, f"{run}-quarantined")
     file_outcome = F.coalesce(F.col("d.outcome"), F.lit(remediate.FILE_NOT_FOUND))
     outcomes = (
         resolved.alias("r")
@@ -193,18 +204,19 @@ def run_quarantine(
     return remediate.Remediation(outcomes, saved, updates, remediate.quarantine_alerts(saved, at, settings))
 
 
-def run_restore(spark: SparkSession, requests: DataFrame, at: datetime, store: Store) -> DataFrame:
+def run_restore(
+    spark: SparkSession, requests: DataFrame, at: datetime, store: Store, run: str | None = None
+) -> DataFrame:
     """Restore the newest open quarantine row of each requested path; returns rows with outcome and content."""
-    quarantine = store.read_quarantine(spark)
+    run = _named(run, at)
+    quarantine = store.read_quarantine(spark, without_run=run)
     restored = remediate.restore_rows(requests, quarantine)
     marks = restored.filter(F.col("outcome") == remediate.OK).select(
         "id", "path", results.as_timestamp(at).alias("restored_at")
     )
-    marks.write.mode("append").parquet(store.restores)
-    saved = (
-        spark.read.schema(_RESTORES).parquet(store.restores).filter(F.col("restored_at") == results.as_timestamp(at))
-    )
-    sinks.append_audit(audit.file_restored(saved.withColumnRenamed("path", "file_path")), store.audit)
+    marks.write.mode("overwrite").parquet(f"{store.restores}/run={run}")
+    saved = _changes(spark, _RESTORES, store.restores).filter(F.col("run") == run).drop("run")
+    sinks.append_audit(audit.file_restored(saved.withColumnRenamed("path", "file_path")), store.audit, f"{run}-restored")
     content = spark.read.parquet(store.quarantine).select("id", F.col("original_content").alias("content"))
     done = saved.select("path", "id").join(content, "id")
     missing = requests.select("path").distinct().join(saved.select("path"), "path", "left_anti")

@@ -1,4 +1,5 @@
-"""Writers for the result tables. Tables are Parquet folders and only ever appended to."""
+"""Writers for the result tables. Tables are Parquet folders with one folder per run: runs add to a table, a
+repeated run replaces its own rows only."""
 
 from __future__ import annotations
 
@@ -8,25 +9,26 @@ from pyspark.sql import functions as F
 EXPORT_FORMATS = ("csv", "json", "parquet")
 
 
-def append_scan_results(results: DataFrame, path: str) -> None:
-    """Append threat rows, partitioned by the day of detection."""
-    results.withColumn("scan_date", F.to_date("detected_at")).write.mode("append").partitionBy("scan_date").parquet(
-        path
-    )
+def _write_run(rows: DataFrame, path: str, run: str, day: str, at: str) -> None:
+    """Writes the rows of one run to its own folder, by day; the same run again replaces them."""
+    if not run or any(c in run for c in "/=\\"):
+        raise ValueError(f"{run!r} cannot name a run")
+    rows.withColumn(day, F.to_date(at)).write.mode("overwrite").partitionBy(day).parquet(f"{path}/run={run}")
 
 
-def append_audit(events: DataFrame, path: str) -> None:
-    """Append audit rows, partitioned by day."""
-    events.withColumn("event_date", F.to_date("created_at")).write.mode("append").partitionBy("event_date").parquet(
-        path
-    )
+def append_scan_results(results: DataFrame, path: str, run: str) -> None:
+    """Add the threat rows of a run, partitioned by the day of detection."""
+    _write_run(results, path, run, "scan_date", "detected_at")
 
 
-def append_quarantine(rows: DataFrame, path: str) -> None:
-    """Append quarantine rows, partitioned by day."""
-    rows.withColumn("quarantine_date", F.to_date("quarantined_at")).write.mode("append").partitionBy(
-        "quarantine_date"
-    ).parquet(path)
+def append_audit(events: DataFrame, path: str, run: str) -> None:
+    """Add the audit rows of one step of a run, partitioned by day."""
+    _write_run(events, path, run, "event_date", "created_at")
+
+
+def append_quarantine(rows: DataFrame, path: str, run: str) -> None:
+    """Add the quarantine rows of a run, partitioned by day."""
+    _write_run(rows, path, run, "quarantine_date", "quarantined_at")
 
 
 def write_version(table: DataFrame, path: str) -> None:

@@ -22,17 +22,25 @@ def test_scan_quarantine_restore(spark, make_files, tmp_path):
     assert events == {"scan_started": 1, "scan_completed": 1, "threat_detected": 4}
 
     requests = store.read_results(spark).filter("threat_severity = 'critical'").select("id")
-    asked = requests.unionByName(spark.createDataFrame([("nope",)], "id STRING"))
+    asked = spark.createDataFrame([*requests.collect(), ("nope",)], "id STRING")
     done = run_quarantine(spark, asked, files, NOW + timedelta(hours=1), store, ALERTS)
     assert sorted(r["outcome"] for r in done.outcomes.collect()) == ["ok", "threat_not_found"]
     assert done.alerts.count() == 1
     assert store.read_results(spark).filter("status = 'quarantined'").count() == 1
     assert store.read_quarantine(spark).filter("restored_at IS NULL").count() == 1
 
+    before = [t.count() for t in (store.read_results(spark), store.read_quarantine(spark), store.read_audit(spark))]
+    run_scan(spark, files, "s1", NOW, store)
+    again = run_quarantine(spark, asked, files, NOW + timedelta(hours=1), store, ALERTS)
+    assert sorted(r["outcome"] for r in again.outcomes.collect()) == ["ok", "threat_not_found"]
+    assert before == [t.count() for t in (store.read_results(spark), store.read_quarantine(spark), store.read_audit(spark))]
+
     back = run_restore(spark, spark.createDataFrame([("/a.php",), ("/zzz",)], "path STRING"), NOW + timedelta(hours=2), store)
     assert {(r["path"], r["outcome"], r["content"] and bytes(r["content"]).decode()) for r in back.collect()} == {
         ("/a.php", "ok", CONTENTS["/a.php"]), ("/zzz", "file_not_quarantined", None)}
     assert store.read_quarantine(spark).filter("restored_at IS NULL").count() == 0
+    run_restore(spark, spark.createDataFrame([("/a.php",)], "path STRING"), NOW + timedelta(hours=2), store)
+    assert store.read_audit(spark).filter("event_type = 'file_restored'").count() == 1
     kinds = {r["event_type"] for r in store.read_audit(spark).select("event_type").distinct().collect()}
     assert {"file_quarantined", "file_restored"} <= kinds
 
