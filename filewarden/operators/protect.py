@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Marker and cipher of a protected value.
@@ -10,9 +10,19 @@ PREFIX = "enc:"
 KEY_BYTES = 32
 
 
-def _check_key(key: bytes) -> None:
+def hidden_key(spark: SparkSession, key: bytes) -> Column:
+    """The key as a subquery over a table of one row: plans, and so the UI and event logs, name it but do not hold it."""
     if len(key) != KEY_BYTES:
         raise ValueError(f"the key must have {KEY_BYTES} bytes")
+    return spark.createDataFrame([(bytearray(key),)], "key BINARY").scalar()
+
+
+def _key(key: bytes | Column) -> Column:
+    if isinstance(key, Column):
+        return key
+    if len(key) != KEY_BYTES:
+        raise ValueError(f"the key must have {KEY_BYTES} bytes")
+    return F.lit(key)
 
 
 def is_encrypted(value: Column) -> Column:
@@ -23,16 +33,17 @@ def _blank(value: Column) -> Column:
     return value.isin("", "0")
 
 
-def encrypt(value: Column, key: bytes) -> Column:
-    """Protect a text column with a random IV per value; empty values stay as they are."""
-    _check_key(key)
-    sealed = F.concat(F.lit(PREFIX), F.base64(F.aes_encrypt(value, F.lit(key), F.lit("CBC"), F.lit("PKCS"))))
+def encrypt(value: Column, key: bytes | Column) -> Column:
+    """Protect a text column with a random IV per value; empty values stay as they are.
+
+    Keys given as bytes become literals of the plan; use :func:`hidden_key` where plans are logged.
+    """
+    sealed = F.concat(F.lit(PREFIX), F.base64(F.aes_encrypt(value, _key(key), F.lit("CBC"), F.lit("PKCS"))))
     return F.when(_blank(value), value).otherwise(sealed)
 
 
-def decrypt(value: Column, key: bytes) -> Column:
+def decrypt(value: Column, key: bytes | Column) -> Column:
     """Recover a protected value; unprefixed values pass through, broken ones give NULL."""
-    _check_key(key)
     raw = F.try_to_binary(F.substring(value, len(PREFIX) + 1, 2**31 - 1), F.lit("base64"))
-    opened = F.try_aes_decrypt(raw, F.lit(key), F.lit("CBC"), F.lit("PKCS")).cast("string")
+    opened = F.try_aes_decrypt(raw, _key(key), F.lit("CBC"), F.lit("PKCS")).cast("string")
     return F.when(is_encrypted(value), opened).otherwise(value)

@@ -762,14 +762,13 @@ def posture_rules(spark, sf):
 
 
 def protect_roundtrip(spark, sf):
-    sealed = table(spark, sf, "documents").select(
-        "doc_id", "text", protect.encrypt(F.col("text"), PROTECT_KEY).alias("sealed")
-    )
+    key = protect.hidden_key(spark, PROTECT_KEY)
+    sealed = table(spark, sf, "documents").select("doc_id", "text", protect.encrypt(F.col("text"), key).alias("sealed"))
     return sealed.select(
         "doc_id",
         protect.is_encrypted(F.col("sealed")).alias("is_encrypted"),
-        F.md5(protect.decrypt(F.col("sealed"), PROTECT_KEY)).alias("text_md5"),
-        F.md5(protect.decrypt(F.col("text"), PROTECT_KEY)).alias("plain_md5"),
+        F.md5(protect.decrypt(F.col("sealed"), key)).alias("text_md5"),
+        F.md5(protect.decrypt(F.col("text"), key)).alias("plain_md5"),
     )
 
 

@@ -236,6 +236,16 @@ def test_posture(spark):
     assert got == {("bad", "Disable File Editing"), ("bad", "Disable Debug Mode"), ("bad", "Update WordPress"), ("dbg", "Disable Debug Mode")}
 
 
+def test_hidden_key_stays_out_of_plans(spark):
+    secret = bytes(range(100, 132))
+    key = protect.hidden_key(spark, secret)
+    sealed = spark.range(3).select(protect.encrypt(F.col("id").cast("string"), key).alias("s"))
+    opened = sealed.select(protect.decrypt(F.col("s"), key).alias("v"))
+    assert sorted(r["v"] for r in opened.collect()) == ["0", "1", "2"]
+    text = opened._jdf.queryExecution().toString() + opened._jdf.queryExecution().executedPlan().toString()
+    assert secret.hex() not in text.lower() and "100, 101, 102" not in text
+
+
 def test_protection(spark):
     df = spark.createDataFrame([("secret é",), ("",), ("0",), (None,)], "v STRING")
     sealed = df.select("v", protect.encrypt(F.col("v"), KEY).alias("s")).cache()
