@@ -37,7 +37,3 @@ def display(byte_chars: Column) -> Column:
 def search_text(content: Column) -> Column:
     """Lower-cased content for cheap substring tests (ASCII needles only)."""
     return F.lower(content.cast("string"))
-
-
-def evidence(match: Column) -> Column:
-    return F.substring(match, 1, EVIDENCE_BYTES)

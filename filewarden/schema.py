@@ -18,17 +18,13 @@ from pyspark.sql.types import (
 )
 
 # Enum domains.
-SEVERITIES = ("low", "medium", "high", "critical")
 RESULT_STATUSES = ("active", "quarantined", "cleaned", "ignored")
-AUDIT_SEVERITIES = ("info", "warning", "error", "critical")
 
 TEXT, INT, LONG, REAL, FLAG, TIME = StringType(), IntegerType(), LongType(), DoubleType(), BooleanType(), TimestampType()
 
-
 def _table(**columns: DataType) -> StructType:
     return StructType([StructField(name, data_type) for name, data_type in columns.items()])
 
-
 FILES = _table(path=TEXT, content=BinaryType(), size=LONG, mtime=TIME)
 
 RULES = _table(
@@ -84,8 +80,6 @@ AUDIT_LOG = _table(
     created_at=TIME,
 )
 
-API_CALLS = _table(api=TEXT, ts=TIME)
-
 REPUTATION = _table(
     sha256=TEXT, stats=_table(malicious=INT, clean=INT, suspicious=INT, undetected=INT)
 )
@@ -103,8 +97,6 @@ MODEL_RESPONSE = _table(
     )
 )
 
-BASELINE = _table(path=TEXT, sha256=TEXT, snapshot_at=TIME)
-
 MANIFEST = _table(scan_id=TEXT, path=TEXT, started_at=TIME)
 
 SITES = _table(site=TEXT, disallow_file_edit=FLAG, debug=FLAG, version=TEXT)
