@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewarden.llm.bpe import decode, encode
-from filewarden.llm.lines import dedup_lines
+from filewarden.llm.lines import dedup_lines, shared_lines
 from filewarden.llm.mixing import mix
 from filewarden.llm.ngrams import near_copies
 from filewarden.llm.quality import quality_rules
@@ -35,8 +35,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of templates that recur across documents."""
-    return _with_text(dedup_lines(docs), docs.columns, F.col("text"))
+    """All documents, without lines of templates that recur across unrelated documents."""
+    return _with_text(dedup_lines(docs, shared_lines), docs.columns, F.col("text"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,14 @@ template is dropped when at least `DOCS` documents hold it and its surroundings
 lines around it are at least `AROUND` % as many as the documents. The surroundings tell a notice that many documents
 share from the lines of a document that was copied, which later stages deal with.
 
+`shared_lines` is the rule of the pipeline, `dropped_lines` the one that the SQL of `op8_line_dedup` fixes. It looks at
+no neighbours and counts unrelated documents: `needed` of them drop a template, fewer the longer it is. Its templates
+are those above and, for lines that need fewer than `DOCS`, those whose constant words stand in as many documents as
+needed. The owner of a line is the smallest document that holds a template of it. For a template, documents of which
+another one owns at least `RELATED` % of the words outside it count as one with that document, so copies and edited
+copies count once; documents without other words count as one together. A block that is most of its hosts is thus
+taken for copied text and stays.
+
 Cost: lines become narrow rows of digests, stored once; leaves are counted from them, and only lines of leaves with
 enough documents go on. The text is shuffled twice, to read each different candidate line once and to remove lines. All joins
 are plain equi-joins whose hot side Spark can split, all counts are pre-aggregated. Only built-in functions are used.
@@ -18,10 +26,12 @@ count once and are treated alike. Other columns pass through. Empty input gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filewarden.llm.text import let, lines, words
+from filewarden.llm.text import let, lines, total, words
 from filewarden.session import stored
 
 LEAD = 3
@@ -29,6 +39,8 @@ LEAST = 3
 DOCS = 10
 CONSTANT = 70
 AROUND = 50
+RELATED = 50
+NEEDED = ()
 ANY = "<*>"
 WITH_DIGIT = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D]+"
 
@@ -42,31 +54,62 @@ def _leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), *[F.get(tokens, F.lit(k)) for k in range(LEAD)])
 
 
-def _line_rows(text: Column) -> Column:
-    """Array of (line_no, leaf, line, around) of the lines with enough words; `line` and `around` are digests."""
+def needed(n: Column, docs: int = DOCS) -> Column:
+    """How many unrelated documents drop a template of `n` words."""
+    found = F.lit(docs)
+    for least, few in sorted(NEEDED):
+        found = F.when(n >= least, F.lit(min(few, docs))).otherwise(found)
+    return found
+
+
+def _line_rows(text: Column, around: bool = True) -> Column:
+    """Array of (line_no, leaf, line, around) of the lines with enough words; `line` and `around` are digests.
+
+    Without `around`, the words of the line and of its text stand in its place.
+    """
 
     def of_all(tokens: Column) -> Column:
         hashes = F.transform(tokens, lambda t: F.xxhash64(t))
 
-        def rows(digests: Column) -> Column:
+        def rows(digests: Column, of_text: Column | None = None) -> Column:
+            beside = lambda i: F.xxhash64(F.coalesce(F.get(digests, i - 1), F.lit(1)), F.coalesce(F.get(digests, i + 1), F.lit(2)))
+            more = lambda t, i: (
+                [beside(i).alias("around")] if around else [F.size(t).alias("words"), of_text.alias("of_text")]
+            )
             row = lambda t, i: F.struct(
                 i.alias("line_no"),
                 _leaf(t).alias("leaf"),
                 F.get(digests, i).alias("line"),
-                F.xxhash64(F.coalesce(F.get(digests, i - 1), F.lit(1)), F.coalesce(F.get(digests, i + 1), F.lit(2))).alias("around"),
+                *more(t, i),
                 (F.size(t) >= LEAST).alias("long"),
             )
             return F.filter(F.transform(tokens, row), lambda r: r.getField("long"))
 
-        return let(hashes, rows)
+        if around:
+            return let(hashes, rows)
+        return let(total(F.transform(tokens, lambda t: F.size(t))), lambda n: let(hashes, lambda digests: rows(digests, n)))
 
     return let(F.transform(lines(text), masked), of_all)
 
 
-def _templates(distinct: DataFrame, docs: int, constant: int) -> DataFrame:
-    """(line, template) of the different lines (line, leaf, tokens, n) whose template has enough constant places."""
-    spread = distinct.select("line", "leaf", "n", F.posexplode("tokens").alias("place", "word"))
-    common = spread.groupBy("leaf", "place", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= docs)
+def _distinct_lines(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The different lines (line, leaf, n, tokens) of `found`, with the number of their documents, read from `keyed`."""
+    counted = found.groupBy("line", "leaf", "key").agg(F.min("line_no").alias("line_no"))
+    weight = counted.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min(F.struct("key", "line_no")).alias("at"))
+    wanted = weight.select(F.col("at.key").alias("key"), F.struct(F.col("at.line_no").alias("line_no"), "line", "leaf", "n").alias("w"))
+    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("ws"))
+    texts = keyed.join(wanted, "key").dropDuplicates(["key"]).select(lines(F.col("text")).alias("ls"), F.explode("ws").alias("w"))
+    return stored(texts.select("w.line", "w.leaf", "w.n", masked(F.get("ls", F.col("w.line_no"))).alias("tokens")))
+
+
+def _templates(distinct: DataFrame, docs: int | Column, constant: int) -> DataFrame:
+    """(line, template) of the different lines (line, leaf, tokens, n) whose template has enough constant places.
+
+    `docs` may be the column `needed` of `distinct`, which is one number per leaf.
+    """
+    own = [c for c in distinct.columns if c == "needed"]
+    spread = distinct.select("line", "leaf", "n", *own, F.posexplode("tokens").alias("place", "word"))
+    common = spread.groupBy("leaf", "place", "word", *own).agg(F.sum("n").alias("n")).filter(F.col("n") >= docs)
     fixed = spread.join(common.select("leaf", "place", "word"), ["leaf", "place", "word"])
     fixed = fixed.filter(F.col("word") != ANY).groupBy("line").agg(F.sort_array(F.collect_set("place")).alias("fixed"))
     both = distinct.join(fixed, "line")
@@ -82,12 +125,7 @@ def dropped_lines(keyed: DataFrame, docs: int = DOCS, constant: int = CONSTANT,
     leaves = every.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= docs).select("leaf")
     # Candidate lines, narrow like all rows until here: stored, because several steps read them.
     found = stored(every.join(leaves, "leaf", "left_semi").select("key", "line_no", "leaf", "line", "around"))
-    counted = found.groupBy("line", "leaf", "key").agg(F.min("line_no").alias("line_no"))
-    weight = counted.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.min(F.struct("key", "line_no")).alias("at"))
-    wanted = weight.select(F.col("at.key").alias("key"), F.struct(F.col("at.line_no").alias("line_no"), "line", "leaf", "n").alias("w"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("ws"))
-    texts = keyed.join(wanted, "key").dropDuplicates(["key"]).select(lines(F.col("text")).alias("ls"), F.explode("ws").alias("w"))
-    distinct = stored(texts.select("w.line", "w.leaf", "w.n", masked(F.get("ls", F.col("w.line_no"))).alias("tokens")))
+    distinct = _distinct_lines(keyed, found)
     shaped = found.join(_templates(distinct, docs, constant), "line")
     in_docs = shaped.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs"))
     surroundings = shaped.select("template", "around").distinct().groupBy("template").agg(F.count("*").alias("arounds"))
@@ -98,11 +136,50 @@ def dropped_lines(keyed: DataFrame, docs: int = DOCS, constant: int = CONSTANT,
     return gone.groupBy("key").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` with `text` without the recurring lines, and `n_lines` and `n_dropped` behind its columns."""
+def _classes(lined: DataFrame, related: int) -> DataFrame:
+    """(template, n, cls) of every host of a template; hosts that count as one document have one `cls`."""
+    of_owner = lined.filter("owner <> key").groupBy("key", "owner").agg(F.sum("words").alias("w"))
+    tops = of_owner.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "owner")), asc=False), 1, 2).alias("tops"))
+    hosts = lined.select("key", "words", "of_text", "owner", F.explode("templates").alias("template")).groupBy("template", "key")
+    hosts = hosts.agg(F.sum("words").alias("own"), F.max("words").alias("n"), F.max("of_text").alias("of_text"), F.min("owner").alias("owner"))
+    outside = lambda x: F.struct(
+        (x.getField("w") - F.when(x.getField("owner") == F.col("owner"), F.col("own")).otherwise(0)).alias("w"), x.getField("owner").alias("owner")
+    )
+    both = hosts.join(tops, "key", "left").withColumn("best", F.array_max(F.transform("tops", outside)))
+    rest = F.col("of_text") - F.col("own")
+    copied = (F.col("best.w") > 0) & (F.col("best.w") * 100 >= rest * related)
+    return both.select("template", "n", F.when(rest <= 0, F.lit(0)).when(copied, F.col("best.owner")).otherwise(F.col("key")).alias("cls"))
+
+
+def shared_lines(keyed: DataFrame, docs: int = DOCS, constant: int = CONSTANT, related: int = RELATED) -> DataFrame:
+    """(key, dropped: line numbers) of `keyed` (key, text): lines of templates that enough unrelated documents hold."""
+    every = stored(keyed.select("key", F.inline(_line_rows(F.col("text"), around=False))).drop("long"))
+    leaves = every.groupBy("leaf").agg(F.count("*").alias("n"), F.max("words").alias("words"))
+    leaves = leaves.filter(F.col("n") >= needed(F.col("words"), docs)).select("leaf")
+    found = stored(every.join(leaves, "leaf", "left_semi").select("key", "line_no", "leaf", "line", "words", "of_text"))
+    distinct = _distinct_lines(keyed, found)
+    fewer = distinct.withColumn("needed", needed(F.size("tokens"), docs)).filter(F.col("needed") < docs)
+    shapes = _templates(distinct, docs, constant).unionByName(_templates(fewer, F.col("needed"), constant)).distinct()
+    shaped = stored(found.join(shapes, "line").select("key", "line_no", "words", "of_text", "template"))
+    owners = shaped.groupBy("template").agg(F.min("key").alias("owner"))
+    lined = shaped.join(owners, "template").groupBy("key", "line_no").agg(
+        F.max("words").alias("words"),
+        F.max("of_text").alias("of_text"),
+        F.min("owner").alias("owner"),
+        F.collect_set("template").alias("templates"),
+    )
+    lined = stored(lined)
+    counts = _classes(lined, related).distinct().groupBy("template", "n").agg(F.count("*").alias("docs"))
+    recurring = counts.filter(F.col("docs") >= needed(F.col("n"), docs)).select("template")
+    gone = lined.select("key", "line_no", F.explode("templates").alias("template")).join(recurring, "template", "left_semi")
+    return gone.groupBy("key").agg(F.collect_set("line_no").alias("dropped"))
+
+
+def dedup_lines(docs: DataFrame, find: Callable[..., DataFrame] = dropped_lines, **settings) -> DataFrame:
+    """`docs` with `text` without the lines that `find` finds, and `n_lines` and `n_dropped` behind its columns."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
-    gone = dropped_lines(docs.select(key.alias("key"), "text"), **settings)
+    gone = find(docs.select(key.alias("key"), "text"), **settings)
     whole = docs.select(key.alias("__key"), *[F.col(f"`{c}`") for c in names])
     joined = whole.join(gone.select(F.col("key").alias("__key"), F.col("dropped").alias("__dropped")), "__key", "left")
     kept = lambda ls: F.filter(ls, lambda line, i: ~F.array_contains("__dropped", i))
