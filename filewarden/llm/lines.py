@@ -40,7 +40,7 @@ DOCS = 10
 CONSTANT = 70
 AROUND = 50
 RELATED = 50
-NEEDED = ()
+NEEDED = ((50, 2), (20, 3), (10, 5))
 ANY = "<*>"
 WITH_DIGIT = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D]+"
 

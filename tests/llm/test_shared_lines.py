@@ -51,6 +51,12 @@ def test_whole_texts_go_with_their_template(kept):
     assert gone(kept, *range(500, 520)) == [[WHOLE]] * 20
 
 
+def test_longer_lines_need_fewer_documents(kept):
+    assert gone(kept, 200, 201) == [[PASSAGE]] * 2
+    assert gone(kept, 210, 211, 212) == [[LONG]] * 3
+    assert gone(kept, *range(220, 224)) == [[]] * 4
+
+
 def test_lines_of_copies_stay(kept):
     assert gone(kept, *range(300, 330)) == [[]] * 30
     assert gone(kept, *range(400, 430)) == [[NOTICE]] * 30
