@@ -15,7 +15,7 @@ from filewarden.llm.bpe import decode, encode
 from filewarden.llm.lines import dedup_lines, shared_lines
 from filewarden.llm.mixing import mix
 from filewarden.llm.ngrams import near_copies
-from filewarden.llm.quality import quality_rules
+from filewarden.llm.quality import REPEAT_WINDOW, quality_rules
 from filewarden.session import stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,7 +30,7 @@ def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their failing lines."""
-    judged = quality_rules(docs).filter("quality.kept")
+    judged = quality_rules(docs, window=REPEAT_WINDOW).filter("quality.kept")
     return _with_text(judged, docs.columns, F.col("quality.clean_text"))
 
 

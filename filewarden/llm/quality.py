@@ -7,6 +7,11 @@ Everything is computed in the row by built-in functions: no shuffle, no Python.
 * boilerplate: a short line with a fixed phrase, or a line of at least `MIN_REPEAT` words of which no more than a
   fifth differ.
 
+With `window`, a line of more words than that is judged in windows of so many words, because the share of different
+words falls with the length of any text: it fails if more than half of the windows do, or if no more than a fifth of
+its words differ and more than half of them stand in repeated windows of `WINDOW` words. The SQL of `op1_quality_rules`
+fixes the rule without `window`; the pipeline judges in windows of `REPEAT_WINDOW`.
+
 A line without words never fails. Rejected are texts that fail the base rule (under 20 words, or over 30 % of the
 words in repeated windows) and texts that lose more than `LOST_PERCENT` % of their words.
 
@@ -32,6 +37,7 @@ MIN_MARKS = 5
 MARK_PERCENT = 10
 MIN_BARS = 3
 MIN_REPEAT = 10
+REPEAT_WINDOW = 100
 SHORT_LINE = 30
 LOST_PERCENT = 50
 PHRASES = (
@@ -61,7 +67,20 @@ def repeated_words(found: Column) -> Column:
     return F.when(last < 1, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
-def judged_lines(text: Column) -> Column:
+def _repeats(found: Column, window: int | None) -> Column:
+    """Whether the words `found` of a line mostly repeat."""
+    few = lambda some: F.size(F.array_distinct(some)) * 5 <= F.size(some)
+    n = F.size(found)
+    if window is None:
+        return (n >= MIN_REPEAT) & few(found)
+    part = lambda i: F.slice(found, F.least(i * window, n - window) + 1, F.lit(window))
+    parts = F.sequence(F.lit(0), F.ceil(n / window).cast("int") - 1)
+    failing = F.size(F.filter(parts, lambda i: few(part(i))))
+    long = (failing * 2 > F.size(parts)) | (few(found) & (repeated_words(found) * 2 > n))
+    return F.when(n < MIN_REPEAT, F.lit(False)).when(n <= window, few(found)).otherwise(long)
+
+
+def judged_lines(text: Column, window: int | None = None) -> Column:
     """Array of (line, words, failed) of a text."""
 
     def judge(line: Column) -> Column:
@@ -71,8 +90,7 @@ def judged_lines(text: Column) -> Column:
             punctuation = (marks >= MIN_MARKS) & (marks * 100 >= F.length(line) * MARK_PERCENT)
             navigation = (bars >= MIN_BARS) & (bars * 5 >= n)
             phrase = (n <= SHORT_LINE) & line.rlike(f"(?i)({PHRASES})")
-            repeats = (n >= MIN_REPEAT) & (F.size(F.array_distinct(found)) * 5 <= n)
-            failed = (n > 0) & (punctuation | navigation | phrase | repeats)
+            failed = (n > 0) & (punctuation | navigation | phrase | _repeats(found, window))
             return F.struct(line.alias("line"), n.alias("words"), failed.alias("failed"))
 
         return let(words(line), facts)
@@ -80,7 +98,7 @@ def judged_lines(text: Column) -> Column:
     return F.transform(lines(text), judge)
 
 
-def quality_columns(text: Column) -> Column:
+def quality_columns(text: Column, window: int | None = None) -> Column:
     """Struct of the base counts, the verdict and the cleaned text of a text."""
     n_long = lambda value, name: value.cast("long").alias(name)
     with_word = lambda judged: F.transform(
@@ -107,7 +125,7 @@ def quality_columns(text: Column) -> Column:
     return F.struct(
         let(words(text), of_words).alias("w"),
         n_long(matches(F.coalesce(text, F.lit("")), SYMBOLS), "n_symbols"),
-        let(judged_lines(text), of_lines).alias("l"),
+        let(judged_lines(text, window), of_lines).alias("l"),
     )
 
 
@@ -125,12 +143,12 @@ COLUMNS = (
 )
 
 
-def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
     """`df` with one struct column `quality` that holds `COLUMNS`.
 
     >>> quality_rules(docs).filter("quality.kept").select("doc_id", "quality.clean_text")  # doctest: +SKIP
     """
-    q = let(quality_columns(F.col(text)), _verdict)
+    q = let(quality_columns(F.col(text), window), _verdict)
     kept = [c for c in df.columns if c != "quality"]
     return df.select(*[F.col(f"`{c}`") for c in kept], q.alias("quality"))
 
