@@ -6,7 +6,7 @@
 2. In the order (frequency, digest) the shingles of one set only come first, so a document whose prefix of
    `size - needed + 1` shingles is all unique has no partner and is done. The rest keep their shared shingles, which
    is all that an intersection can hold.
-3. Equal sets are one class, found by a pre-aggregating group-by; its smallest id stands for it. Classes meet on the
+3. Equal sets are one class, found by a pre-aggregating group-by and numbered. Classes meet on the
    shingles of their prefixes through a hub per shingle and length band, so a frequent shingle costs rows, not pairs.
    Classes that hubs connect form a block; small blocks share a task, a large one is cut into tiles of bounded size
    and every pair of tiles is a task.
@@ -15,7 +15,8 @@
    verifies what is left, once per pair, by the whole intersection. It returns a spanning forest, never pairs.
 
 Digests have 64 bits, signatures of sets 128. Null or empty text: no shingles, linked with nothing. A null id links
-with nothing and has a null component. Rows with equal ids and texts are copies. Other columns are not read. Empty
+with nothing and has a null component. Rows with equal ids and texts are copies; rows that share an id but not a text
+are documents of their own, each with the smallest id of its group. Other columns are not read. Empty
 input gives an empty result. Work inside one block is quadratic in the classes that no link or filter separates.
 """
 
@@ -309,9 +310,14 @@ def near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT, tile: int =
     classes = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     best = F.min(F.struct("doc_id", "lead", "tokens", "counts")).alias("x")
     nodes = sets.filter("lead > 0").groupBy("s1", "s2", "n").agg(best)
-    nodes = stored(nodes.select(F.col("x.doc_id").alias("rep"), "n", "x.lead", "x.tokens", "x.counts").dropDuplicates(["rep"]))  # one set an id
-    found = components(links(blocks(nodes, percent, tile), percent)).withColumnRenamed("id", "rep")
-    of_class = classes.join(found, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    # A class has its own number: different sets may have the same smallest id. Stored, so the numbers stay.
+    nodes = nodes.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", "x.doc_id", "x.lead", "x.tokens", "x.counts")
+    nodes = stored(nodes)
+    found = components(links(blocks(nodes.drop("s1", "s2", "doc_id"), percent, tile), percent)).withColumnRenamed("id", "rep")
+    linked = nodes.select("rep", "s1", "s2", "n", "doc_id").join(found, "rep")
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    linked = linked.join(smallest, "component").select("s1", "s2", "n", "smallest")
+    of_class = classes.join(linked, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("smallest", "rep").alias("component"))
     joined = ready.filter("n > 0").select("doc_id", "s1", "s2", "n").join(of_class, ["s1", "s2", "n"], "left")
     linked = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     alone = ready.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
