@@ -2,7 +2,8 @@
 
 Every stage takes the rows that the one before it kept and returns the columns of its input, the last one token ids.
 Null ids, texts and sources, empty texts, repeated rows and empty tables are handled as the operators state: a text
-without enough words is rejected by the first stage; a row with a null id is never a near copy of another.
+without enough words is rejected by the first stage, which also drops repeated rows (same id and text); rows with a
+null id are near copies of others like all rows and are kept only where no row of their group has an id.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from filewarden.llm.lines import dedup_lines, shared_lines
 from filewarden.llm.mixing import mix
 from filewarden.llm.ngrams import near_copies
 from filewarden.llm.quality import REPEAT_WINDOW, quality_rules
-from filewarden.session import stored
+from filewarden.session import broadcast_if_small, stored
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
@@ -28,9 +29,28 @@ def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
     return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
 
 
+def _key() -> Column:
+    """A digest of id and text."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """One row per id and text; of rows that differ in other columns, the first in their order.
+
+    Repeated digests are found first, so that texts without repetition are not sorted and mostly not shuffled.
+    """
+    keyed = docs.withColumn("__key", _key())
+    again = keyed.groupBy("__key").agg(F.count("*").alias("n")).filter("n > 1").select("__key")
+    again = broadcast_if_small(stored(again))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rest = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])).alias("rest")
+    repeated = keyed.join(again, "__key", "left_semi").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*")
+    return keyed.join(again, "__key", "left_anti").select(*names).unionByName(repeated.select(*names))
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their failing lines."""
-    judged = quality_rules(docs, window=REPEAT_WINDOW).filter("quality.kept")
+    """Documents that pass the quality rules, each once and without their failing lines."""
+    judged = quality_rules(one_each(docs), window=REPEAT_WINDOW).filter("quality.kept")
     return _with_text(judged, docs.columns, F.col("quality.clean_text"))
 
 
@@ -40,10 +60,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of every group of near copies."""
-    groups = near_copies(docs.select("doc_id", "text"))
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row, the one with the smallest id, of every group of near copies; a null id comes last."""
+    # Rows are told apart by id and text, so rows that share only an id or have none are judged one by one.
+    keyed = docs.withColumn("__key", _key())
+    groups = near_copies(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    ids = keyed.select("__key", F.col("doc_id").isNull().alias("no_id"), "doc_id").distinct()
+    member = groups.select(F.col("doc_id").alias("__key"), "component_id").distinct().join(ids, "__key")
+    first = member.groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "__key")).alias("first"))
+    kept = first.select(F.col("first.__key").alias("__key"))
+    return one_each(docs).withColumn("__key", _key()).join(kept, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
