@@ -101,6 +101,27 @@ def op10_substring_dedup(spark, sf):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark, sf):
+    from filewarden.llm.search import search
+
+    return search(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+def op12_token_files(spark, sf):
+    import public_tokenizers
+    from filewarden.llm.direct import token_output
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_folder(spark))
+
+
+def op13_hard_negatives(spark, sf):
+    from filewarden.llm.negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
 def llm_queries():
     found = {name: value for name, value in globals().items() if name.startswith("op")}
     return {**found, "pipeline": corpus_pipeline.run}
@@ -108,4 +129,4 @@ def llm_queries():
 
 def llm_oracles():
     known = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return known | {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op8_line_dedup": sql.OP8, "op9_license_scan": sql.OP9, "op10_substring_dedup": sql.OP10}
+    return known | {"op1_quality_rules": sql.OP1, "op3_warc_revisits": sql.OP3, "op4_source_mix": sql.OP4, "op6_chat_format": sql.OP6, "op8_line_dedup": sql.OP8, "op9_license_scan": sql.OP9, "op10_substring_dedup": sql.OP10, "op11_ranked_search": sql.OP11, "op13_hard_negatives": sql.OP13}
