@@ -51,6 +51,15 @@ def test_pieces_are_encoded_like_whole_texts():
         assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
 
 
+def test_plain_pieces_are_split_like_all_others():
+    library, own, r = Tokenizer.from_file(PATH), D.Encoder(PATH), random.Random(4)
+    chars = "abzAZ'.,!-_`~^ªµºÀéßÿĀſƀǅɏ×÷¡¿½²sdtmrelv"
+    for _ in range(4000):
+        piece = r.choice(["", " "]) + "".join(r.choices(chars, k=r.randint(1, 9)))
+        ids = library.encode(piece, add_special_tokens=False).ids
+        assert own[piece] == struct.pack(f"<{len(ids)}I", *ids), repr(piece)
+
+
 def test_forgotten_pieces(monkeypatch):
     monkeypatch.setattr(D, "CACHE", 5)
     library, own = Tokenizer.from_file(PATH), D.Encoder(PATH)
