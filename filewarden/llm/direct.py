@@ -49,7 +49,7 @@ GROUP = 1024
 MAGIC = b"DAC1"
 HEAD = struct.Struct("<4s5q")
 PIECES = re.compile(r"\s*\S+|\s+")
-_ODD = "[\x1c-\x1f\x85᠎​]"
+_ODD = "\x1c\x1d\x1e\x1f\x85᠎​"
 DOCUMENTS = "partition bigint, number bigint, place bigint, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -151,9 +151,9 @@ class TokenFile:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, place of its first id in the file, ids)."""
-        start = 0
+        ids, start = self.codes.run(0, int(self.ends[-1])), 0
         for doc_id, end in zip(self.doc_ids, self.ends.tolist()):
-            yield doc_id, start, self.codes.run(start, end)
+            yield doc_id, start, ids[start:end]
             start = end
 
 
@@ -173,19 +173,24 @@ class Encoder(dict):
         if self.library.normalizer is not None:
             raise ValueError("pieces of a tokenizer that changes texts cannot be encoded alone")
         self.split, self.tokenize = self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
-        special = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
-        self.whole = re.compile(f"{_ODD}|{special}" if special else _ODD)
+        self.whole = [*_ODD, *(t.content for t in self.library.get_added_tokens_decoder().values())]
         joins = lambda c, other: len(self.split(c + other)) == len(self.split(other + c)) == len(self.split(" " + c)) == 1
         latin = [chr(i) for i in range(0x21, 0x250) if not chr(i).isspace()]
         letters, marks = ([c for c in latin if joins(c, other)] for other in ("a", "!"))
         self.written = {ord(c): self.split(c)[0][0] for c in [" ", *letters, *marks]}
+        self.blank = self.written[ord(" ")]
         of = lambda chars: "[" + "".join(map(re.escape, chars)) + "]"
         self.plain = re.compile(f"( ?{of(letters)}+)({of(marks)}*)")
         self.before: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
         plain = self.plain.fullmatch(piece)
-        parts = [g.translate(self.written) for g in plain.groups() if g] if plain else [part for part, _ in self.split(piece)]
+        if plain and plain[2]:
+            return self[plain[1]] + self[plain[2]]
+        if plain:
+            parts = [piece.replace(" ", self.blank) if piece.isascii() else piece.translate(self.written)]
+        else:
+            parts = [part for part, _ in self.split(piece)]
         ids = [token.id for part in parts for token in self.tokenize(part)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -202,7 +207,7 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.whole.search(text):
+        if any(odd in text for odd in self.whole):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, PIECES.findall(text)))
 
