@@ -41,8 +41,8 @@ from tokenizers import Tokenizer
 from filewarden.session import stored
 
 END_ID = 2
-FILE_IDS = 1 << 23
-CACHE = 400_000
+FILE_IDS = 1 << 22
+CACHE = 250_000
 PIECE_CHARS = 64
 RANK_BITS = 512
 GROUP = 1024

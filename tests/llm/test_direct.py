@@ -77,7 +77,7 @@ def want(rows):
     return out
 
 
-@pytest.mark.parametrize("file_ids", [1 << 23, 50])
+@pytest.mark.parametrize("file_ids", [1 << 22, 50])
 def test_documents_come_back_in_order(spark, tmp_path, file_ids):
     rows = [r for r in documents() if r[0] is not None and r[0] != 7] + [(500, "tail", None, None, 0, "n", "n")]
     rows = list(dict(zip([r[0] for r in rows], rows)).values())
