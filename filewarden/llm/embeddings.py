@@ -4,9 +4,9 @@ The axes are fitted on a bounded sample (`SAMPLE` vectors, the ones with the sma
 order of the dimensions depends on it, never the result). Unit vectors are turned to these axes. Two vectors with a
 cosine of at least t differ by at most sqrt(2 - 2t) in any coordinate, so vectors are put into cells of that width
 along the first axis, and only the same and the next cell of a label are compared. Cells are cut into blocks of about
-`BLOCK` vectors by a digest; a task compares two blocks. It adds the leading dimensions first, bounds the rest of each
-product by the norms of the remaining parts, and drops a pair as soon as it cannot reach the threshold; a tile
-whose pairs are all dropped stops. Pairs that are left are verified by the cosine of the given vectors in doubles.
+`BLOCK` vectors by a digest; a task compares two blocks, in pieces of `PIECE` rows. It adds the leading dimensions
+first, bounds the rest of each product by the norms of the remaining parts, and drops a pair as soon as it cannot reach
+the threshold; a piece whose pairs are all dropped stops. Up to a block in a cell, a vector is sent three times at most. Pairs that are left are verified by the cosine of the given vectors in doubles.
 
 Equal vectors of a label are one class with a count, so copies are never paired. A tile returns link counts and a
 spanning forest of its links, as many rows as it has vectors, never its pairs. Pairs within a label are compared in
@@ -14,7 +14,8 @@ blocks: the work is quadratic in the largest cell of a label, which is what an e
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label or id, link with
 nothing and are their own component. Vectors of different lengths do not link. Repeated rows count as links of each
-other. Other columns are not read. Empty input gives an empty result.
+other; classes are numbered, so rows that share an id but not a vector or label keep their own links. Other columns are
+not read. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ from filewarden.session import stored
 
 COSINE = 0.93
 SAMPLE = 4096
-BLOCK = 1024
+BLOCK = 8192
+PIECE = 1024
 STEPS = (8, 16, 32)
 SLACK = 1e-9
 
 
 def principal_axes(vectors: DataFrame, size: int, sample: int = SAMPLE) -> np.ndarray:
     """Orthonormal axes by falling variance of the unit vectors of a bounded sample of the vectors of one length."""
-    picked = vectors.filter(F.size("v") == size).orderBy(F.xxhash64("rep"), "rep").select("v").limit(sample).collect()
+    picked = vectors.filter(F.size("v") == size).orderBy(F.xxhash64("first"), "first", "rep").select("v").limit(sample).collect()
     data = np.array([row["v"] for row in picked], dtype=np.float64).reshape(-1, size)
     data /= np.linalg.norm(data, axis=1, keepdims=True)
     _, axes = np.linalg.eigh(data.T @ data)
@@ -46,14 +48,15 @@ def principal_axes(vectors: DataFrame, size: int, sample: int = SAMPLE) -> np.nd
 
 
 def valid_classes(vectors: DataFrame) -> DataFrame:
-    """(label, v, rep, copies) of equal, usable vectors of `vectors` (vec_id, embedding, label)."""
+    """(label, v, first, copies, rep) of equal, usable vectors of `vectors` (vec_id, embedding, label); `rep` numbers them."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     nonzero = F.exists("v", lambda x: x != 0)
     usable = vectors.select("vec_id", "label", v.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & nonzero
     )
-    return usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    return classes.withColumn("rep", F.monotonically_increasing_id())
 
 
 def tiles(classes: DataFrame, axes: dict[int, np.ndarray], cosine: float, block: int) -> DataFrame:
@@ -144,8 +147,26 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
 TILE_ROWS = "rep bigint, links bigint, root bigint"
 
 
-def compare_tiles(tiled: DataFrame, axes: dict[int, np.ndarray], cosine: float) -> DataFrame:
-    """Per tile and class: the vectors of other classes it links with, and edges of the tile's forest."""
+def _joined(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest number that edges reach from every end of them."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: top(x) for x in parent}
+
+
+def compare_tiles(tiled: DataFrame, axes: dict[int, np.ndarray], cosine: float, piece: int = PIECE) -> DataFrame:
+    """Per tile and class: the vectors of other classes it links with, and edges of the tile's forest.
+
+    A tile is compared in pieces of `piece` rows a side, so only one matrix of that size is held.
+    """
 
     def run(key, table):
         size = key[1].as_py()
@@ -155,26 +176,20 @@ def compare_tiles(tiled: DataFrame, axes: dict[int, np.ndarray], cosine: float)
         left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
         same = key[2].as_py() == key[4].as_py() and key[3].as_py() == key[5].as_py()
         right = left if same else right
-        n, m = len(left), len(right)
-        out: dict[str, list] = {"rep": [], "links": [], "root": []}
-        if n and m:
-            linked = _links(vectors[left], vectors[right], axes[size], cosine, same)
-            if linked.any():
-                if same:
-                    whole, members = linked | linked.T, left
-                    counts = whole @ copies[left]
-                else:
-                    members = np.concatenate([left, right])
-                    whole = np.zeros((n + m, n + m), dtype=bool)
-                    whole[:n, n:], whole[n:, :n] = linked, linked.T
-                    counts = np.concatenate([linked @ copies[right], linked.T @ copies[left]])
-                roots = dict(_forest(whole, ids[members]))
-                for i, count in zip(ids[members].tolist(), counts.tolist()):
-                    if count:
-                        out["rep"].append(i)
-                        out["links"].append(count)
-                        out["root"].append(roots.get(i, i))
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        counts, edges = np.zeros(len(ids), dtype=np.int64), []
+        for a in range(0, len(left), piece):
+            for b in range(a if same else 0, len(right), piece):
+                x, y = left[a : a + piece], right[b : b + piece]
+                once = same and a == b
+                linked = _links(vectors[x], vectors[y], axes[size], cosine, once)
+                if linked.any():
+                    whole = linked | linked.T if once else np.block([[np.zeros((len(x),) * 2, bool), linked], [linked.T, np.zeros((len(y),) * 2, bool)]])
+                    members = x if once else np.concatenate([x, y])
+                    counts[members] += whole @ copies[members]
+                    edges += _forest(whole, ids[members])
+        roots, found = _joined(edges), np.nonzero(counts)[0]
+        out = (ids[found], counts[found], np.array([roots[i] for i in ids[found].tolist()], dtype=np.int64))
+        return pa.table({c.split()[0]: pa.array(x, pa.int64()) for c, x in zip(TILE_ROWS.split(", "), out)})
 
     keys = ["label", "size", "cell", "a", "next_cell", "b"]
     return tiled.groupBy(*keys).applyInArrow(run, TILE_ROWS)
@@ -191,15 +206,17 @@ def near_duplicates(
     axes = {n: principal_axes(classes, n, sample) for n in lengths}
     found = stored(compare_tiles(tiles(classes, axes, cosine, block), axes, cosine))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
+    smallest = roots.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("smallest"))
     result = (
         classes.join(links, "rep", "left")
-        .join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(roots, "rep", "left")
+        .join(smallest, "component", "left")
         .select(
             "label",
             "v",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("smallest", "first").alias("component_id"),
         )
     )
     v = F.transform("embedding", lambda x: x.cast("double"))

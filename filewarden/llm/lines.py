@@ -2,18 +2,13 @@
 
 A line is its words, those with a digit replaced by `<*>`. The tree has three levels: the number of words, the first
 `LEAD` words, and a template per line. Within a leaf (number and leading words) a word is constant at a place if at
-least `DOCS` documents have it there, else the place is variable; a template needs `CONSTANT` % constant places. A
-template is dropped when at least `DOCS` documents hold it and its surroundings differ: the pairs of neighbouring
-lines around it are at least `AROUND` % as many as the documents. The surroundings tell a notice that many documents
-share from the lines of a document that was copied, which later stages deal with.
-
-`shared_lines` is the rule of the pipeline, `dropped_lines` the one that the SQL of `op8_line_dedup` fixes. It looks at
-no neighbours and counts unrelated documents: `needed` of them drop a template, fewer the longer it is. Its templates
-are those above and, for lines that need fewer than `DOCS`, those whose constant words stand in as many documents as
-needed. The owner of a line is the smallest document that holds a template of it. For a template, documents of which
-another one owns at least `RELATED` % of the words outside it count as one with that document, so copies and edited
-copies count once; documents without other words count as one together. A block that is most of its hosts is thus
-taken for copied text and stays.
+least `DOCS` documents have it there, else the place is variable; a template needs `CONSTANT` % constant places. Lines
+that need fewer documents also have the templates whose constant words stand in as many documents as needed.
+
+A template is dropped when `needed` unrelated documents hold it, fewer the longer it is. The owner of a line is the
+smallest document that holds a template of it. For a template, documents of which another one owns at least `RELATED` %
+of the words outside it count as one with that document, so copies and edited copies count once; documents without
+other words count as one together. A block that is most of its hosts is thus taken for copied text and stays.
 
 Cost: lines become narrow rows of digests, stored once; leaves are counted from them, and only lines of leaves with
 enough documents go on. The text is shuffled twice, to read each different candidate line once and to remove lines. All joins
@@ -21,13 +16,12 @@ are plain equi-joins whose hot side Spark can split, all counts are pre-aggregat
 
 Null text: one empty line, never dropped. Lines under `LEAST` words are never dropped. A line that stands twice in a
 document counts once for it and goes everywhere. Documents are told apart by id and text: rows that agree in both
-count once and are treated alike. Other columns pass through. Empty input gives an empty result.
+count once and are treated alike. Documents are ordered by a digest of both. Other columns pass through. Empty input
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +32,6 @@ LEAD = 3
 LEAST = 3
 DOCS = 10
 CONSTANT = 70
-AROUND = 50
 RELATED = 50
 NEEDED = ((50, 2), (20, 3), (10, 5))
 ANY = "<*>"
@@ -62,32 +55,25 @@ def needed(n: Column, docs: int = DOCS) -> Column:
     return found
 
 
-def _line_rows(text: Column, around: bool = True) -> Column:
-    """Array of (line_no, leaf, line, around) of the lines with enough words; `line` and `around` are digests.
+def _line_rows(text: Column) -> Column:
+    """Array of (line_no, leaf, line, words, of_text) of the lines with enough words; `line` is a digest.
 
-    Without `around`, the words of the line and of its text stand in its place.
+    `words` counts those of the line, `of_text` those of all its lines.
     """
 
     def of_all(tokens: Column) -> Column:
-        hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-
-        def rows(digests: Column, of_text: Column | None = None) -> Column:
-            beside = lambda i: F.xxhash64(F.coalesce(F.get(digests, i - 1), F.lit(1)), F.coalesce(F.get(digests, i + 1), F.lit(2)))
-            more = lambda t, i: (
-                [beside(i).alias("around")] if around else [F.size(t).alias("words"), of_text.alias("of_text")]
-            )
+        def rows(of_text: Column) -> Column:
             row = lambda t, i: F.struct(
                 i.alias("line_no"),
                 _leaf(t).alias("leaf"),
-                F.get(digests, i).alias("line"),
-                *more(t, i),
+                F.xxhash64(t).alias("line"),
+                F.size(t).alias("words"),
+                of_text.alias("of_text"),
                 (F.size(t) >= LEAST).alias("long"),
             )
             return F.filter(F.transform(tokens, row), lambda r: r.getField("long"))
 
-        if around:
-            return let(hashes, rows)
-        return let(total(F.transform(tokens, lambda t: F.size(t))), lambda n: let(hashes, lambda digests: rows(digests, n)))
+        return let(total(F.transform(tokens, lambda t: F.size(t))), rows)
 
     return let(F.transform(lines(text), masked), of_all)
 
@@ -119,23 +105,6 @@ def _templates(distinct: DataFrame, docs: int | Column, constant: int) -> DataFr
     )
 
 
-def dropped_lines(keyed: DataFrame, docs: int = DOCS, constant: int = CONSTANT, around: int = AROUND) -> DataFrame:
-    """(key, dropped: line numbers) of `keyed` (key, text)."""
-    every = stored(keyed.select("key", F.inline(_line_rows(F.col("text")))).drop("long"))
-    leaves = every.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= docs).select("leaf")
-    # Candidate lines, narrow like all rows until here: stored, because several steps read them.
-    found = stored(every.join(leaves, "leaf", "left_semi").select("key", "line_no", "leaf", "line", "around"))
-    distinct = _distinct_lines(keyed, found)
-    shaped = found.join(_templates(distinct, docs, constant), "line")
-    in_docs = shaped.select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-    surroundings = shaped.select("template", "around").distinct().groupBy("template").agg(F.count("*").alias("arounds"))
-    recurring = in_docs.join(surroundings, "template").filter(
-        (F.col("docs") >= docs) & (F.col("arounds") * 100 >= F.col("docs") * around)
-    )
-    gone = shaped.join(recurring.select("template"), "template", "left_semi")
-    return gone.groupBy("key").agg(F.collect_set("line_no").alias("dropped"))
-
-
 def _classes(lined: DataFrame, related: int) -> DataFrame:
     """(template, n, cls) of every host of a template; hosts that count as one document have one `cls`."""
     of_owner = lined.filter("owner <> key").groupBy("key", "owner").agg(F.sum("words").alias("w"))
@@ -153,7 +122,7 @@ def _classes(lined: DataFrame, related: int) -> DataFrame:
 
 def shared_lines(keyed: DataFrame, docs: int = DOCS, constant: int = CONSTANT, related: int = RELATED) -> DataFrame:
     """(key, dropped: line numbers) of `keyed` (key, text): lines of templates that enough unrelated documents hold."""
-    every = stored(keyed.select("key", F.inline(_line_rows(F.col("text"), around=False))).drop("long"))
+    every = stored(keyed.select("key", F.inline(_line_rows(F.col("text")))).drop("long"))
     leaves = every.groupBy("leaf").agg(F.count("*").alias("n"), F.max("words").alias("words"))
     leaves = leaves.filter(F.col("n") >= needed(F.col("words"), docs)).select("leaf")
     found = stored(every.join(leaves, "leaf", "left_semi").select("key", "line_no", "leaf", "line", "words", "of_text"))
@@ -175,12 +144,17 @@ def shared_lines(keyed: DataFrame, docs: int = DOCS, constant: int = CONSTANT, r
     return gone.groupBy("key").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, find: Callable[..., DataFrame] = dropped_lines, **settings) -> DataFrame:
-    """`docs` with `text` without the lines that `find` finds, and `n_lines` and `n_dropped` behind its columns."""
+def document_key() -> Column:
+    """60 bits of a digest of id and text."""
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("bigint")
+
+
+def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
+    """`docs` with `text` without shared lines, and `n_lines` and `n_dropped` behind its columns."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
-    gone = find(docs.select(key.alias("key"), "text"), **settings)
-    whole = docs.select(key.alias("__key"), *[F.col(f"`{c}`") for c in names])
+    gone = shared_lines(docs.select(document_key().alias("key"), "text"), **settings)
+    whole = docs.select(document_key().alias("__key"), *[F.col(f"`{c}`") for c in names])
     joined = whole.join(gone.select(F.col("key").alias("__key"), F.col("dropped").alias("__dropped")), "__key", "left")
     kept = lambda ls: F.filter(ls, lambda line, i: ~F.array_contains("__dropped", i))
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept(lines(F.col("text"))), "\n"))

@@ -5,12 +5,9 @@ Everything is computed in the row by built-in functions: no shuffle, no Python.
 * punctuation: at least `MIN_MARKS` marks that prose rarely holds, and at least `MARK_PERCENT` % of its characters;
 * navigation: at least `MIN_BARS` bars between short items, and one for every five words or more;
 * boilerplate: a short line with a fixed phrase, or a line of at least `MIN_REPEAT` words of which no more than a
-  fifth differ.
-
-With `window`, a line of more words than that is judged in windows of so many words, because the share of different
-words falls with the length of any text: it fails if more than half of the windows do, or if no more than a fifth of
-its words differ and more than half of them stand in repeated windows of `WINDOW` words. The SQL of `op1_quality_rules`
-fixes the rule without `window`; the pipeline judges in windows of `REPEAT_WINDOW`.
+  fifth differ. A line of more than `REPEAT_WINDOW` words is judged in windows of so many, because the share of
+  different words falls with the length of any text: it fails if more than half of the windows do, or if no more than
+  a fifth of its words differ and more than half of them stand in repeated windows of `WINDOW` words.
 
 A line without words never fails. Rejected are texts that fail the base rule (under 20 words, or over 30 % of the
 words in repeated windows) and texts that lose more than `LOST_PERCENT` % of their words.
@@ -67,12 +64,10 @@ def repeated_words(found: Column) -> Column:
     return F.when(last < 1, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
 
-def _repeats(found: Column, window: int | None) -> Column:
+def _repeats(found: Column, window: int) -> Column:
     """Whether the words `found` of a line mostly repeat."""
     few = lambda some: F.size(F.array_distinct(some)) * 5 <= F.size(some)
     n = F.size(found)
-    if window is None:
-        return (n >= MIN_REPEAT) & few(found)
     part = lambda i: F.slice(found, F.least(i * window, n - window) + 1, F.lit(window))
     parts = F.sequence(F.lit(0), F.ceil(n / window).cast("int") - 1)
     failing = F.size(F.filter(parts, lambda i: few(part(i))))
@@ -80,7 +75,7 @@ def _repeats(found: Column, window: int | None) -> Column:
     return F.when(n < MIN_REPEAT, F.lit(False)).when(n <= window, few(found)).otherwise(long)
 
 
-def judged_lines(text: Column, window: int | None = None) -> Column:
+def judged_lines(text: Column, window: int = REPEAT_WINDOW) -> Column:
     """Array of (line, words, failed) of a text."""
 
     def judge(line: Column) -> Column:
@@ -98,7 +93,7 @@ def judged_lines(text: Column, window: int | None = None) -> Column:
     return F.transform(lines(text), judge)
 
 
-def quality_columns(text: Column, window: int | None = None) -> Column:
+def quality_columns(text: Column, window: int = REPEAT_WINDOW) -> Column:
     """Struct of the base counts, the verdict and the cleaned text of a text."""
     n_long = lambda value, name: value.cast("long").alias(name)
     with_word = lambda judged: F.transform(
@@ -143,14 +138,15 @@ COLUMNS = (
 )
 
 
-def quality_rules(df: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", window: int = REPEAT_WINDOW) -> DataFrame:
     """`df` with one struct column `quality` that holds `COLUMNS`.
 
     >>> quality_rules(docs).filter("quality.kept").select("doc_id", "quality.clean_text")  # doctest: +SKIP
     """
     q = let(quality_columns(F.col(text), window), _verdict)
     kept = [c for c in df.columns if c != "quality"]
-    return df.select(*[F.col(f"`{c}`") for c in kept], q.alias("quality"))
+    # A generated column: a filter on the verdict is not pushed into the rules, which would run twice.
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(q)).alias("quality"))
 
 
 def _verdict(q: Column) -> Column:

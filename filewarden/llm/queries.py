@@ -81,13 +81,6 @@ def op8_line_dedup(spark, sf):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op8_shared_lines(spark, sf):
-    from filewarden.llm.lines import dedup_lines, shared_lines
-
-    kept = dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"), shared_lines)
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
 def op9_license_scan(spark, sf):
     from filewarden.llm.licenses import scan_licenses
 

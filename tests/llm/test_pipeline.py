@@ -40,6 +40,15 @@ def oracle(name, path):
     return con.execute(queries.llm_oracles()[name]).df().to_dict("records")
 
 
+def long_repeats(found):
+    n = len(found)
+    parts = [found[min(i, n - 100) : min(i, n - 100) + 100] for i in range(0, n, 100)]
+    few = sum(len(set(p)) <= 20 for p in parts)
+    seen = Counter(tuple(found[i : i + 8]) for i in range(n - 7))
+    again = {p for i in range(n - 7) if seen[tuple(found[i : i + 8])] > 1 for p in range(i, i + 8)}
+    return few * 2 > len(parts) or (len(set(found)) * 5 <= n and len(again) * 2 > n)
+
+
 def line_fails(line):
     found = words(line)
     marks, bars = len(MARKS.findall(line)), line.count("|")
@@ -47,7 +56,8 @@ def line_fails(line):
         (marks >= 5 and marks * 100 >= len(line) * 10)
         or (bars >= 3 and bars * 5 >= len(found))
         or (len(found) <= 30 and "all rights reserved" in line.lower())
-        or (len(found) >= 10 and len(set(found)) * 5 <= len(found))
+        or (10 <= len(found) <= 100 and len(set(found)) * 5 <= len(found))
+        or (len(found) > 100 and long_repeats(found))
     )
 
 

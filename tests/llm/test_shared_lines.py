@@ -2,7 +2,7 @@
 
 import pytest
 
-from filewarden.llm.lines import dedup_lines, shared_lines
+from filewarden.llm.lines import dedup_lines
 from tests.llm.fixtures import prose
 
 BLOCK = ["Shared block starts with this line", "Middle of the shared block here", "Shared block ends with this line"]
@@ -35,7 +35,7 @@ def texts():
 @pytest.fixture(scope="module")
 def kept(spark):
     docs = spark.createDataFrame([*texts().items(), (0, texts()[0])], "doc_id bigint, text string").repartition(3)
-    return {r["doc_id"]: r["text"] for r in dedup_lines(docs, shared_lines).collect()}
+    return {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
 
 
 def gone(kept, *ids):

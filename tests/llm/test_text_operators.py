@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import duckdb
@@ -9,6 +10,7 @@ from tokenizers import Tokenizer
 
 from filewarden.llm import queries, sql
 from filewarden.llm.bpe import Transducer, decode, encode, sufficient_lookahead
+from filewarden.llm import licenses
 from filewarden.llm.licenses import scan_licenses
 from filewarden.llm.lines import dedup_lines
 from filewarden.llm.mixing import mix, source_targets, with_copies
@@ -179,3 +181,31 @@ def test_lookahead_of_a_small_merge_list():
 
 def test_sql_texts_exist():
     assert all(v.strip() for k, v in vars(sql).items() if k.startswith("OP"))
+
+
+def test_labels_of_rows_that_share_an_id_or_have_none(spark):
+    held = dict(licenses.TEMPLATES)
+    rows = [(None, "this work is dedicated to the public domain"), (None, "plain words only here"), (1, held["mit-text"]), (1, "plain words"), (1, held["zlib"])]
+    got = sorted((r["doc_id"] or 0, r["labels"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(0, ""), (0, "public-domain"), (1, ""), (1, "mit-text"), (1, "zlib")]
+
+
+def test_whole_templates_are_found_wherever_they_stand(spark):
+    """Against the definition: a block of the template's length holds enough of its different words."""
+    r, rows = random.Random(8), []
+    for i, (label, text) in enumerate(licenses.TEMPLATES):
+        found = licenses.template_words(text)
+        for k, lost in enumerate((0, len(set(found)) // 12, len(set(found)) // 4 + 1)):
+            gone = set(r.sample(sorted(set(found)), lost))
+            rows.append((10 * i + k, prose(i, r.randint(0, 700)) + " " + " ".join(w for w in found if w not in gone) + " " + prose(i + 50, 300)))
+    got = {x["doc_id"]: set(x["labels"].split(",")) for x in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for doc_id, text in rows:
+        words = licenses.template_words(text)
+        want = set()
+        for label, body in licenses.TEMPLATES:
+            t, n = set(licenses.template_words(body)), licenses.block_of(len(licenses.template_words(body)))
+            blocks = [set(words[s : s + n]) for s in range(0, max(len(words) - n // 2, 1), n // 2)]
+            want |= {label for b in blocks if len(t & b) * 100 >= len(t) * 90}
+        assert got[doc_id] - {"gpl", "apache", "cc-by", "mit"} - {""} == want
+        label = licenses.TEMPLATES[doc_id // 10][0]
+        assert (label in want) == (doc_id % 10 < 2), (doc_id, label, want)

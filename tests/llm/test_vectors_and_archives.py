@@ -6,6 +6,7 @@ import pytest
 
 from filewarden.llm.chat import escape, format_turns, parse, read_back, render, unescape
 from filewarden.llm.components import components
+from filewarden.llm import embeddings as E
 from filewarden.llm.embeddings import near_duplicates
 from filewarden.llm.warc import archive
 from filewarden.session import shared_folder
@@ -53,6 +54,23 @@ def test_vectors_without_rows_or_ids(spark):
     assert got == {None: (0, None), 4: (1, 2), 2: (1, 2)}
 
 
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 2), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 2), (3, [1.0, 0.02], 1)]
+    got = near_duplicates(spark.createDataFrame([(*r, "c", "r") for r in rows], VECTORS))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (3, 2, 1, False)]
+
+
+def test_pieces_of_a_tile_are_joined(spark):
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([rng.normal(size=(1, 8)) + rng.normal(size=(60, 8)) * 0.2 for _ in range(6)])
+    rows = [(i, [float(x) for x in v], 1, "c", "r") for i, v in enumerate(vectors)]
+    classes = E.valid_classes(spark.createDataFrame(rows, VECTORS)).cache()
+    axes = {8: E.principal_axes(classes, 8)}
+    tiled = E.tiles(classes, axes, 0.93, 100).cache()
+    count = lambda piece: sorted(map(tuple, E.compare_tiles(tiled, axes, 0.93, piece).collect()))
+    assert count(7) == count(1024) and count(7)
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (100, 139), (200, 150)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
