@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewarden.llm.bpe import decode, encode
-from filewarden.llm.lines import dedup_lines, shared_lines
+from filewarden.llm.lines import dedup_lines
 from filewarden.llm.mixing import mix
 from filewarden.llm.ngrams import near_copies
-from filewarden.llm.quality import REPEAT_WINDOW, quality_rules
+from filewarden.llm.quality import quality_rules
 from filewarden.session import broadcast_if_small, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,13 +50,13 @@ def one_each(docs: DataFrame) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, each once and without their failing lines."""
-    judged = quality_rules(one_each(docs), window=REPEAT_WINDOW).filter("quality.kept")
+    judged = quality_rules(one_each(docs)).filter("quality.kept")
     return _with_text(judged, docs.columns, F.col("quality.clean_text"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of templates that recur across unrelated documents."""
-    return _with_text(dedup_lines(docs, shared_lines), docs.columns, F.col("text"))
+    return _with_text(dedup_lines(docs), docs.columns, F.col("text"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
