@@ -101,45 +101,54 @@ def remaining_calls(
     )
 
 
-def _with_burst(seconds: DataFrame, window: int) -> DataFrame:
-    """Add `burst`, the first second of the unbroken run of activity a second belongs to.
+def _with_chain(seconds: DataFrame, window: int) -> DataFrame:
+    """Seconds whose calls depend on earlier decisions, and those these decisions need, with the `chain` they belong to.
 
-    A run ends where nothing happened for a whole window; no earlier call can then
-    matter, so runs are independent. The last run start is carried into a chunk of
-    time from the chunks before it: the wide step sees seconds of one chunk, the
-    narrow one a single row per api and chunk.
+    A second is over if more calls were *attempted* in the window that ends with it than the limit allows; all calls of
+    other seconds are accepted, whatever was decided before. So only over seconds less than a window apart depend on
+    each other: they form a chain, which starts with known state, the attempts of the window before it. All other
+    seconds have no chain. The first second of a chain is carried from chunk to chunk of time, one row each.
     """
-    start = F.when(F.col("trailing") == F.col("activity"), F.col("second"))
-    active = (
-        _with_trailing(seconds.withColumn("activity", F.col("calls") + F.col("carried")), "activity", window)
-        .withColumn("start", start)
-        .withColumn("chunk", F.floor(F.col("second") / CHUNK_SECONDS))
+    size = max(CHUNK_SECONDS, window)
+    chunk = F.floor(F.col("second") / size)
+    offset = F.col("second") % size
+    near = F.array_compact(
+        F.array(F.when(offset < window - 1, chunk - 1), chunk, F.when(offset >= size - window + 1, chunk + 1))
     )
+    spread = seconds.select("*", chunk.alias("home"), F.explode(near).alias("chunk"))
+    frame = W.partitionBy("api", "chunk").orderBy("second")
+    over_at = F.when(F.col("over"), F.col("second"))
+    linked = (
+        spread.withColumn("last_over", F.max(over_at).over(frame.rangeBetween(-(window - 1), -1)))
+        .withColumn("next_over", F.min(over_at).over(frame.rangeBetween(1, window - 1)))
+        .filter(F.col("home") == F.col("chunk"))
+    )
+    target = F.when(F.col("over"), F.col("second")).otherwise(F.col("next_over"))
+    opens = F.col("last_over").isNull() | (F.col("last_over") <= target - window)
+    needed = linked.withColumn("start", F.when(opens, target)).filter(target.isNotNull())
     before = W.partitionBy("api").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        active.groupBy("api", "chunk")
+        needed.groupBy("api", "chunk")
         .agg(F.max("start").alias("last_start"))
         .withColumn("earlier_start", F.max("last_start").over(before))
         .select("api", "chunk", "earlier_start")
     )
     so_far = W.partitionBy("api", "chunk").orderBy("second").rowsBetween(W.unboundedPreceding, 0)
-    within = active.withColumn("start", F.max("start").over(so_far))
-    return within.join(carried, ["api", "chunk"]).select(
-        *seconds.columns, F.coalesce("start", "earlier_start").alias("burst")
-    )
+    within = needed.withColumn("start", F.max("start").over(so_far))
+    return within.join(carried, ["api", "chunk"]).select(*seconds.columns, F.coalesce("start", "earlier_start").alias("chain"))
 
 
 def _fold_seconds(window: int):
-    """Greedy admission over rows sorted by (api, burst, second); carries at most one window of state."""
+    """Greedy admission over rows sorted by (api, chain, second); carries at most one window of state."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, live, used = None, deque(), 0
         for batch in batches:
             accepted = []
-            columns = (batch.column(c).to_pylist() for c in ("api", "burst", "second", "calls", "carried", "api_limit"))
-            for api, burst, second, calls, carried, limit in zip(*columns):
-                if (api, burst) != run:
-                    run, live, used = (api, burst), deque(), 0
+            columns = (batch.column(c).to_pylist() for c in ("api", "chain", "second", "calls", "carried", "api_limit"))
+            for api, chain, second, calls, carried, limit in zip(*columns):
+                if (api, chain) != run:
+                    run, live, used = (api, chain), deque(), 0
                 while live and second - live[0][0] >= window:
                     used -= live.popleft()[1]
                 n = min(calls, max(limit - used - carried, 0))
@@ -148,8 +157,8 @@ def _fold_seconds(window: int):
                     used += n + carried
                 accepted.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("api"), batch.column("second"), batch.column("calls"), pa.array(accepted, pa.int64())],
-                names=["api", "second", "calls", "accepted"],
+                [batch.column("api"), batch.column("second"), batch.column("calls"), pa.array(accepted, pa.int64()), batch.column("over")],
+                names=["api", "second", "calls", "accepted", "over"],
             )
 
     return fold
@@ -165,10 +174,13 @@ def accepted_per_second(
     """(api, second, calls, accepted): how many calls of each second are let through.
 
     A call is accepted while fewer than the limit of *accepted* calls lie in the
-    window before it. That is sequential, but only over the seconds of one
-    unbroken run of activity: runs are spread over the cluster, and each is folded
-    as a sorted stream with one window of state in memory. `carried(api, second,
-    accepted)` holds earlier accepted calls.
+    window before it. That is sequential only within a chain of seconds with too
+    many attempts, each less than a window after the one before; chains are spread
+    over the cluster, and each is folded as a sorted stream with one window of
+    state in memory. All other seconds are accepted whole where they are. What is
+    left in one task is an api that stays over its limit: one row per second of
+    its chain, 86 400 a day. `carried(api, second, accepted)` holds earlier
+    accepted calls.
     """
     zero = F.lit(0).cast("bigint")
     seconds = calls_per_second(calls).withColumn("carried", zero)
@@ -179,14 +191,17 @@ def accepted_per_second(
             .groupBy("api", "second")
             .agg(F.sum("calls").alias("calls"), F.sum("carried").alias("carried"))
         )
+    limit = api_limit(F.col("api"), limits, default).cast("bigint")
+    tried = _with_trailing(seconds.withColumn("tried", F.col("calls") + F.col("carried")), "tried", window)
+    judged = tried.withColumn("api_limit", limit).withColumn("over", (F.col("trailing") > F.col("api_limit")) & (F.col("calls") > 0))
     ordered = (
-        _with_burst(seconds, window)
-        .withColumn("api_limit", api_limit(F.col("api"), limits, default).cast("bigint"))
-        .repartition("api", "burst")
-        .sortWithinPartitions("api", "burst", "second")
+        _with_chain(judged.drop("tried", "trailing"), window)
+        .repartition("api", "chain")
+        .sortWithinPartitions("api", "chain", "second")
     )
-    folded = ordered.mapInArrow(_fold_seconds(window), "api STRING, second BIGINT, calls BIGINT, accepted BIGINT")
-    return folded.filter("calls > 0")
+    folded = ordered.mapInArrow(_fold_seconds(window), "api STRING, second BIGINT, calls BIGINT, accepted BIGINT, over BOOLEAN")
+    free = judged.filter("NOT over AND calls > 0").select("api", "second", "calls", F.col("calls").alias("accepted"))
+    return free.unionByName(folded.filter("over").drop("over"))
 
 
 def admit(

@@ -125,16 +125,11 @@ def stream_admission(spark, sf):
         part = calls if start is None else calls.filter(F.col("ts") >= F.lit(str(start)).cast("timestamp"))
         part = part if end is None else part.filter(F.col("ts") < F.lit(str(end)).cast("timestamp"))
         part.write.mode("append").parquet(f"{work}/calls")
-        admission_streaming.admission_stream(
-            spark.readStream.schema(calls.schema).parquet(f"{work}/calls"),
-            f"{work}/state",
-            f"{work}/checkpoint",
-            lambda decided, batch_id: decided.write.mode("overwrite").parquet(f"{work}/decided/batch={batch_id}"),
-            limits={"error": 3},
-            default=ADMISSION_LIMIT,
-            window=ADMISSION_WINDOW,
-        ).awaitTermination()
-    return spark.read.parquet(f"{work}/decided").select("call_id", "api", "accepted")
+        arriving = spark.readStream.schema(calls.schema).parquet(f"{work}/calls")
+        admitted = admission_streaming.admitted_stream(arriving, {"error": 3}, ADMISSION_LIMIT, ADMISSION_WINDOW)
+        admission_streaming.write_admitted(admitted, f"{work}/admitted", f"{work}/checkpoint").awaitTermination()
+    accepted = spark.read.schema("call_id BIGINT, api STRING").parquet(f"{work}/admitted")
+    return admission_streaming.decisions(calls, accepted).select("call_id", "api", "accepted")
 
 
 def stream_queries():

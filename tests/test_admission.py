@@ -91,3 +91,28 @@ def test_remaining_calls(spark):
 def test_candidates_are_limited_before_the_shuffle(spark):
     plan = admission.admit(calls_df(spark, [("x", 1)]))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_runs_are_cut_wherever_the_state_is_known(spark):
+    """One call in 30 seconds never fills a window: nothing is folded. Bursts within steady calls are chains of their own."""
+    steady = [("x", s) for s in range(0, 20_000, 30)]
+    bursts = [("x", s) for start in (5000, 9000, 9300, 15_000) for s in range(start + 1, start + 40, 2)]
+    seconds = admission.calls_per_second(calls_df(spark, steady + bursts)).withColumn("carried", F.lit(0).cast("bigint"))
+    judged = admission._with_trailing(seconds, "calls", 60).withColumn("over", F.col("trailing") > 10)
+    chained = admission._with_chain(judged, 60).collect()
+    runs = {r["chain"] for r in chained}
+    assert len(runs) == 4 and len(chained) < 150
+    assert decide(spark, steady, limits={}, default=10) == dict.fromkeys(range(len(steady)), True)
+    rows = steady + bursts
+    assert decide(spark, rows, limits={}, default=10) == model(rows, lambda api: 10, 60)
+
+
+def test_random_load_around_the_limit(spark):
+    rng = random.Random(11)
+    rows = []
+    for api, most in (("a", 3), ("b", 12), ("c", 40)):
+        s = 0
+        while s < 9000:
+            s += rng.randint(0, most)
+            rows.append((api, s))
+    assert decide(spark, rows, limits={"a": 9}, default=4) == model(rows, lambda api: 9 if api == "a" else 4, 60)

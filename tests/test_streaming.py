@@ -1,5 +1,6 @@
 """Streams give what the batch operators give."""
 
+import os
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -90,12 +91,22 @@ def test_admission_stream_equals_batch(spark, tmp_path):
     cuts = [START, START + timedelta(seconds=400), START + timedelta(seconds=800), START + timedelta(days=1)]
     for low, high in zip(cuts, cuts[1:]):
         calls.filter((F.col("ts") >= F.lit(low)) & (F.col("ts") < F.lit(high))).coalesce(1).write.mode("append").parquet(src)
-    out = str(tmp_path / "decided")
+    out, ck = str(tmp_path / "admitted"), str(tmp_path / "ck")
     arriving = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    stream_admission.admission_stream(
-        arriving, str(tmp_path / "state"), str(tmp_path / "ck"),
-        lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), limits={"hot": 6}, default=2,
-    ).awaitTermination()
-    streamed = {r["call_id"]: r["accepted"] for r in spark.read.parquet(out).collect()}
+    admitted = stream_admission.admitted_stream(arriving, {"hot": 6}, 2)
+    stream_admission.write_admitted(admitted, out, ck).awaitTermination()
     batch = {r["call_id"]: r["accepted"] for r in admission.admit(calls, limits={"hot": 6}, default=2).collect()}
-    assert streamed == batch and len(set(batch.values())) == 2
+    read = lambda: {r["call_id"]: r["accepted"] for r in stream_admission.decisions(calls, spark.read.parquet(out)).collect()}
+    assert read() == batch and len(set(batch.values())) == 2
+    # the last batch is lost after its state was written, and runs again
+    commits = sorted(int(f) for f in os.listdir(f"{ck}/commits") if f.isdigit())
+    for name in (f"{commits[-1]}", f".{commits[-1]}.crc"):
+        os.remove(f"{ck}/commits/{name}")
+    stream_admission.write_admitted(stream_admission.admitted_stream(arriving, {"hot": 6}, 2), out, ck).awaitTermination()
+    assert read() == batch
+
+
+def test_state_of_an_api_holds_one_window():
+    live = stream_admission._Window(60, 3)
+    assert [live.admit(s, 1) for s in (0, 10, 20, 30, 59, 60, 61, 70)] == [1, 1, 1, 0, 0, 1, 0, 1]
+    assert live.admit(1000, 9) == 3 and live.live == {1000: 3}
