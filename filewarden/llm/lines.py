@@ -88,21 +88,30 @@ def _distinct_lines(keyed: DataFrame, found: DataFrame) -> DataFrame:
     return stored(texts.select("w.line", "w.leaf", "w.n", masked(F.get("ls", F.col("w.line_no"))).alias("tokens")))
 
 
-def _templates(distinct: DataFrame, docs: int | Column, constant: int) -> DataFrame:
-    """(line, template) of the different lines (line, leaf, tokens, n) whose template has enough constant places.
+def _templates(distinct: DataFrame, docs: int, constant: int) -> DataFrame:
+    """(line, template) of the different lines (line, leaf, n, tokens) whose template has enough constant places.
 
-    `docs` may be the column `needed` of `distinct`, which is one number per leaf.
+    A line has up to two templates: of the words that `docs` documents have there, and of those that as many have as
+    the line needs. A leaf, place and word are one digest, so that narrow rows are counted and joined.
     """
-    own = [c for c in distinct.columns if c == "needed"]
-    spread = distinct.select("line", "leaf", "n", *own, F.posexplode("tokens").alias("place", "word"))
-    common = spread.groupBy("leaf", "place", "word", *own).agg(F.sum("n").alias("n")).filter(F.col("n") >= docs)
-    fixed = spread.join(common.select("leaf", "place", "word"), ["leaf", "place", "word"])
-    fixed = fixed.filter(F.col("word") != ANY).groupBy("line").agg(F.sort_array(F.collect_set("place")).alias("fixed"))
-    both = distinct.join(fixed, "line")
-    shape = F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(ANY))
-    return both.filter(F.size("fixed") * 100 >= F.size("tokens") * constant).select(
-        "line", F.xxhash64("leaf", shape).alias("template")
+    words_of = distinct.select("line", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "word"))
+    spread = words_of.filter(F.col("word") != ANY).select(
+        "line", "place", "n", needed(F.col("size"), docs).alias("needed"), F.xxhash64("leaf", "place", "word").alias("spot")
     )
+    common = spread.groupBy("spot").agg(F.sum("n").alias("n"), F.min("needed").alias("needed")).filter("n >= needed")
+    common = common.select("spot", (F.col("n") >= docs).alias("often"))
+    fixed = spread.select("line", "place", "spot").join(common, "spot")
+    fixed = fixed.groupBy("line").agg(F.collect_list(F.struct("place", "often")).alias("fixed"))
+    both = distinct.join(fixed, "line")
+    place = lambda x: x.getField("place")
+
+    def template(places: Column) -> Column:
+        shape = F.transform("tokens", lambda t, i: F.when(F.array_contains(places, i), t).otherwise(ANY))
+        return F.when(F.size(places) * 100 >= F.size("tokens") * constant, F.xxhash64("leaf", shape))
+
+    often = F.transform(F.filter("fixed", lambda x: x.getField("often")), place)
+    shapes = F.array_distinct(F.array_compact(F.array(template(often), template(F.transform("fixed", place)))))
+    return both.select("line", F.explode(shapes).alias("template"))
 
 
 def _classes(lined: DataFrame, related: int) -> DataFrame:
@@ -127,9 +136,7 @@ def shared_lines(keyed: DataFrame, docs: int = DOCS, constant: int = CONSTANT, r
     leaves = leaves.filter(F.col("n") >= needed(F.col("words"), docs)).select("leaf")
     found = stored(every.join(leaves, "leaf", "left_semi").select("key", "line_no", "leaf", "line", "words", "of_text"))
     distinct = _distinct_lines(keyed, found)
-    fewer = distinct.withColumn("needed", needed(F.size("tokens"), docs)).filter(F.col("needed") < docs)
-    shapes = _templates(distinct, docs, constant).unionByName(_templates(fewer, F.col("needed"), constant)).distinct()
-    shaped = stored(found.join(shapes, "line").select("key", "line_no", "words", "of_text", "template"))
+    shaped = stored(found.join(_templates(distinct, docs, constant), "line").select("key", "line_no", "words", "of_text", "template"))
     owners = shaped.groupBy("template").agg(F.min("key").alias("owner"))
     lined = shaped.join(owners, "template").groupBy("key", "line_no").agg(
         F.max("words").alias("words"),
