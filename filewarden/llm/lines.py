@@ -40,7 +40,7 @@ WITH_DIGIT = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*[0-9])[^\x20\x09-\x0D
 
 def masked(line: Column) -> Column:
     """The words of a line, those with a digit as `ANY`."""
-    return words(F.regexp_replace(line, WITH_DIGIT, ANY))
+    return words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, ANY)).otherwise(line))
 
 
 def _leaf(tokens: Column) -> Column:
@@ -96,22 +96,19 @@ def _templates(distinct: DataFrame, docs: int, constant: int) -> DataFrame:
     """
     words_of = distinct.select("line", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "word"))
     spread = words_of.filter(F.col("word") != ANY).select(
-        "line", "place", "n", needed(F.col("size"), docs).alias("needed"), F.xxhash64("leaf", "place", "word").alias("spot")
+        "line", "size", "place", "n", needed(F.col("size"), docs).alias("needed"), F.xxhash64("leaf", "place", "word").alias("spot")
     )
     common = spread.groupBy("spot").agg(F.sum("n").alias("n"), F.min("needed").alias("needed")).filter("n >= needed")
     common = common.select("spot", (F.col("n") >= docs).alias("often"))
-    fixed = spread.select("line", "place", "spot").join(common, "spot")
-    fixed = fixed.groupBy("line").agg(F.collect_list(F.struct("place", "often")).alias("fixed"))
-    both = distinct.join(fixed, "line")
-    place = lambda x: x.getField("place")
-
-    def template(places: Column) -> Column:
-        shape = F.transform("tokens", lambda t, i: F.when(F.array_contains(places, i), t).otherwise(ANY))
-        return F.when(F.size(places) * 100 >= F.size("tokens") * constant, F.xxhash64("leaf", shape))
-
-    often = F.transform(F.filter("fixed", lambda x: x.getField("often")), place)
-    shapes = F.array_distinct(F.array_compact(F.array(template(often), template(F.transform("fixed", place)))))
-    return both.select("line", F.explode(shapes).alias("template"))
+    fixed = spread.select("line", "size", "place", "spot").join(common, "spot")
+    fixed = fixed.groupBy("line").agg(
+        F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "spot", "often"))).alias("enough")
+    )
+    fixed = fixed.select("line", "size", "enough", F.filter("enough", lambda x: x.getField("often")).alias("often"))
+    spots = lambda name: F.transform(name, lambda x: x.getField("spot"))
+    template = lambda name: F.when(F.size(name) * 100 >= F.col("size") * constant, F.xxhash64(spots(name)))
+    shapes = F.array_distinct(F.array_compact(F.array(template("often"), template("enough"))))
+    return fixed.select("line", F.explode(shapes).alias("template"))
 
 
 def _classes(lined: DataFrame, related: int) -> DataFrame:
