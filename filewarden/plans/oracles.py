@@ -91,6 +91,14 @@ def _match_rule(rule: cat.Rule, files: str) -> str:
     )
 
 
+def _whole_matches() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT path, {_s(r.name)} AS name, {_s(r.severity)} AS severity, regexp_extract(content, {_s(_re2(r.pattern))}, 0) AS m "
+        f"FROM files WHERE regexp_matches(content, {_s(_re2(r.pattern))})"
+        for r in cat.default_signatures()
+    )
+
+
 def _rules(rules, files: str = "files") -> str:
     return "\nUNION ALL\n".join(_match_rule(r, files) for r in rules)
 
@@ -472,6 +480,11 @@ FROM customer LEFT JOIN a ON a.config_key = 'key_' || c_custkey""",
         "latest_per_key": f"""WITH {AUDIT}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM audit)
 SELECT user_id, id, event_type, {event_at} FROM r WHERE rn = 1""",
         "rule_merge": f"WITH {RULES} SELECT rule_ord, name, pattern, severity, description FROM merged",
+        "merged_rule_scan": f"""WITH {FILES}, t AS ({_whole_matches()})
+SELECT path, name, severity, octet_length(encode(m))::BIGINT AS match_length, sha256(m) AS evidence_hash FROM t
+UNION ALL SELECT DISTINCT '/orders/' || l_orderkey || '.txt', 'part_' || l_partkey, 'low',
+  length('Item ' || l_partkey || ';')::BIGINT, sha256('Item ' || l_partkey || ';') FROM lineitem JOIN part ON l_partkey = p_partkey""",
+        "merged_rule_update": "SELECT 'last_signature_update' AS config_key, '1706745600' AS config_value, 8 + count(*) AS rule_count FROM part",
         "rule_count": f"WITH {RULES} SELECT count(*) AS rule_count FROM merged",
         "audit_page": f"""WITH {AUDIT} SELECT {_AUDIT_COLUMNS} FROM (SELECT * FROM audit WHERE event_type = 'error'
 AND created_at >= TIMESTAMP '2024-01-05' ORDER BY created_at DESC, id LIMIT 50 OFFSET 25)""",

@@ -21,6 +21,7 @@ from filewarden.operators import (
     remediate,
     report,
     results,
+    rulebook,
     scan,
     verdicts,
 )
@@ -490,6 +491,37 @@ def rule_count(spark, sf):
     return catalogue.rule_count(catalogue.merge_catalogue(catalogue.default_catalogue(spark), _part_rules(spark, sf)))
 
 
+def _order_files(spark, sf):
+    """Orders as files that name their parts."""
+    names = F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("Item "), "l_partkey", F.lit(";")))), "\n")
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(names.alias("text"))
+    return lists.select(
+        F.concat(F.lit("/orders/"), "l_orderkey", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")
+    )
+
+
+def _merged_rules(spark, sf):
+    """Default signatures and a rule for every part."""
+    updates = _part_rules(spark, sf).withColumn("name", F.concat(F.lit("part_"), "rule_ord"))
+    updates = updates.withColumn("pattern", F.concat(F.lit("/item\\s+"), "rule_ord", F.lit(";/i")))
+    return catalogue.merge_catalogue(catalogue.default_catalogue(spark), updates)
+
+
+def merged_rule_scan(spark, sf):
+    """All orders and the corpus, scanned with user-made rules; the matches are read again by their place."""
+    files = _order_files(spark, sf).unionByName(corpus(spark, sf).select("path", "content"))
+    found = rulebook.matched_bytes(files, rulebook.rule_matches(files, _merged_rules(spark, sf)))
+    return found.select("path", "name", "severity", "match_length", F.sha2("evidence", 256).alias("evidence_hash"))
+
+
+def merged_rule_update(spark, sf):
+    """The configuration row of the moment at which the merged rules were taken over, and how many they are."""
+    rows = config.signature_update_row(spark, datetime(2024, 2, 1))
+    counted = catalogue.rule_count(_merged_rules(spark, sf))
+    counted = counted.withColumn("config_key", F.lit("last_signature_update"))
+    return rows.join(counted, "config_key").select("config_key", "config_value", "rule_count")
+
+
 # --- audit log --------------------------------------------------------------
 
 
