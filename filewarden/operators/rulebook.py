@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filewarden.functions import bytestring as bs
-from filewarden.sources.catalogue import SIGNATURE_CONFIDENCE, java_regex
+from filewarden.sources.catalogue import SIGNATURE_CONFIDENCE, SIGNATURE_EXISTS, SIGNATURE_LINEAR, SIGNATURE_NEEDLES, java_regex
 
 MAX_RULES = 100_000
 LEAST_NEEDLE = 2
@@ -65,11 +65,15 @@ def _automaton(rules_of: tuple[tuple[str, tuple[int, ...]], ...]) -> ahocorasick
     return found
 
 
-def with_candidates(files: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
-    """Files with readable content and `candidates`, the numbers of the rules (number, needle) that may match."""
+def with_candidates(files: DataFrame, rules: list[tuple[int, tuple[str, ...]]]) -> DataFrame:
+    """Files with readable content and `candidates`, the numbers of the rules (number, needles) that may match.
+
+    A rule needs one of its needles.
+    """
     by_needle: dict[str, list[int]] = {}
-    for number, text in rules:
-        by_needle.setdefault(text, []).append(number)
+    for number, any_of in rules:
+        for text in any_of:
+            by_needle.setdefault(text, []).append(number)
     always = by_needle.pop("", [])
     shared = files.sparkSession.sparkContext.broadcast(tuple((text, tuple(numbers)) for text, numbers in by_needle.items()))
 
@@ -98,18 +102,27 @@ def rule_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MAX_RULES} rules")
     spark, kept = files.sparkSession, [c for c in files.columns if c != "content"]
     confidence = lambda r: SIGNATURE_CONFIDENCE if r["confidence"] is None else r["confidence"]
+    patterns = [r["pattern"] for r in rows]
+    # Known patterns with several `.*` have an equal form in linear time, and needles of all their alternatives.
+    regex = lambda p: (SIGNATURE_LINEAR[p], 1) if p in SIGNATURE_LINEAR else (java_regex(p), 0)
     table = spark.createDataFrame(
-        [(r["rule_ord"], r["name"], java_regex(r["pattern"]), r["severity"], r["description"], confidence(r)) for r in rows],
-        "rule_ord INT, name STRING, regex STRING, severity STRING, description STRING, confidence DOUBLE",
+        [
+            (r["rule_ord"], r["name"], r["severity"], r["description"], confidence(r), *regex(p), SIGNATURE_EXISTS.get(p, ""))
+            for r, p in zip(rows, patterns)
+        ],
+        "rule_ord INT, name STRING, severity STRING, description STRING, confidence DOUBLE, regex STRING, part INT, exists STRING",
     )
-    numbered = with_candidates(files, list(zip([r["rule_ord"] for r in rows], needles([r["pattern"] for r in rows]))))
+    any_of = [SIGNATURE_NEEDLES[p][0] if SIGNATURE_NEEDLES.get(p) else (own,) for p, own in zip(patterns, needles(patterns))]
+    numbered = with_candidates(files, list(zip([r["rule_ord"] for r in rows], any_of)))
     tried = numbered.select(*kept, bs.latin1(F.col("content")).alias("__bytes"), F.explode("candidates").alias("rule_ord"))
-    tried = tried.join(F.broadcast(table), "rule_ord").withColumn("__match", F.expr("regexp_extract(__bytes, regex, 0)"))
+    match = F.expr("IF(exists = '' OR __bytes RLIKE exists, regexp_extract(__bytes, regex, part), '')")
+    # A generated column: neither the filter nor the columns below run the pattern again.
+    tried = tried.join(F.broadcast(table), "rule_ord").select("*", F.explode(F.array(match)).alias("__match"))
     at = F.expr("instr(__bytes, __match)")
     before = F.expr("substring(__bytes, 1, instr(__bytes, __match) - 1)")
     return tried.filter("__match != ''").select(
         *kept,
-        *[c for c in table.columns if c != "regex"],
+        *[c for c in table.columns if c not in ("regex", "part", "exists")],
         (at - 1).cast("bigint").alias("match_offset"),
         F.length("__match").cast("bigint").alias("match_length"),
         (at - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("int").alias("line_number"),
