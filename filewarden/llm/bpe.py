@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, pre_tokenizers
 
 WINDOW = 2048
-CACHE = 500_000
+CACHE = 200_000
 BLOCK_IDS = 65_536
 WORD_END = "</w>"
 LATIN_END = "\u024f"
