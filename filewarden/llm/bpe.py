@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Regex, pre_tokenizers
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 WINDOW = 2048
 CACHE = 200_000
@@ -59,6 +59,14 @@ def char_ranges(kind: str, end: int) -> str:
     return "".join(f"{s[0]}-{s[-1]}" for s, _ in spans)
 
 
+@functools.lru_cache
+def lower_map() -> dict[int, str]:
+    """The lower case of every character that has one, in the Unicode version of the tokenizers library."""
+    every = [chr(c) for c in range(0x110000) if c != 0x0A and not 0xD800 <= c < 0xE000]
+    lowered = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    return {ord(c): low for c, low in zip(every, lowered, strict=True) if c != low}
+
+
 @functools.lru_cache
 def piece_finder(end: int):
     """Finds the pieces of a normalised run whose characters are all below `end`."""
@@ -101,6 +109,7 @@ class Transducer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.latin = piece_finder(ord(LATIN_END))
+        self.lower = lower_map()
         self.runs = regex.compile(f"[^{SPACE}]+")
         self.symbols = [vocab[s] for s in byte_symbols()]
         self.ends = [vocab[s + WORD_END] for s in byte_symbols()]
@@ -184,7 +193,7 @@ class Transducer:
             text, pieces = run.lower(), self.latin
         else:
             text = unicodedata.normalize("NFC", run)
-            text = "".join([c.lower() for c in text])
+            text = text.translate(self.lower)
             pieces = self.latin if max(text) < LATIN_END else piece_finder(0x110000)
         found: list[int] = []
         for piece in pieces(text):
