@@ -1,8 +1,9 @@
 """Near-duplicate documents by an exact Jaccard join of their n-gram sets, rarest n-grams first.
 
 1. A document becomes the set of digests of its `N`-word shingles. Sets travel packed: chunks of documents cut their
-   sorted digests into slices of the number range. A slice counts in how many different sets a shingle occurs, over
-   all documents, and returns to each chunk only its shingles that occur in two or more.
+   sorted digests into slices of the number range, equal sets of a chunk once, with the signatures of the sets that
+   have a shingle there. A slice counts in how many different sets a shingle occurs, over all documents, and returns
+   to each chunk only its shingles that occur in two or more.
 2. In the order (frequency, digest) the shingles of one set only come first, so a document whose prefix of
    `size - needed + 1` shingles is all unique has no partner and is done. The rest keep their shared shingles, which
    is all that an intersection can hold.
@@ -69,24 +70,39 @@ def _signs(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(out)
 
 
+def _first_of_each(ids: list, sizes: np.ndarray, signs: np.ndarray) -> list[int]:
+    """The documents that stand for all of the same set in a chunk: those with the smallest id, null last."""
+    best: dict[tuple, int] = {}
+    for i, (size, pair) in enumerate(zip(sizes.tolist(), signs.tolist())):
+        j = best.setdefault((size, *pair), i)
+        if i != j and ids[i] is not None and (ids[j] is None or ids[i] < ids[j]):
+            best[(size, *pair)] = i
+    return sorted(best.values())
+
+
 def packed_sets(docs: DataFrame, slices: int, n: int) -> DataFrame:
     """Chunks of the sets of `docs` (doc_id bigint, text), as rows per slice."""
 
     def flush(chunk: int, ids: list, sets: list[np.ndarray]):
         sizes = np.array([len(s) for s in sets], dtype=np.uint32)
         signs = _signs(sets)
-        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        first = _first_of_each(ids, sizes, signs)
+        keys = np.concatenate([sets[i] for i in first])
+        owner = np.repeat(np.array(first, dtype=np.uint16), sizes[first])
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
         edges, home = cuts(keys, slices), chunk % slices
+        header = sizes.tobytes() + signs.tobytes()
+        numbers = np.array([-1 if v is None else v for v in ids], np.int64).tobytes()
+        packed_ids = numbers + np.array([v is None for v in ids], np.uint8).tobytes()
         rows: list[list] = [[] for _ in range(7)]
         for i, (a, b) in enumerate(zip(edges, edges[1:])):
             if a == b and i != home:
                 continue
-            header = sizes.tobytes() + signs.tobytes() if i == home else None
-            numbers = np.array([-1 if v is None else v for v in ids], np.int64).tobytes()
-            packed_ids = numbers + np.array([v is None for v in ids], np.uint8).tobytes() if i == home else None
-            for values, value in zip(rows, (i, chunk, pack(keys[a:b]), owner[a:b].tobytes(), signs[:, 0].tobytes(), header, packed_ids)):
+            # The signatures of the sets with a shingle in this slice only, so a slice never outgrows its shingles.
+            own_signs = signs[np.unique(owner[a:b]), 0].tobytes()
+            extra = (header, packed_ids) if i == home else (None, None)
+            for values, value in zip(rows, (i, chunk, pack(keys[a:b]), owner[a:b].tobytes(), own_signs, *extra)):
                 values.append(value)
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=[c.split()[0] for c in SENT.split(", ")])
@@ -117,7 +133,7 @@ def shared_shingles(sent: DataFrame) -> DataFrame:
             for k, d, s in zip(column(table, "keys"), column(table, "docs"), column(table, "signs"))
         ]
         keys = np.concatenate([p[0] for p in parts])
-        signs = np.concatenate([p[2][p[1]] for p in parts])
+        signs = np.concatenate([signs[np.unique(docs, return_inverse=True)[1]] for _, docs, signs in parts])
         order = np.lexsort((signs, keys))
         k, s = keys[order], signs[order]
         new_key = np.ones(len(k), dtype=bool)
