@@ -364,7 +364,7 @@ filled AS (SELECT plain.path, COALESCE(ent.entropy, 0) AS entropy FROM plain LEF
 """
     event_at = _time("created_at")
     action_at = f"'{_ACTION}' AS created_at"
-    return {
+    queries = {
         "flagged_severities": f"""WITH {LOCAL}, {_ranked(f"(SELECT * FROM local_threats WHERE {_SELECTED})")}
 SELECT severity, count(*) AS threats, count(DISTINCT path) AS files FROM ranked GROUP BY severity""",
         "corpus_select": f"WITH {FILES} SELECT path, octet_length(encode(content)) AS size FROM files WHERE {_SELECTED}",
@@ -616,3 +616,18 @@ SELECT strftime(hour + to_hours(CAST(k + 1 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS
 FROM h, range(24) AS r(k) GROUP BY ALL""",
         "stream_admission": f"WITH RECURSIVE {_ADMIT} SELECT call_id, api, accepted FROM steps",
     }
+    # Stored tables return what the same rows give without a store.
+    same = {
+        "stored_results": "scan_results",
+        "stored_quarantine": "quarantine_rows",
+        "partial_stats": "threat_stats",
+        "partial_summary": "scan_summary",
+        "partial_trend": "daily_trend",
+    }
+    return {
+        **queries,
+        **{stored: queries[direct] for stored, direct in same.items()},
+        "stored_audit": f"WITH {AUDIT} SELECT {_AUDIT_COLUMNS} FROM audit",
+        "exported_results": f"""WITH {RESULTS} SELECT {_RESULT_COLUMNS}, format
+FROM results, (VALUES ('csv'), ('json'), ('parquet')) AS f(format)""",
+    }

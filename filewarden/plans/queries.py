@@ -816,6 +816,7 @@ def all_queries() -> dict[str, Query]:
         and name not in not_queries
         and name != "all_queries"
     }
+    from filewarden.plans.stores import store_queries
     from filewarden.plans.streams import stream_queries
 
-    return {**found, **stream_queries()}
+    return {**found, **stream_queries(), **store_queries()}
