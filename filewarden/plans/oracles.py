@@ -218,6 +218,12 @@ cur AS (
   SELECT CASE WHEN n % 13 = 0 THEN '/new' || path ELSE path END AS path,
     sha256(CASE WHEN n % 7 = 0 THEN content || '!' ELSE content END) AS sha256 FROM numbered)"""
 
+LISTINGS = f"""{FILES}, sized AS (
+  SELECT path, file_no AS n, octet_length(encode(content)) AS size, TIMESTAMP '2024-01-01' + to_seconds(file_no) AS mtime FROM files WHERE content IS NOT NULL),
+base AS (SELECT CASE WHEN n % 17 = 0 THEN '/old' || path ELSE path END AS path, size, mtime FROM sized),
+cur AS (SELECT CASE WHEN n % 13 = 0 THEN '/new' || path ELSE path END AS path, size + CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END AS size,
+  CASE WHEN n % 5 = 0 THEN mtime + INTERVAL 1 SECOND ELSE mtime END AS mtime FROM sized)"""
+
 AUDIT = """audit AS (
   SELECT CAST(event_id AS VARCHAR) AS id, event_type, 'event ' || event_id AS description,
     CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' WHEN 'signup' THEN 'critical' ELSE 'info' END AS severity,
@@ -425,6 +431,13 @@ WHERE sha256(content) NOT IN (SELECT sha256 FROM labelled)""",
         "integrity_diff": f"""WITH {SNAPSHOTS} SELECT COALESCE(base.path, cur.path) AS path, base.sha256 AS old_sha256, cur.sha256 AS new_sha256,
   CASE WHEN base.path IS NULL THEN 'added' WHEN cur.path IS NULL THEN 'removed' WHEN base.sha256 <> cur.sha256 THEN 'modified'
   ELSE 'unchanged' END AS change FROM base FULL JOIN cur ON cur.path = base.path""",
+        "listing_changes": f"""WITH {LISTINGS} SELECT COALESCE(cur.path, base.path) AS path, COALESCE(cur.size, base.size) AS size,
+  strftime(COALESCE(cur.mtime, base.mtime), '%Y-%m-%d %H:%M:%S') AS mtime, CASE WHEN base.path IS NULL THEN 'added' WHEN cur.path IS NULL THEN 'removed'
+  WHEN cur.size = base.size AND cur.mtime = base.mtime THEN 'unchanged' ELSE 'modified' END AS change FROM base FULL JOIN cur ON cur.path = base.path""",
+        "listing_to_read": f"""WITH {LISTINGS} SELECT path, size, strftime(mtime, '%Y-%m-%d %H:%M:%S') AS mtime FROM cur
+WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.path = cur.path AND base.size = cur.size AND base.mtime = cur.mtime)""",
+        "stream_progress": f"""WITH {LOCAL}, {_ranked("local_threats")}
+SELECT 'stream' AS run, (SELECT count(*) FROM files WHERE content IS NOT NULL) AS files, count(*) AS threats FROM ranked""",
         "delta_scan": f"""WITH {SNAPSHOTS} SELECT path, sha256 FROM cur WHERE NOT EXISTS
   (SELECT 1 FROM base WHERE base.path = cur.path AND base.sha256 = cur.sha256)""",
         "stream_skip_seen": f"WITH {RESULTS} SELECT file_path, file_hash, threat_type, threat_severity FROM results",

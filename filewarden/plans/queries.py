@@ -37,7 +37,7 @@ from filewarden.plans.corpus import (
 )
 from filewarden.session import stored
 from filewarden.settings import ScanSettings
-from filewarden.sources import catalogue
+from filewarden.sources import catalogue, listing
 from filewarden.sources.files import content_hashes, files_from_text, select_files, skipped_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,26 @@ def corpus_select(spark, sf):
     return select_files(corpus(spark, sf)).select("path", "size")
 
 
+def _listings(spark, sf):
+    """Two listings of the corpus: files were added, removed, grown or touched since the first."""
+    n, files = F.col("file_no"), corpus(spark, sf).filter("content IS NOT NULL")
+    at = F.timestamp_seconds(F.lit(1704067200) + n)
+    renamed = lambda every, prefix: F.when(n % every == 0, F.concat(F.lit(prefix), "path")).otherwise(F.col("path")).alias("path")
+    baseline = files.select(renamed(17, "/old"), "size", at.alias("mtime"))
+    later = F.when(n % 5 == 0, at + F.expr("INTERVAL 1 SECOND")).otherwise(at)
+    current = files.select(renamed(13, "/new"), (F.col("size") + F.when(n % 7 == 0, 1).otherwise(0)).alias("size"), later.alias("mtime"))
+    return current, baseline
+
+
+def listing_changes(spark, sf):
+    """What a scan decides from two listings, before any content is read."""
+    return listing.changes(*_listings(spark, sf)).select("path", "size", _when_text("mtime"), "change")
+
+
+def listing_to_read(spark, sf):
+    return listing.to_read(*_listings(spark, sf)).select("path", "size", _when_text("mtime"))
+
+
 def content_hash_dups(spark, sf):
     return integrity.repeated_contents(content_hashes(plain_files(spark, sf)))
 

@@ -91,6 +91,18 @@ def stream_audit_rolling(spark, sf):
     return read("day").unionByName(read("week"))
 
 
+def stream_progress(spark, sf):
+    """Files and threats that the progress rows of a run report, over all its batches of one arrival each."""
+    work = shared_folder(spark)
+    cp.corpus(spark, sf).select("path", "content", "size", "mtime").repartition(4).write.parquet(f"{work}/arrivals")
+    analysed = scan_streaming.scan_stream(scan_streaming.read_arrivals(spark, f"{work}/arrivals", 1))
+    scan_streaming.write_scan_results(
+        analysed, f"{work}/results", f"{work}/checkpoint", progress_path=f"{work}/progress"
+    ).awaitTermination()
+    rows = scan_streaming.read_progress(spark, f"{work}/progress")
+    return rows.groupBy("run").agg(F.sum("files").alias("files"), F.sum("threats").alias("threats"))
+
+
 def stream_skip_seen(spark, sf):
     """Every document arrives twice, in two batches, with modification times that go backwards; each is reported once."""
     work = shared_folder(spark)
@@ -138,6 +150,7 @@ def stream_queries():
         "stream_audit_hours": stream_audit_hours,
         "stream_audit_rolling": stream_audit_rolling,
         "stream_skip_seen": stream_skip_seen,
+        "stream_progress": stream_progress,
         "rolling_audit_day": rolling_audit_day,
         "stream_admission": stream_admission,
     }

@@ -79,17 +79,17 @@ def _depth_windows(roots: Iterable[str], max_depth: int | None) -> list[tuple[st
     return windows
 
 
-def read_tree(spark: SparkSession, settings: ScanSettings) -> DataFrame:
-    """Files below the scan paths as a `files` table, each path once.
+def tree_scans(spark: SparkSession, settings: ScanSettings) -> list[DataFrame]:
+    """One scan per root over disjoint files.
 
     The predicates are on the file metadata columns, so files that fail them are
     dropped from the listing and never opened. Paths are unique by construction
-    (no de-duplication shuffle). Files that vanish or cannot be read are skipped.
+    (no de-duplication shuffle).
     """
     if not settings.scan_paths:
         raise ValueError("no scan paths")
     path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
-    trees = [
+    return [
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("ignoreMissingFiles", True)
@@ -100,7 +100,15 @@ def read_tree(spark: SparkSession, settings: ScanSettings) -> DataFrame:
         )
         for root, above, deepest in _depth_windows(settings.scan_paths, settings.max_depth)
     ]
-    return reduce(DataFrame.unionByName, trees).select(
+
+
+def read_tree(spark: SparkSession, settings: ScanSettings) -> DataFrame:
+    """Files below the scan paths as a `files` table, each path once.
+
+    Files that vanish or cannot be read are skipped; `listing.read_listed` reports them, and files that no row can
+    hold, as rows.
+    """
+    return reduce(DataFrame.unionByName, tree_scans(spark, settings)).select(
         "path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
     )
 

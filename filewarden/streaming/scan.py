@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,21 +50,46 @@ def skip_seen(analysed: DataFrame, horizon: str = "7 days") -> DataFrame:
 
 
 SEEN = "path STRING, file_hash STRING"
+PROGRESS = "run STRING, batch BIGINT, files BIGINT, threats BIGINT, seconds DOUBLE"
+OUT_OF_TIME = "the time budget of the run is used up"
+
+
+class Budget:
+    """Seconds that a run may take; asked between batches only."""
+
+    def __init__(self, seconds: float):
+        self.end = time.monotonic() + seconds
+
+    def check(self) -> None:
+        if time.monotonic() >= self.end:
+            raise TimeoutError(OUT_OF_TIME)
 
 
 def write_scan_results(
-    analysed: DataFrame, results_path: str, checkpoint: str, run: str = "stream", seen_path: str | None = None
+    analysed: DataFrame,
+    results_path: str,
+    checkpoint: str,
+    run: str = "stream",
+    seen_path: str | None = None,
+    progress_path: str | None = None,
+    budget: Budget | None = None,
 ) -> StreamingQuery:
     """Write threat rows batch by batch and stop when everything that had arrived is scanned.
 
     Each batch owns a folder below `run`, so a batch replayed after a failure replaces its own rows. A new checkpoint
     needs a new `run` name. Rows are dated with the time at which their batch began. With `seen_path`, files whose
     (path, hash) an earlier batch stored there are skipped by an anti join, and a batch adds its own.
+
+    With `progress_path`, every finished batch leaves one row there, counted while its rows pass by. With a `budget`, a
+    batch that would begin too late does not begin: the query ends there, and the next run with this checkpoint starts
+    with that batch, whole.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, own = batch.sparkSession, f"run={run}/batch={batch_id}"
-        began = F.lit(datetime.now(UTC)).cast("timestamp")
+        if budget is not None:
+            budget.check()
+        at, began = time.monotonic(), F.lit(datetime.now(UTC)).cast("timestamp")
         if seen_path is not None:
             batch = batch.persist()
             batch.limit(0).select("path", "file_hash").write.mode("append").parquet(seen_path)
@@ -71,10 +98,18 @@ def write_scan_results(
             fresh = batch.join(earlier, ["path", "file_hash"], "left_anti").select(*batch.columns)
         else:
             fresh = batch
+        counted = Observation()
+        fresh = fresh.observe(
+            counted, F.count("*").alias("files"), F.coalesce(F.sum(F.size("threats")), F.lit(0)).cast("bigint").alias("threats")
+        )
         scan_results(fresh, f"{run}_{batch_id}", began).write.mode("overwrite").parquet(f"{results_path}/{own}")
         if seen_path is not None:
             batch.select("path", "file_hash").write.mode("overwrite").parquet(f"{seen_path}/{own}")
             batch.unpersist()
+        if progress_path is not None:
+            done = counted.get
+            row = (run, batch_id, done["files"], done["threats"], time.monotonic() - at)
+            spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{progress_path}/{own}")
 
     return (
         analysed.writeStream.foreachBatch(write)
@@ -102,9 +137,17 @@ def stream_progress(query: StreamingQuery) -> list[dict]:
     ]
 
 
-def run_within(query: StreamingQuery, seconds: float) -> str:
-    """Wait for a run for at most `seconds`; `completed`, or `partial` if the budget ended it."""
-    if query.awaitTermination(seconds):
-        return "completed"
-    query.stop()
-    return "partial"
+def read_progress(spark: SparkSession, progress_path: str) -> DataFrame:
+    """One row per finished batch of all runs."""
+    return spark.read.schema(PROGRESS).parquet(progress_path)
+
+
+def run_within(query: StreamingQuery) -> str:
+    """Wait for a run; `completed`, or `partial` if its budget ended it between two batches."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as stopped:
+        if OUT_OF_TIME not in str(stopped):
+            raise
+        return "partial"
+    return "completed"

@@ -24,7 +24,7 @@ def test_scan_stream_equals_batch_and_resumes(spark, make_files, tmp_path):
     arrivals(make_files, src, CONTENTS)
     analysed = stream_scan.scan_stream(stream_scan.read_arrivals(spark, src))
     query = stream_scan.write_scan_results(analysed, out, ck)
-    assert stream_scan.run_within(query, 120) == "completed"
+    assert stream_scan.run_within(query) == "completed"
     assert stream_scan.stream_progress(query)[0]["input_rows"] == 3
     batch = scan.threats(scan.analyse(make_files(CONTENTS))).select("path", "type").collect()
     got = stream_scan.read_results(spark, out).select("file_path", "threat_type").collect()
@@ -110,3 +110,30 @@ def test_state_of_an_api_holds_one_window():
     live = stream_admission._Window(60, 3)
     assert [live.admit(s, 1) for s in (0, 10, 20, 30, 59, 60, 61, 70)] == [1, 1, 1, 0, 0, 1, 0, 1]
     assert live.admit(1000, 9) == 3 and live.live == {1000: 3}
+
+
+def test_a_budget_ends_between_batches(spark, make_files, tmp_path):
+    src, out, ck, progress = (str(tmp_path / n) for n in ("src", "out", "ck", "progress"))
+    for k in range(3):
+        arrivals(make_files, src, {f"/{k}.php": "coinhive"}, minutes=k)
+
+    class Two(stream_scan.Budget):
+        batches = 0
+
+        def check(self):
+            self.batches += 1
+            if self.batches > 2:
+                self.end = 0
+            super().check()
+
+    def start(budget):
+        analysed = stream_scan.scan_stream(stream_scan.read_arrivals(spark, src, 1))
+        return stream_scan.write_scan_results(analysed, out, ck, progress_path=progress, budget=budget)
+
+    assert stream_scan.run_within(start(Two(600))) == "partial"
+    assert stream_scan.read_progress(spark, progress).count() == 2
+    assert stream_scan.read_results(spark, out).select("file_path").distinct().count() == 2
+    assert stream_scan.run_within(start(stream_scan.Budget(600))) == "completed"
+    rows = stream_scan.read_progress(spark, progress).collect()
+    assert sorted((r["batch"], r["files"]) for r in rows) == [(0, 1), (1, 1), (2, 1)]
+    assert stream_scan.read_results(spark, out).select("file_path").distinct().count() == 3
