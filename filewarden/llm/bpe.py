@@ -52,19 +52,29 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def code_blocks(end: int = 0x110000, size: int = 4096) -> Iterator[str]:
+    """All characters below `end`, block by block, so that tables over them are built in little memory."""
+    for start in range(0, end, size):
+        block = "".join(chr(c) for c in range(start, min(end, start + size)) if not 0xD800 <= c < 0xE000)
+        if block:
+            yield block
+
+
 def char_ranges(kind: str, end: int) -> str:
     """The characters of a class below `end` as ranges, in the Unicode version of the tokenizers library."""
-    every = "".join(chr(c) for c in range(end) if not 0xD800 <= c < 0xE000)
-    spans = pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True).pre_tokenize_str(every)
-    return "".join(f"{s[0]}-{s[-1]}" for s, _ in spans)
+    split = pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True)
+    return "".join(f"{s[0]}-{s[-1]}" for block in code_blocks(end) for s, _ in split.pre_tokenize_str(block))
 
 
 @functools.lru_cache
 def lower_map() -> dict[int, str]:
     """The lower case of every character that has one, in the Unicode version of the tokenizers library."""
-    every = [chr(c) for c in range(0x110000) if c != 0x0A and not 0xD800 <= c < 0xE000]
-    lowered = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
-    return {ord(c): low for c, low in zip(every, lowered, strict=True) if c != low}
+    lower, found = normalizers.Lowercase(), {}
+    for block in code_blocks():
+        every = block.replace("\n", "")
+        lowered = lower.normalize_str("\n".join(every)).split("\n")
+        found.update({ord(c): low for c, low in zip(every, lowered, strict=True) if c != low})
+    return found
 
 
 @functools.lru_cache
@@ -89,8 +99,29 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     return max(reach.values(), default=0) + longest
 
 
+class Decoder:
+    """The byte-to-text state machine of a tokenizer file, without the tables that only encoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.texts = {i: s.encode() for s, i in (spec["model"]["vocab"] | special).items()}
+
+    def decode(self, ids: bytes, block: int = BLOCK_IDS) -> Iterator[str]:
+        """Text of the token strings with a blank between, block by block."""
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        texts, first = self.texts, True
+        for start in range(0, len(ids), 4 * block):
+            part = ids[start : start + 4 * block]
+            data = b" ".join(map(texts.__getitem__, struct.unpack(f"<{len(part) // 4}I", part)))
+            yield machine.decode(data if first else b" " + data)
+            first = False
+        yield machine.decode(b"", True)
+
+
 class Transducer:
-    """Encoder and decoder of one tokenizer file. `window`: symbols of a long piece held at once."""
+    """Encoder of one tokenizer file. `window`: symbols of a long piece held at once."""
 
     def __init__(self, path: str, window: int = WINDOW):
         with open(path, encoding="utf-8") as file:
@@ -113,7 +144,6 @@ class Transducer:
         self.runs = regex.compile(f"[^{SPACE}]+")
         self.symbols = [vocab[s] for s in byte_symbols()]
         self.ends = [vocab[s + WORD_END] for s in byte_symbols()]
-        self.texts = {i: s.encode() for s, i in (vocab | self.special).items()}
         self.of_run: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -218,23 +248,17 @@ class Transducer:
                         known[run] = ids
                 yield ids
 
-    def decode(self, ids: bytes, block: int = BLOCK_IDS) -> Iterator[str]:
-        """Text of the token strings with a blank between, block by block."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        texts, first = self.texts, True
-        for start in range(0, len(ids), 4 * block):
-            part = ids[start : start + 4 * block]
-            data = b" ".join(map(texts.__getitem__, struct.unpack(f"<{len(part) // 4}I", part)))
-            yield machine.decode(data if first else b" " + data)
-            first = False
-        yield machine.decode(b"", True)
-
 
 @functools.lru_cache(maxsize=2)
 def transducer(path: str, window: int = WINDOW) -> Transducer:
     return Transducer(path, window)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder_of(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, of_value) -> DataFrame:
     """`df` with the column `target` computed from `source` by `of_value`, batch by batch."""
     names = [c for c in df.columns if c != target]
@@ -267,7 +291,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded",
     """`df` with the text of the ids: their token strings, joined by blanks."""
 
     def of_value():
-        decoder = transducer(path)
+        decoder = decoder_of(path)
         return lambda v: "".join(decoder.decode(v.as_py() or b"", block))
 
     return _mapped(df, ids, decoded, T.StringType(), of_value)
