@@ -260,7 +260,7 @@ def decoder_of(path: str) -> Decoder:
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, of_value) -> DataFrame:
-    """`df` with the column `target` computed from `source` by `of_value`, batch by batch."""
+    """`df` with the column `target` computed from `source`, batch by batch; `of_value` gives the function and what ends it."""
     names = [c for c in df.columns if c != target]
     fields = [f for f in df.schema.fields if f.name != target]
     if len(names) != len(set(names)):
@@ -268,11 +268,12 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, of_value)
     arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
     def run(batches):
-        convert = of_value()
+        convert, close = of_value()
         for batch in batches:
             values = pa.array([convert(v) for v in batch.column(batch.schema.names.index(source))], arrow)
             columns = [batch.column(batch.schema.names.index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, values], names=[*names, target])
+        close()
 
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(target, kind)]))
 
@@ -282,7 +283,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", windo
 
     def of_value():
         encoder = transducer(path, window)
-        return lambda v: b"".join(encoder.encode(v.as_py() or ""))
+        # A worker outlives its task: what it remembers of runs must not weigh on the stages after it.
+        return lambda v: b"".join(encoder.encode(v.as_py() or "")), encoder.of_run.clear
 
     return _mapped(df, text, ids, T.BinaryType(), of_value)
 
@@ -292,6 +294,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded",
 
     def of_value():
         decoder = decoder_of(path)
-        return lambda v: "".join(decoder.decode(v.as_py() or b"", block))
+        return lambda v: "".join(decoder.decode(v.as_py() or b"", block)), lambda: None
 
     return _mapped(df, ids, decoded, T.StringType(), of_value)

@@ -120,6 +120,7 @@ def packed_sets(docs: DataFrame, slices: int, n: int) -> DataFrame:
                     chunk, ids, sets, held = chunk + 1, [], [], 0
         if ids:
             yield flush(chunk, ids, sets)
+        _HASHES.clear()  # a worker outlives its task
 
     return docs.mapInArrow(run, SENT)
 
