@@ -22,20 +22,20 @@ def recommendations(sites: DataFrame, latest_version: Column) -> DataFrame:
     rules = F.array(
         rule(
             ~F.coalesce("disallow_file_edit", F.lit(False)),
-            "Disable File Editing",
-            F.lit("Set DISALLOW_FILE_EDIT to true so that files cannot be edited through the admin panel."),
+            "Built-in file editor is on",
+            F.lit("DISALLOW_FILE_EDIT is not true: whoever gets hold of an administrator session can change code on this site."),
             "high",
         ),
         rule(
             F.coalesce("debug", F.lit(True)),
-            "Disable Debug Mode",
-            F.lit("Set WP_DEBUG to false in production to prevent information disclosure."),
+            "Debug output is on",
+            F.lit("WP_DEBUG is not false: visitors may get to see file paths, queries and error texts."),
             "medium",
         ),
         rule(
             F.coalesce(version_key(F.col("version")) < version_key(latest_version), F.lit(False)),
-            "Update WordPress",
-            F.format_string("WordPress %s is available. Current version: %s", latest_version, "version"),
+            "Core is behind",
+            F.format_string("The site runs core %s; the newest release is %s.", "version", latest_version),
             "high",
         ),
     )

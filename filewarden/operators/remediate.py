@@ -213,50 +213,50 @@ def _alerts(rows: DataFrame, subject: str, lines: list[Column], settings: ScanSe
     shown = rows if settings.alerts_enabled else rows.filter(F.lit(False))
     return shown.select(
         F.lit(settings.notification_email).alias("recipient"),
-        F.lit(f"[{settings.site_name}] Security Alert: {subject}").alias("subject"),
-        F.concat_ws("\n", *lines, F.lit(""), F.lit(f"Dashboard: {settings.dashboard_url}")).alias("body"),
+        F.lit(f"[{settings.site_name}] filewarden: {subject}").alias("subject"),
+        F.concat_ws("\n", *lines, F.lit(""), F.lit(f"See {settings.dashboard_url}")).alias("body"),
     )
 
 
 def _time_line(at: datetime) -> Column:
-    return F.concat(F.lit("Time: "), F.date_format(as_timestamp(at), "yyyy-MM-dd HH:mm:ss"))
+    return F.concat(F.lit("At = "), F.date_format(as_timestamp(at), "yyyy-MM-dd HH:mm:ss"))
 
 
 def quarantine_alerts(quarantined: DataFrame, at: datetime, settings: ScanSettings) -> DataFrame:
     """One alert per quarantined file, if alerts are enabled."""
     lines = [
-        F.lit("A potentially malicious file was moved to quarantine and replaced by a placeholder."),
+        F.lit("One file was taken out of service. Its content is stored in the quarantine table."),
         F.lit(""),
-        F.concat(F.lit("File: "), F.col("file_path")),
-        F.concat(F.lit("Reason: "), F.col("quarantine_reason")),
+        F.concat(F.lit("Path = "), F.col("file_path")),
+        F.concat(F.lit("Cause = "), F.col("quarantine_reason")),
         _time_line(at),
     ]
-    return _alerts(quarantined, "File Quarantined", lines, settings)
+    return _alerts(quarantined, "file locked away", lines, settings)
 
 
 def cleaning_alerts(cleaned: DataFrame, pattern_count: int, at: datetime, settings: ScanSettings) -> DataFrame:
     """One alert per cleaned file, if alerts are enabled."""
     lines = [
-        F.lit("Malicious code was removed from a file. A backup of the original was kept."),
+        F.lit("Matches of the given patterns were cut out of one file. Its former content is stored as a backup."),
         F.lit(""),
-        F.concat(F.lit("File: "), F.col("path")),
-        F.lit(f"Threats Removed: {pattern_count}"),
+        F.concat(F.lit("Path = "), F.col("path")),
+        F.lit(f"Patterns applied = {pattern_count}"),
         _time_line(at),
     ]
-    return _alerts(cleaned.filter(F.col("outcome") == OK), "File Cleaned", lines, settings)
+    return _alerts(cleaned.filter(F.col("outcome") == OK), "code cut out of a file", lines, settings)
 
 
 def scan_alerts(outcomes: DataFrame, at: datetime, settings: ScanSettings) -> DataFrame:
     """One alert per scan that found threats, if alerts are enabled."""
     lines = [
-        F.lit("A scheduled scan found potential threats."),
+        F.lit("The timed scan ended with findings."),
         F.lit(""),
-        F.concat(F.lit("Total Files Scanned: "), F.col("total_files").cast("string")),
-        F.concat(F.lit("Threats Found: "), F.col("threats_found").cast("string")),
-        F.concat(F.lit("Scan ID: "), F.col("scan_id")),
+        F.concat(F.lit("Files read = "), F.col("total_files").cast("string")),
+        F.concat(F.lit("Findings = "), F.col("threats_found").cast("string")),
+        F.concat(F.lit("Scan = "), F.col("scan_id")),
         _time_line(at),
     ]
-    return _alerts(outcomes.filter("threats_found > 0"), "Scheduled Scan Results", lines, settings)
+    return _alerts(outcomes.filter("threats_found > 0"), "scan with findings", lines, settings)
 
 
 def status_updates(resolved: DataFrame, quarantined: DataFrame, at: datetime) -> DataFrame:

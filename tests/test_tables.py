@@ -233,7 +233,7 @@ def test_version_order(spark, older, newer):
 def test_posture(spark):
     sites = spark.createDataFrame([("ok", True, False, "6.10"), ("bad", None, None, "6.9"), ("dbg", True, True, "6.10")], schema.SITES)
     got = {(r["site"], r["title"]) for r in posture.recommendations(sites, F.lit("6.10")).collect()}
-    assert got == {("bad", "Disable File Editing"), ("bad", "Disable Debug Mode"), ("bad", "Update WordPress"), ("dbg", "Disable Debug Mode")}
+    assert got == {("bad", "Built-in file editor is on"), ("bad", "Debug output is on"), ("bad", "Core is behind"), ("dbg", "Debug output is on")}
 
 
 def test_hidden_key_stays_out_of_plans(spark):
