@@ -194,13 +194,17 @@ def top_event_types(log: DataFrame, limit: int = TOP_EVENT_TYPES) -> DataFrame:
 def retain_audit(log: DataFrame, as_of: datetime, days: int = AUDIT_KEEP_DAYS) -> DataFrame:
     """Drop rows older than `days`; if any were dropped, add one `audit_cleanup` row with their number."""
     old = F.col("created_at") < days_before(as_of, days)
-    deleted = log.filter(old).agg(F.count("*").alias("deleted")).filter("deleted > 0")
-    cleanup = audit_events(
-        deleted,
+    cleanup = cleanup_event(log.filter(old).agg(F.count("*").alias("deleted")), as_of)
+    return log.filter(~old).unionByName(cleanup, allowMissingColumns=True)
+
+
+def cleanup_event(counted: DataFrame, as_of: datetime) -> DataFrame:
+    """The `audit_cleanup` row for a number of dropped rows (`deleted`), none for zero."""
+    return audit_events(
+        counted.filter("deleted > 0"),
         F.lit("audit_cleanup"),
         F.format_string("Cleaned up %d old audit log entries", "deleted"),
         F.lit("info"),
         None,
         as_timestamp(as_of),
     )
-    return log.filter(~old).unionByName(cleanup, allowMissingColumns=True)

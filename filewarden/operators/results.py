@@ -93,11 +93,17 @@ def update_status(results: DataFrame, updates: DataFrame) -> DataFrame:
 
 def retain_results(results: DataFrame, as_of: datetime) -> DataFrame:
     """Drop ignored threats older than 30 days (exactly 30 days old stays)."""
-    expired = (F.col("detected_at") < days_before(as_of, IGNORED_DAYS)) & (F.col("status") == "ignored")
-    return results.filter(~expired)
+    return results.filter(~expired_result(as_of))
+
+
+def expired_result(as_of: datetime) -> Column:
+    return (F.col("detected_at") < days_before(as_of, IGNORED_DAYS)) & (F.col("status") == "ignored")
 
 
 def retain_quarantine(quarantine: DataFrame, as_of: datetime) -> DataFrame:
     """Drop restored quarantine rows older than 90 days."""
-    expired = (F.col("quarantined_at") < days_before(as_of, RESTORED_DAYS)) & F.col("restored_at").isNotNull()
-    return quarantine.filter(~expired)
+    return quarantine.filter(~expired_quarantine(as_of))
+
+
+def expired_quarantine(as_of: datetime) -> Column:
+    return (F.col("quarantined_at") < days_before(as_of, RESTORED_DAYS)) & F.col("restored_at").isNotNull()

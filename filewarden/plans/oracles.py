@@ -310,10 +310,10 @@ _BACKUP = (
 
 
 def _alert(subject: str, lines: list[str]) -> str:
-    body = " || chr(10) || ".join([*lines, "''", _s(f"Dashboard: {q.ALERTS.dashboard_url}")])
+    body = " || chr(10) || ".join([*lines, "''", _s(f"See {q.ALERTS.dashboard_url}")])
     return (
         f"{_s(q.ALERTS.notification_email)} AS recipient, "
-        f"{_s(f'[{q.ALERTS.site_name}] Security Alert: {subject}')} AS subject, {body} AS body"
+        f"{_s(f'[{q.ALERTS.site_name}] filewarden: {subject}')} AS subject, {body} AS body"
     )
 
 
@@ -552,13 +552,13 @@ UNION ALL SELECT id || 'x', NULL, 'threat_not_found' FROM results WHERE threat_s
 WHERE threat_severity = 'critical'""",
         "quarantine_alerts": f"""WITH {FLAGGED} SELECT """
         + _alert(
-            "File Quarantined",
+            "file locked away",
             [
-                _s("A potentially malicious file was moved to quarantine and replaced by a placeholder."),
+                _s("One file was taken out of service. Its content is stored in the quarantine table."),
                 "''",
-                "'File: ' || file_path",
-                "'Reason: ' || reason",
-                f"'Time: {_ACTION}'",
+                "'Path = ' || file_path",
+                "'Cause = ' || reason",
+                f"'At = {_ACTION}'",
             ],
         )
         + " FROM quarantined",
@@ -587,38 +587,38 @@ WHERE NOT (restored AND quarantined_at < TIMESTAMP '2024-04-05' - INTERVAL 90 DA
 WHERE status = 'active' AND file_path IN (SELECT path FROM cleaned WHERE result <> content)""",
         "clean_alerts": f"WITH {CLEANED} SELECT "
         + _alert(
-            "File Cleaned",
+            "code cut out of a file",
             [
-                _s("Malicious code was removed from a file. A backup of the original was kept."),
+                _s("Matches of the given patterns were cut out of one file. Its former content is stored as a backup."),
                 "''",
-                "'File: ' || path",
-                f"'Threats Removed: {len(q.CLEAN_PATTERNS)}'",
-                f"'Time: {_ACTION}'",
+                "'Path = ' || path",
+                f"'Patterns applied = {len(q.CLEAN_PATTERNS)}'",
+                f"'At = {_ACTION}'",
             ],
         )
         + " FROM cleaned WHERE result <> content",
         "scan_alerts": f"WITH {RESULTS}, s AS (SELECT scan_id, count(*) AS t, count(DISTINCT file_path) AS f FROM results GROUP BY 1) SELECT "
         + _alert(
-            "Scheduled Scan Results",
+            "scan with findings",
             [
-                _s("A scheduled scan found potential threats."),
+                _s("The timed scan ended with findings."),
                 "''",
-                "'Total Files Scanned: ' || f",
-                "'Threats Found: ' || t",
-                "'Scan ID: ' || scan_id",
-                f"'Time: {_ACTION}'",
+                "'Files read = ' || f",
+                "'Findings = ' || t",
+                "'Scan = ' || scan_id",
+                f"'At = {_ACTION}'",
             ],
         )
         + " FROM s",
         "posture_rules": f"""WITH s AS (SELECT c_name AS site, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 3 = 1 END AS no_edit,
   CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 5 = 1 END AS debug,
   concat_ws('.', c_custkey % 3 + 5, c_custkey % 12, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 4 END) AS version FROM customer)
-SELECT site, 'Disable File Editing' AS title,
-  'Set DISALLOW_FILE_EDIT to true so that files cannot be edited through the admin panel.' AS description, 'high' AS severity
+SELECT site, 'Built-in file editor is on' AS title,
+  'DISALLOW_FILE_EDIT is not true: whoever gets hold of an administrator session can change code on this site.' AS description, 'high' AS severity
 FROM s WHERE NOT COALESCE(no_edit, FALSE)
-UNION ALL SELECT site, 'Disable Debug Mode', 'Set WP_DEBUG to false in production to prevent information disclosure.', 'medium'
+UNION ALL SELECT site, 'Debug output is on', 'WP_DEBUG is not false: visitors may get to see file paths, queries and error texts.', 'medium'
 FROM s WHERE COALESCE(debug, TRUE)
-UNION ALL SELECT site, 'Update WordPress', 'WordPress {q.LATEST_VERSION} is available. Current version: ' || version, 'high'
+UNION ALL SELECT site, 'Core is behind', 'The site runs core ' || version || '; the newest release is {q.LATEST_VERSION}.', 'high'
 FROM s WHERE CAST(string_split(version, '.') AS BIGINT[]) < [{q.LATEST_VERSION.replace(".", ", ")}]::BIGINT[]""",
         "protect_roundtrip": "SELECT doc_id, TRUE AS is_encrypted, md5(text) AS text_md5, md5(text) AS plain_md5 FROM documents",
         "stream_scan": f'WITH {LOCAL}, {_ranked("local_threats")} SELECT path, rank, type, severity, confidence, line_number FROM ranked',
@@ -633,6 +633,10 @@ FROM h, range(24) AS r(k) GROUP BY ALL""",
     same = {
         "stored_results": "scan_results",
         "stored_quarantine": "quarantine_rows",
+        "rewritten_status": "status_update",
+        "rewritten_results": "retention_results",
+        "rewritten_quarantine": "retention_quarantine",
+        "rewritten_audit": "audit_retention",
         "partial_stats": "threat_stats",
         "partial_summary": "scan_summary",
         "partial_trend": "daily_trend",

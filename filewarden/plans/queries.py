@@ -416,8 +416,8 @@ def type_severity_rollup(spark, sf):
     return report.type_severity_rollup(results_table(spark, sf))
 
 
-def status_update(spark, sf):
-    table_ = stored(results_table(spark, sf))
+def status_changes(table_):
+    """Status changes of a third of the ids, and as many of ids that do not exist."""
     number = F.conv(F.substring("id", 1, 2), 16, 10).cast("int")
     changes = table_.select(
         "id",
@@ -425,7 +425,12 @@ def status_update(spark, sf):
         results.as_timestamp(ACTION_TIME).alias("updated_at"),
     ).filter(number % 3 == 0)
     unknown = changes.select(F.concat("id", F.lit("x")).alias("id"), "status", "updated_at")
-    return _results(results.update_status(table_, changes.unionByName(unknown)))
+    return changes.unionByName(unknown)
+
+
+def status_update(spark, sf):
+    table_ = stored(results_table(spark, sf))
+    return _results(results.update_status(table_, status_changes(table_)))
 
 
 def retention_results(spark, sf):

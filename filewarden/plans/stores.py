@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from filewarden import schema
 from filewarden.operators import partials
 from filewarden.plans import corpus as cp
 from filewarden.session import shared_folder, stored
-from filewarden.sources import sinks
+from filewarden.sources import rewrite, sinks
 
 RUNS = ("morning", "noon", "evening")
 
@@ -71,6 +73,55 @@ def exported_results(spark, sf):
     return back
 
 
+def rewritten_status(spark, sf):
+    """Status changes in a stored table, applied twice: touched folders are rewritten once."""
+    from filewarden.plans.queries import _results, status_changes
+
+    path, rows = f"{shared_folder(spark)}/results", stored(cp.results_table(spark, sf))
+    for run, part in _runs(rows, "id"):
+        sinks.append_scan_results(part, path, run)
+    for _ in range(2):
+        rewrite.set_status(spark, path, schema.SCAN_RESULTS, status_changes(rows))
+    return _results(_read(spark, schema.SCAN_RESULTS, path))
+
+
+def rewritten_results(spark, sf):
+    """Retention of a stored results table, run twice."""
+    from filewarden.plans.queries import _results
+
+    path, rows = f"{shared_folder(spark)}/results", stored(cp.results_table(spark, sf))
+    for run, part in _runs(rows, "id"):
+        sinks.append_scan_results(part, path, run)
+    for _ in range(2):
+        rewrite.expire_results(spark, path, schema.SCAN_RESULTS, datetime(2024, 2, 14))
+    return _results(_read(spark, schema.SCAN_RESULTS, path))
+
+
+def rewritten_quarantine(spark, sf):
+    """Retention of a stored quarantine table; folders without rows left are gone."""
+    from filewarden.plans.queries import _quarantine_table, _when_text
+
+    path, rows = f"{shared_folder(spark)}/quarantine", stored(_quarantine_table(spark, sf))
+    for run, part in _runs(rows, "id"):
+        sinks.append_quarantine(part, path, run)
+    for _ in range(2):
+        rewrite.expire_quarantine(spark, path, schema.QUARANTINE, datetime(2024, 4, 5))
+    return _read(spark, schema.QUARANTINE, path).select("id", "file_path", _when_text("quarantined_at"))
+
+
+def rewritten_audit(spark, sf):
+    """Retention of a stored audit log, run twice: one row with the number of dropped rows."""
+    from filewarden.plans.queries import _when_text
+
+    path, rows = f"{shared_folder(spark)}/audit", stored(cp.audit_table(spark, sf))
+    for run, part in _runs(rows, "id"):
+        sinks.append_audit(part, path, run)
+    for _ in range(2):
+        rewrite.expire_audit(spark, path, schema.AUDIT_LOG, datetime(2024, 1, 25), days=10)
+    kept = _read(spark, schema.AUDIT_LOG, path)
+    return kept.select("event_type", "description", "severity", "user_id", _when_text("created_at"))
+
+
 def _partials(spark, sf):
     folder = f"{shared_folder(spark)}/partials"
     runs = _runs(stored(cp.results_table(spark, sf)), "id")
@@ -104,6 +155,10 @@ def store_queries():
         "stored_audit": stored_audit,
         "stored_quarantine": stored_quarantine,
         "exported_results": exported_results,
+        "rewritten_status": rewritten_status,
+        "rewritten_results": rewritten_results,
+        "rewritten_quarantine": rewritten_quarantine,
+        "rewritten_audit": rewritten_audit,
         "partial_stats": partial_stats,
         "partial_summary": partial_summary,
         "partial_trend": partial_trend,

@@ -3,17 +3,24 @@ repeated run replaces its own rows only."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EXPORT_FORMATS = ("csv", "json", "parquet")
 
 
-def _write_run(rows: DataFrame, path: str, run: str, day: str, at: str) -> None:
-    """Writes the rows of one run to its own folder, by day; the same run again replaces them."""
+def run_folder(run: str) -> str:
+    """The folder of a run, escaped as Spark's own writer does it, so that both write to the same place."""
     if not run or any(c in run for c in "/=\\"):
         raise ValueError(f"{run!r} cannot name a run")
-    rows.withColumn(day, F.to_date(at)).write.mode("overwrite").partitionBy(day).parquet(f"{path}/run={run}")
+    return "run=" + re.sub(r"""[\x00-\x1f\x7f"#%'*:?{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", run)
+
+
+def _write_run(rows: DataFrame, path: str, run: str, day: str, at: str) -> None:
+    """Writes the rows of one run to its own folder, by day; the same run again replaces them."""
+    rows.withColumn(day, F.to_date(at)).write.mode("overwrite").partitionBy(day).parquet(f"{path}/{run_folder(run)}")
 
 
 def append_scan_results(results: DataFrame, path: str, run: str) -> None:

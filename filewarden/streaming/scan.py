@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from datetime import UTC, datetime
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -54,6 +54,22 @@ PROGRESS = "run STRING, batch BIGINT, files BIGINT, threats BIGINT, seconds DOUB
 OUT_OF_TIME = "the time budget of the run is used up"
 
 
+def hash_prefix() -> Column:
+    """The folder of a hash in the table of seen files: its first two digits, so 256 folders at most."""
+    return F.coalesce(F.substring("file_hash", 1, 2), F.lit(""))
+
+
+def seen_before(batch: DataFrame, seen_path: str) -> DataFrame:
+    """Rows of the table of seen files that can meet a batch: only folders of its hash prefixes are read.
+
+    The prefixes, 256 at most, are the only values that come to the driver.
+    """
+    spark = batch.sparkSession
+    needed = [r[0] for r in batch.select(hash_prefix()).distinct().collect()]
+    prefix = F.coalesce("prefix", F.lit(""))
+    return spark.read.schema(f"{SEEN}, run STRING, batch BIGINT, prefix STRING").parquet(seen_path).filter(prefix.isin(needed))
+
+
 class Budget:
     """Seconds that a run may take; asked between batches only."""
 
@@ -78,7 +94,8 @@ def write_scan_results(
 
     Each batch owns a folder below `run`, so a batch replayed after a failure replaces its own rows. A new checkpoint
     needs a new `run` name. Rows are dated with the time at which their batch began. With `seen_path`, files whose
-    (path, hash) an earlier batch stored there are skipped by an anti join, and a batch adds its own.
+    (path, hash) an earlier batch stored there are skipped by an anti join, and a batch adds its own, in folders by hash
+    prefix: a batch reads only the folders of its own prefixes.
 
     With `progress_path`, every finished batch leaves one row there, counted while its rows pass by. With a `budget`, a
     batch that would begin too late does not begin: the query ends there, and the next run with this checkpoint starts
@@ -93,8 +110,8 @@ def write_scan_results(
         if seen_path is not None:
             batch = batch.persist()
             batch.limit(0).select("path", "file_hash").write.mode("append").parquet(seen_path)
-            stored = spark.read.schema(f"{SEEN}, run STRING, batch BIGINT").parquet(seen_path)
-            earlier = stored.filter((F.col("run") != run) | (F.col("batch") != batch_id)).select("path", "file_hash")
+            other = (F.col("run") != run) | (F.col("batch") != batch_id)
+            earlier = seen_before(batch, seen_path).filter(other).select("path", "file_hash")
             fresh = batch.join(earlier, ["path", "file_hash"], "left_anti").select(*batch.columns)
         else:
             fresh = batch
@@ -104,7 +121,8 @@ def write_scan_results(
         )
         scan_results(fresh, f"{run}_{batch_id}", began).write.mode("overwrite").parquet(f"{results_path}/{own}")
         if seen_path is not None:
-            batch.select("path", "file_hash").write.mode("overwrite").parquet(f"{seen_path}/{own}")
+            keys = batch.select("path", "file_hash", hash_prefix().alias("prefix")).repartition("prefix")
+            keys.write.mode("overwrite").partitionBy("prefix").parquet(f"{seen_path}/{own}")
             batch.unpersist()
         if progress_path is not None:
             done = counted.get
