@@ -1,7 +1,9 @@
 """Web archives: writing, reading, and resolving records of equal payloads to revisits.
 
 Writing. Spark's text writer ends every record with the two line ends of the format, so an archive is a gzip file of
-records, written and committed like any other table, on any file system. Files hold at most `RECORDS` records.
+records, written and committed like any other table, on any file system. Pages of one size class share files: a file
+holds at most `RECORDS` records of the smallest class, a quarter as many of each next one with four times the size, and
+so never more than about `FILE_BYTES` of payload, or a single record.
 
 Resolving. Archives are read back as whole files of bounded size; headers alone (place, page, digest, length) are
 shuffled by digest. Among records of one digest and at least `LEAST` bytes, the one with the largest page id (then
@@ -26,7 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filewarden.session import stored
+
 RECORDS = 2000
+FILE_BYTES = 64 << 20
+CLASSES = 9  # the last one holds the longest text there is
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
 # Lines of the format.
@@ -58,14 +64,20 @@ def header_lines(kind: str, page: Column, url: Column, digest: Column, more: Col
     )
 
 
-def write_archives(records: DataFrame, folder: str) -> None:
-    """Writes `records` (record: a header and its block) as gzip archives."""
+def size_class(payload: Column) -> Column:
+    """How many times the largest payload of class 0 has to be multiplied by four to hold this one."""
+    size = F.octet_length(payload)
+    return sum(((size > (FILE_BYTES // RECORDS) * 4**k).cast("int") for k in range(CLASSES - 1)), F.lit(0))
+
+
+def write_archives(records: DataFrame, folder: str, kind: int = 0) -> None:
+    """Writes `records` (record: a header and its block) of one size class as gzip archives."""
     (
         records.select("record")
         .write.option("lineSep", END)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS)
-        .text(folder)
+        .option("maxRecordsPerFile", max(1, RECORDS >> (2 * kind)))
+        .text(f"{folder}/class={kind}")
     )
 
 
@@ -197,7 +209,13 @@ def _fresh(head: dict[str, str], payload: bytes, revisit: dict | None) -> str:
 def archive(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Writes `pages` to `folder`/full and the deduplicated archives to `folder`/dedup; the headers of the latter."""
     spark = pages.sparkSession
-    write_archives(page_records(pages), f"{folder}/full")
+    kind = size_class(F.coalesce("html", F.lit("")))
+    kinds = sorted(r[0] for r in pages.select(kind).distinct().collect()) or [0]
+    for k in kinds:
+        write_archives(page_records(pages if len(kinds) == 1 else pages.filter(kind == k)), f"{folder}/full", k)
     revisits = resolve(read_headers(spark, f"{folder}/full"), least)
-    write_archives(deduplicated(spark, f"{folder}/full", revisits), f"{folder}/dedup")
+    if len(kinds) > 1:
+        revisits = stored(revisits)
+    for k in kinds:
+        write_archives(deduplicated(spark, f"{folder}/full/class={k}", revisits), f"{folder}/dedup", k)
     return read_headers(spark, f"{folder}/dedup")
