@@ -416,7 +416,7 @@ def type_severity_rollup(spark, sf):
     return report.type_severity_rollup(results_table(spark, sf))
 
 
-def status_changes(table_):
+def _status_changes(table_):
     """Status changes of a third of the ids, and as many of ids that do not exist."""
     number = F.conv(F.substring("id", 1, 2), 16, 10).cast("int")
     changes = table_.select(
@@ -430,7 +430,7 @@ def status_changes(table_):
 
 def status_update(spark, sf):
     table_ = stored(results_table(spark, sf))
-    return _results(results.update_status(table_, status_changes(table_)))
+    return _results(results.update_status(table_, _status_changes(table_)))
 
 
 def retention_results(spark, sf):

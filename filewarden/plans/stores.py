@@ -75,13 +75,13 @@ def exported_results(spark, sf):
 
 def rewritten_status(spark, sf):
     """Status changes in a stored table, applied twice: touched folders are rewritten once."""
-    from filewarden.plans.queries import _results, status_changes
+    from filewarden.plans.queries import _results, _status_changes
 
     path, rows = f"{shared_folder(spark)}/results", stored(cp.results_table(spark, sf))
     for run, part in _runs(rows, "id"):
         sinks.append_scan_results(part, path, run)
     for _ in range(2):
-        rewrite.set_status(spark, path, schema.SCAN_RESULTS, status_changes(rows))
+        rewrite.set_status(spark, path, schema.SCAN_RESULTS, _status_changes(rows))
     return _results(_read(spark, schema.SCAN_RESULTS, path))
 
 

@@ -1,5 +1,6 @@
 """Plan shapes, skew handling, and the registered queries against SQL."""
 
+import inspect
 import os
 
 import pytest
@@ -117,6 +118,11 @@ def test_every_query_has_sql():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
+def test_every_query_takes_a_session_and_a_folder():
+    for query in entry_point.queries().values():
+        inspect.signature(query).bind(None, SF)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry_runs(spark):
     rows = entry_point.entry(spark).collect()
