@@ -534,7 +534,7 @@ def _merged_rules(spark, sf):
 
 def merged_rule_scan(spark, sf):
     """All orders and the corpus, scanned with user-made rules; the matches are read again by their place."""
-    files = _order_files(spark, sf).unionByName(corpus(spark, sf).select("path", "content"))
+    files = stored(_order_files(spark, sf).unionByName(corpus(spark, sf).select("path", "content")))
     found = rulebook.matched_bytes(files, rulebook.rule_matches(files, _merged_rules(spark, sf)))
     return found.select("path", "name", "severity", "match_length", F.sha2("evidence", 256).alias("evidence_hash"))
 

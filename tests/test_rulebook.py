@@ -81,3 +81,34 @@ def test_no_files_and_no_rules(spark, make_files):
     files = make_files({"/a": "text"})
     assert rulebook.rule_matches(files.limit(0), cat.default_catalogue(spark)).count() == 0
     assert rulebook.rule_matches(files, cat.default_catalogue(spark).limit(0)).count() == 0
+
+
+def test_words_that_stand_whole_in_every_match():
+    assert rulebook.framed_words("/item\\s+12;/i") == [(" ", "12", ";")]
+    assert rulebook.framed_words("/ A\\.b9 \\s?c;/") == [(" ", "a", "."), (".", "b9", " ")]
+    assert rulebook.framed_words("/item\\s*12;/") == rulebook.framed_words("/x|y 1;/") == rulebook.framed_words("/ab 12/") == []
+
+
+def test_framed_words_stand_in_every_match():
+    r, parts = random.Random(2), ["ab", "C1", ";", "\\.", "\\s", "\\s+", " ", "[x ]", "(a )", "f?", " +", ";{2}", "\\s*", "\\b"]
+    for _ in range(5000):
+        body = "".join(r.choices(parts, k=r.randint(1, 8)))
+        text = "".join(r.choices(["ab", "c1", "C1", ";", ".", " ", "\t", "\n", "x", "a "], k=30))
+        found, frames = re.search(body, text, re.I), rulebook.framed_words(f"/{body}/i")
+        for before, word, behind in frames if found else []:
+            held = re.findall(rulebook._word_regex([(before, behind)]).replace("\\x0B", "\\x0b"), text)
+            assert word in [w.lower() for w in held], (body, text)
+
+
+def test_more_rules_than_one_automaton_holds(spark, make_files, monkeypatch):
+    """Rules that meet files by a word, and blocks of rules that have none, find what one automaton finds."""
+    r = random.Random(3)
+    rules = [(f"w{i}", f"/item\\s+{i};/i") for i in range(60)] + [(f"n{i}", f"/item{i}/") for i in range(40)]
+    rules += [("any", "/x|y/"), ("end", "/item.*;$/"), ("class", "/[ab] 7;/"), ("two", "/ 7; item 8;/i")]
+    pick = lambda: r.choice(["Item {};", "item\t\n{};", "ITEM  {} ;", "xitem {};", "item{}", "({};", "Item {};Item {};", "\u00e9 {}; item 8;"])
+    files = make_files({f"/{i}": "\n".join(pick().replace("{}", str(r.randint(0, 70))) for _ in range(6)) for i in range(80)} | {"/empty": ""})
+    files = files.unionByName(files.limit(5)).unionByName(files.limit(1).withColumn("path", F.lit(None).cast("string")))
+    got = lambda: sorted(map(tuple, rulebook.rule_matches(files.select("path", "content"), rules_df(spark, rules)).collect()), key=str)
+    expected = got()
+    monkeypatch.setattr(rulebook, "MAX_RULES", 15)
+    assert got() == expected and len({row[2] for row in expected}) > 80
