@@ -45,20 +45,26 @@ def _with_trailing(seconds: DataFrame, value: str, window: int) -> DataFrame:
 
     The running window is cut into chunks of time: a second also travels to the
     next chunk if it lies within `window` of it, and is dropped there afterwards.
-    So one hot api spreads over many window partitions of bounded size.
+    So one hot api spreads over many window partitions of bounded size. A second
+    adds its value and takes it back one window later, so a running sum does: its
+    work grows with the seconds, not with the seconds times those of a window.
     """
     chunk_seconds = max(CHUNK_SECONDS, window)
-    chunk = F.floor(F.col("second") / chunk_seconds)
-    reaches_next = F.col("second") % chunk_seconds >= chunk_seconds - window + 1
-    spread = seconds.select(
-        "*",
-        chunk.alias("home"),
-        F.explode(F.when(reaches_next, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))).alias("chunk"),
+    second = F.col("second")
+    chunk = F.floor(second / chunk_seconds)
+    reaches_next = second % chunk_seconds >= chunk_seconds - window + 1
+    ends_in = F.floor((second + window) / chunk_seconds)
+    step = lambda of, at, change: F.struct(of.alias("chunk"), at.alias("at"), change.alias("change"))
+    steps = F.array(
+        step(chunk, second, F.col(value)),
+        F.when(reaches_next, step(chunk + 1, second, F.col(value))),
+        F.when(reaches_next | (ends_in == chunk), step(ends_in, second + window, -F.col(value))),
     )
-    frame = W.partitionBy("api", "chunk").orderBy("second").rangeBetween(-(window - 1), 0)
+    spread = seconds.select("*", chunk.alias("home"), F.explode(F.array_compact(steps)).alias("step")).select("*", "step.*")
+    frame = W.partitionBy("api", "chunk").orderBy("at").rangeBetween(W.unboundedPreceding, 0)
     return (
-        spread.withColumn("trailing", F.sum(value).over(frame))
-        .filter(F.col("home") == F.col("chunk"))
+        spread.withColumn("trailing", F.sum("change").over(frame))
+        .filter((F.col("home") == F.col("chunk")) & (F.col("at") == second))
         .select(*seconds.columns, "trailing")
     )
 
@@ -116,12 +122,17 @@ def _with_chain(seconds: DataFrame, window: int) -> DataFrame:
         F.array(F.when(offset < window - 1, chunk - 1), chunk, F.when(offset >= size - window + 1, chunk + 1))
     )
     spread = seconds.select("*", chunk.alias("home"), F.explode(near).alias("chunk"))
-    frame = W.partitionBy("api", "chunk").orderBy("second")
+    # The nearest over seconds on both sides, one running value each way; they count if they are less than a window away.
     over_at = F.when(F.col("over"), F.col("second"))
+    part, others = W.partitionBy("api", "chunk"), (W.unboundedPreceding, -1)
+    last = F.last(over_at, ignorenulls=True).over(part.orderBy("second").rowsBetween(*others))
+    following = F.last(over_at, ignorenulls=True).over(part.orderBy(F.desc("second")).rowsBetween(*others))
     linked = (
-        spread.withColumn("last_over", F.max(over_at).over(frame.rangeBetween(-(window - 1), -1)))
-        .withColumn("next_over", F.min(over_at).over(frame.rangeBetween(1, window - 1)))
+        spread.withColumn("last_over", last)
+        .withColumn("next_over", following)
         .filter(F.col("home") == F.col("chunk"))
+        .withColumn("last_over", F.when(F.col("last_over") > F.col("second") - window, F.col("last_over")))
+        .withColumn("next_over", F.when(F.col("next_over") < F.col("second") + window, F.col("next_over")))
     )
     target = F.when(F.col("over"), F.col("second")).otherwise(F.col("next_over"))
     opens = F.col("last_over").isNull() | (F.col("last_over") <= target - window)

@@ -116,3 +116,12 @@ def test_random_load_around_the_limit(spark):
             s += rng.randint(0, most)
             rows.append((api, s))
     assert decide(spark, rows, limits={"a": 9}, default=4) == model(rows, lambda api: 9 if api == "a" else 4, 60)
+
+
+def test_windows_do_not_cost_a_frame_per_second(spark):
+    """Sums and nearest seconds run along; a frame that slides reads a whole window of seconds for every second."""
+    rows = [("x", s) for s in range(0, 9000, 3)]
+    kw = {"limits": {}, "default": 2, "window": 3600}
+    plan = admission.admit(calls_df(spark, rows), **kw)._jdf.queryExecution().analyzed().toString().lower()
+    assert "windowframe" in plan and "rangeframe, -" not in plan and "rangeframe, 1" not in plan
+    assert decide(spark, rows, **kw) == model(rows, lambda _: 2, 3600)
