@@ -48,7 +48,8 @@ def rewrite(spark: SparkSession, path: str, like: StructType, day: str, altered:
     if not touched:
         return []
     new = stored(change(table.filter(_name(day).isin(touched))))
-    writer = new.repartition("run", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # Few files a folder, but a large folder is dealt to several tasks.
+    writer = new.hint("rebalance", F.col("run"), F.col(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("run", day).parquet(path)
     left = {r[0] for r in new.select(_name(day)).distinct().collect()}
     for name in touched:

@@ -95,3 +95,18 @@ def test_a_batch_reads_the_seen_folders_of_its_prefixes(spark, tmp_path):
     assert {r["prefix"] for r in found.collect()} == prefixes
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [coalesce(prefix" in plan
+
+
+def test_a_large_folder_is_rewritten_by_several_tasks(spark, table, tmp_path):
+    path, limits = str(tmp_path / "large"), {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    many = rows(spark, [(f"{i:05}" * 40, 1, "ignored" if i % 2 else "active") for i in range(4000)]).repartition(4)
+    sinks.append_scan_results(many, path, "one")
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        assert rewrite.expire_results(spark, path, schema.SCAN_RESULTS, datetime(2024, 3, 1)) == ["one/2024-01-01"]
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert len(files(path)) > 1
+    assert {row[3] for row in got(spark, path)} == {"active"} and len(got(spark, path)) == 2000
