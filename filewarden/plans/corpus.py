@@ -55,8 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(table_: DataFrame) -> DataFrame:
-    """The small supplied tables come in one file each: deal them to all cores. Not for large tables."""
-    return table_.repartition(table_.sparkSession.sparkContext.defaultParallelism)
+    """The small supplied tables come in one file each: deal them to all cores.
+
+    A table of as many files as there are cores is read in parallel as it is, and its texts are not shuffled. Other
+    tables get a task for each piece that their scan is read in, if those are more than the cores.
+    """
+    cores = table_.sparkSession.sparkContext.defaultParallelism
+    if len(table_.inputFiles()) >= cores:
+        return table_
+    return table_.repartition(max(cores, table_.rdd.getNumPartitions()))
 
 
 def pick(values: tuple[str, ...], number: Column) -> Column:
