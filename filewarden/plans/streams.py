@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from filewarden.streaming import admission as admission_streaming
 from filewarden.streaming import audit as audit_streaming
 from filewarden.streaming import scan as scan_streaming
 
+# Bytes of content in an arrival of `stream_progress`, and bytes in one of its row groups.
+ARRIVAL_BYTES = 256 * 1024 * 1024
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = cp.table(spark, sf_dir, "events")
@@ -93,8 +98,11 @@ def stream_audit_rolling(spark, sf):
 
 def stream_progress(spark, sf):
     """Files and threats that the progress rows of a run report, over all its batches of one arrival each."""
-    work = shared_folder(spark)
-    cp.corpus(spark, sf).select("path", "content", "size", "mtime").repartition(4).write.parquet(f"{work}/arrivals")
+    work, files = shared_folder(spark), cp.corpus(spark, sf).select("path", "content", "size", "mtime")
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    arrivals = files.repartition(max(4, ceil(total / ARRIVAL_BYTES)))
+    # Small row groups, so that one arrival is read by several tasks.
+    arrivals.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{work}/arrivals")
     analysed = scan_streaming.scan_stream(scan_streaming.read_arrivals(spark, f"{work}/arrivals", 1))
     scan_streaming.write_scan_results(
         analysed, f"{work}/results", f"{work}/checkpoint", progress_path=f"{work}/progress"
