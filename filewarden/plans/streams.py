@@ -117,9 +117,16 @@ def stream_skip_seen(spark, sf):
     files = cp.corpus(spark, sf).select("path", "content", "size", F.timestamp_seconds(-F.col("file_no")).alias("mtime"))
     for part in ("first", "second"):
         files.write.mode("append").parquet(f"{work}/arrivals")
-        analysed = scan_streaming.scan_stream(scan_streaming.read_arrivals(spark, f"{work}/arrivals"))
+        # Hashes decide what is scanned: content that was seen is neither read again nor scanned.
+        unseen = scan_streaming.skip_seen(scan_streaming.hashed(scan_streaming.read_arrivals(spark, f"{work}/arrivals")))
         scan_streaming.write_scan_results(
-            scan_streaming.skip_seen(analysed), f"{work}/results", f"{work}/checkpoint_{part}", part, f"{work}/seen"
+            unseen,
+            f"{work}/results",
+            f"{work}/checkpoint_{part}",
+            part,
+            f"{work}/seen",
+            arrivals_path=f"{work}/arrivals",
+            scan=scan_streaming.scan_stream,
         ).awaitTermination()
     return scan_streaming.read_results(spark, f"{work}/results").select(
         "file_path", "file_hash", "threat_type", "threat_severity"

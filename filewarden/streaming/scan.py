@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType
 
 from filewarden.operators.scan import analyse, scan_results
+from filewarden.schema import THREAT
+from filewarden.session import broadcast_if_small, stored
 from filewarden.settings import ScanSettings
 from filewarden.sources.catalogue import Rule
 
+ARRIVALS = "path STRING, content BINARY, size BIGINT, mtime TIMESTAMP"
+
 
 def read_arrivals(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming `files` table over a folder of Parquet files with columns path, content, size, mtime.
@@ -22,8 +27,7 @@ def read_arrivals(spark: SparkSession, path: str, max_files_per_trigger: int | N
     `max_files_per_trigger` bounds the work of one micro-batch: a time budget ends
     between batches, and what is left stays for the next run.
     """
-    schema = "path STRING, content BINARY, size BIGINT, mtime TIMESTAMP"
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(ARRIVALS)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(path)
@@ -38,12 +42,42 @@ def scan_stream(
     return analyse(arrivals, signatures, settings)
 
 
+def hashed(arrivals: DataFrame) -> DataFrame:
+    """(path, file_hash) of each readable arrival and its place, a row of an arrived Parquet file, not yet scanned."""
+    place = [F.col("_metadata.file_path").alias("arrival"), F.col("_metadata.row_index").alias("row")]
+    return arrivals.filter(F.col("content").isNotNull()).select("path", F.sha2("content", 256).alias("file_hash"), *place)
+
+
+def place_bitmaps(places: DataFrame) -> DataFrame:
+    """The rows of each arrived Parquet file as bitmaps (`arrival`, `bucket`, `bits`): one bit for a place of :func:`hashed`."""
+    number = F.col("row") + 1  # buckets begin with 1
+    bucket = F.bitmap_bucket_number(number).alias("bucket")
+    return places.groupBy("arrival", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+
+
+def arrivals_at(bitmaps: DataFrame, path: str) -> DataFrame:
+    """`files` rows with content at the places of `bitmaps`, from the folder of :func:`read_arrivals`.
+
+    Other Parquet files are not opened. The names of those needed come to the driver, which lists the folder anyway.
+    Bitmaps measured to be small are broadcast, so content stays out of the shuffle.
+    """
+    names = [r[0] for r in bitmaps.select("arrival").distinct().collect()]
+    number = F.col("_metadata.row_index") + 1
+    files = bitmaps.sparkSession.read.schema(ARRIVALS).parquet(path).filter(F.col("_metadata.file_path").isin(names))
+    at = {"arrival": F.col("_metadata.file_path"), "bucket": F.bitmap_bucket_number(number), "__bit": F.bitmap_bit_position(number)}
+    numbered = files.select("*", *[column.alias(name) for name, column in at.items()])
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1
+    return numbered.join(broadcast_if_small(bitmaps), ["arrival", "bucket"]).filter(marked).select(*files.columns)
+
+
 def skip_seen(analysed: DataFrame, horizon: str = "7 days") -> DataFrame:
     """Keep the first arrival of each (path, hash) within the horizon.
 
     Event time is the time of arrival, the same for a whole micro-batch: no file is late, whatever its modification
-    time says. Runs on analysed rows: content has been dropped, so state and shuffle hold only narrow rows, and the
-    watermark bounds the state. What was seen longer ago is left to the stored table of :func:`write_scan_results`.
+    time says. Runs on analysed or :func:`hashed` rows: content has been dropped, so state and shuffle hold only narrow
+    rows, and the watermark bounds the state. What was seen longer ago is left to the stored table of
+    :func:`write_scan_results`.
     """
     arrived = analysed.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", horizon)
     return arrived.dropDuplicatesWithinWatermark(["path", "file_hash"]).drop("__arrived")
@@ -89,6 +123,8 @@ def write_scan_results(
     seen_path: str | None = None,
     progress_path: str | None = None,
     budget: Budget | None = None,
+    arrivals_path: str | None = None,
+    scan: Callable[[DataFrame], DataFrame] = scan_stream,
 ) -> StreamingQuery:
     """Write threat rows batch by batch and stop when everything that had arrived is scanned.
 
@@ -97,6 +133,10 @@ def write_scan_results(
     (path, hash) an earlier batch stored there are skipped by an anti join, and a batch adds its own, in folders by hash
     prefix: a batch reads only the folders of its own prefixes.
 
+    With `arrivals_path`, the folder of :func:`read_arrivals`, the rows are those of :func:`hashed`: only what is left of
+    a batch is read again there and scanned by `scan`; a batch of which nothing is left is not scanned at all. A file
+    that is gone by then is an error, and its batch is not noted as seen.
+
     With `progress_path`, every finished batch leaves one row there, counted while its rows pass by. With a `budget`, a
     batch that would begin too late does not begin: the query ends there, and the next run with this checkpoint starts
     with that batch, whole.
@@ -115,11 +155,18 @@ def write_scan_results(
             fresh = batch.join(earlier, ["path", "file_hash"], "left_anti").select(*batch.columns)
         else:
             fresh = batch
+        if arrivals_path is not None:
+            places = stored(place_bitmaps(fresh))
+            left = places.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).first()[0]
+            nothing = batch.limit(0).select("path", "file_hash", F.lit(None).cast(ArrayType(THREAT)).alias("threats"))
+            fresh = scan(arrivals_at(places, arrivals_path)) if left else nothing
         counted = Observation()
         fresh = fresh.observe(
             counted, F.count("*").alias("files"), F.coalesce(F.sum(F.size("threats")), F.lit(0)).cast("bigint").alias("threats")
         )
         scan_results(fresh, f"{run}_{batch_id}", began).write.mode("overwrite").parquet(f"{results_path}/{own}")
+        if arrivals_path is not None and counted.get["files"] < left:
+            raise FileNotFoundError(f"{left} arrivals to scan, {counted.get['files']} found in {arrivals_path}")
         if seen_path is not None:
             keys = batch.select("path", "file_hash", hash_prefix().alias("prefix")).repartition("prefix")
             keys.write.mode("overwrite").partitionBy("prefix").parquet(f"{seen_path}/{own}")

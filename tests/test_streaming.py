@@ -3,9 +3,12 @@
 import os
 from datetime import datetime, timedelta, timezone
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from filewarden.operators import admission, scan
+from filewarden.plans import streams
 from filewarden.streaming import admission as stream_admission
 from filewarden.streaming import audit as stream_audit
 from filewarden.streaming import scan as stream_scan
@@ -64,6 +67,67 @@ def test_backdated_file_in_a_late_batch_is_reported(spark, make_files, tmp_path)
     assert stream_scan.read_results(spark, out).count() == 4
 
 
+def test_seen_content_is_not_scanned(spark, tmp_path, monkeypatch):
+    """Both arrivals of the query's files are hashed; each file is scanned once, and none twice."""
+    texts = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("eval($x); "), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    pages = texts.select(F.col("doc_id").alias("page_id"), F.lit("http://h/").alias("url"), F.when(F.col("doc_id") > 4, F.col("text")).alias("html"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    scanned, original = spark.sparkContext.accumulator(0), stream_scan.scan_stream
+    counted = F.udf(lambda _: scanned.add(1) or True, "boolean").asNondeterministic()
+    monkeypatch.setattr(stream_scan, "scan_stream", lambda files: original(files.filter(counted("path"))))
+    rows = streams.stream_skip_seen(spark, str(tmp_path)).collect()
+    files = streams.cp.corpus(spark, str(tmp_path)).drop("file_no")
+    batch = scan.scan_results(scan.analyse(files), "s", datetime.now()).select("file_path", "file_hash", "threat_type", "threat_severity").collect()
+    assert rows and sorted(rows) == sorted(batch)
+    assert scanned.value == files.filter("content IS NOT NULL").count() == 55
+
+
+def test_places_of_all_buckets_are_read(spark, make_files, tmp_path):
+    src, wanted = str(tmp_path / "a folder of 100%25"), [0, 1, 2, 32766, 32767, 32768, 65535, 65536, 65537, 69999]
+    rows = spark.range(70000).coalesce(1).select(F.concat(F.lit("/"), "id").alias("path"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    rows.select("*", F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("mtime")).write.parquet(src)
+    arrivals(make_files, src, CONTENTS)
+    query = (
+        stream_scan.hashed(stream_scan.read_arrivals(spark, src)).writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "places"))
+    )
+    query.awaitTermination()
+    places = spark.read.parquet(str(tmp_path / "places"))
+    assert places.count() == 70003
+    some = places.filter(F.col("path").isin("/a.php", *[f"/{i}" for i in wanted]))
+    read = stream_scan.arrivals_at(stream_scan.place_bitmaps(some), src)
+    assert {r["path"]: bytes(r["content"]).decode() for r in read.collect()} == {f"/{i}": str(i) for i in wanted} | {"/a.php": CONTENTS["/a.php"]}
+    assert read.count() == len(wanted) + 1
+
+
+def test_hashed_batches_scan_what_is_left(spark, make_files, tmp_path):
+    src, out, ck, seen, progress = (str(tmp_path / n) for n in ("src", "out", "ck", "seen", "progress"))
+    lost = []
+
+    def run():
+        hashed = stream_scan.skip_seen(stream_scan.hashed(stream_scan.read_arrivals(spark, src)))
+
+        def scanned(files):
+            return stream_scan.scan_stream(files.filter("path != '/lost.php'") if lost else files)
+
+        stream_scan.write_scan_results(hashed, out, ck, "r", seen, progress, None, src, scanned).awaitTermination()
+
+    arrivals(make_files, src, CONTENTS)
+    run()
+    arrivals(make_files, src, {**CONTENTS, "/a.php": "coinhive", "/lost.php": "coinhive", "/c.php": "$c99 again"})
+    lost.append(True)
+    with pytest.raises(StreamingQueryException, match="arrivals to scan"):
+        run()
+    lost.clear()
+    run()
+    files = [(r["path"], r["file_hash"]) for r in spark.read.parquet(seen).filter("path IN ('/a.php', '/lost.php')").collect()]
+    assert len(set(files)) == 3
+    found = [r["file_path"] for r in stream_scan.read_results(spark, out).filter("file_path = '/lost.php'").collect()]
+    assert found == ["/lost.php"]
+    assert sum(r["files"] for r in stream_scan.read_progress(spark, progress).collect()) == 6
+
+
 def test_rolling_counts_stream_equals_batch(spark, tmp_path):
     rows = [(START + timedelta(minutes=37 * i), "e" if i % 3 else "f", "info") for i in range(200)]
     log = spark.createDataFrame(rows, "created_at TIMESTAMP, event_type STRING, severity STRING")
